@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auditlake.llm.bpe import bpe
 from auditlake.llm.quality_rules import quality_rules
 
 
@@ -16,6 +17,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules,)}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text per document."""
+    return bpe(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op8_quality_rules, op10_bpe)}
 
 ORACLES: dict[str, str] = {}
