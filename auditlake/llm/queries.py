@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from auditlake.llm.bpe import bpe
+from auditlake.llm.pii import find_pii
 from auditlake.llm.quality_rules import quality_rules
 
 
@@ -12,6 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, digest of base spans and all spans per document."""
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, fertility and verdict per document."""
     return quality_rules(_table(spark, sf_dir, "documents"))
@@ -22,6 +28,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op4_pii, op8_quality_rules, op10_bpe)}
 
 ORACLES: dict[str, str] = {}
