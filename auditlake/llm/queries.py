@@ -7,17 +7,29 @@ from pyspark.sql import DataFrame, SparkSession
 from auditlake.llm.bpe import bpe
 from auditlake.llm.pii import find_pii
 from auditlake.llm.quality_rules import quality_rules
+from auditlake.llm.subword_quality import quality
+from auditlake.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labelled rows that are not held out."""
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, digest of base spans and all spans per document."""
     return find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labelled rows that are not held out."""
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, fertility and verdict per document."""
     return quality_rules(_table(spark, sf_dir, "documents"))
@@ -28,6 +40,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_pii, op8_quality_rules, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_pii, op6_quality, op8_quality_rules, op10_bpe)}
 
 ORACLES: dict[str, str] = {}
