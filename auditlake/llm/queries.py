@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from auditlake.llm.bpe import bpe
+from auditlake.llm.mixing import mix
 from auditlake.llm.pii import find_pii
 from auditlake.llm.quality_rules import quality_rules
 from auditlake.llm.subword_quality import quality
@@ -25,6 +26,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from labelled rows that are not held out."""
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -40,6 +46,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_pii, op6_quality, op8_quality_rules, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_pii, op5_mixing, op6_quality, op8_quality_rules, op10_bpe)}
 
 ORACLES: dict[str, str] = {}
