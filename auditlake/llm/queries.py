@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from auditlake.llm.bpe import bpe
+from auditlake.llm import chat
 from auditlake.llm.mixing import mix
 from auditlake.llm.pii import find_pii
 from auditlake.llm.quality_rules import quality_rules
@@ -21,6 +22,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations and one that imitates the template, read back from their formatted texts."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hostile = spark.createDataFrame([(-1, 0, "user", chat.HOSTILE), (-1, 1, "assistant", chat.HOSTILE)], rows.schema)
+    return chat.chat_digests(rows.unionByName(hostile))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, digest of base spans and all spans per document."""
     return find_pii(_table(spark, sf_dir, "documents"))
@@ -46,6 +54,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_pii, op5_mixing, op6_quality, op8_quality_rules, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_chat, op4_pii, op5_mixing, op6_quality, op8_quality_rules, op10_bpe)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_chat": chat.ORACLE_SQL}
