@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from auditlake.llm.bpe import bpe
-from auditlake.llm import chat
+from auditlake.llm import chat, warc
 from auditlake.llm.mixing import mix
 from auditlake.llm.pii import find_pii
 from auditlake.llm.quality_rules import quality_rules
@@ -29,6 +29,11 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(rows.unionByName(hostile))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reads back from the archives of all pages."""
+    return warc.warc_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, digest of base spans and all spans per document."""
     return find_pii(_table(spark, sf_dir, "documents"))
@@ -54,6 +59,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_chat, op4_pii, op5_mixing, op6_quality, op8_quality_rules, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_chat, op3_warc, op4_pii, op5_mixing, op6_quality, op8_quality_rules, op10_bpe)}
 
-ORACLES: dict[str, str] = {"op2_chat": chat.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op2_chat": chat.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL}
