@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from auditlake.llm.bpe import bpe
 from auditlake.llm import chat, warc
+from auditlake.llm.hnsw import nearest_neighbours
 from auditlake.llm.mixing import mix
 from auditlake.llm.pii import find_pii
 from auditlake.llm.quality_rules import quality_rules
@@ -54,11 +55,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of every fiftieth vector among all others."""
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text per document."""
     return bpe(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_chat, op3_warc, op4_pii, op5_mixing, op6_quality, op8_quality_rules, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_chat, op3_warc, op4_pii, op5_mixing, op6_quality, op8_quality_rules, op9_hnsw, op10_bpe)}
 
 ORACLES: dict[str, str] = {"op2_chat": chat.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL}
