@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from auditlake.llm.bpe import bpe
 from auditlake.llm import chat, warc
 from auditlake.llm.hnsw import nearest_neighbours
+from auditlake.llm import jaccard
 from auditlake.llm.mixing import mix
 from auditlake.llm.pii import find_pii
 from auditlake.llm.quality_rules import quality_rules
@@ -50,6 +51,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set sizes and near-duplicate components of all documents."""
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, fertility and verdict per document."""
     return quality_rules(_table(spark, sf_dir, "documents"))
@@ -65,6 +71,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_chat, op3_warc, op4_pii, op5_mixing, op6_quality, op8_quality_rules, op9_hnsw, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_chat, op3_warc, op4_pii, op5_mixing, op6_quality, op7_jaccard, op8_quality_rules, op9_hnsw, op10_bpe)}
 
-ORACLES: dict[str, str] = {"op2_chat": chat.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op2_chat": chat.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op7_jaccard": jaccard.ORACLE_SQL}
