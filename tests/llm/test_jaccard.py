@@ -87,6 +87,12 @@ def test_equals_sql(spark, sf_dir):
     assert len({r[0] for r in compare(spark, sf_dir, op7_jaccard, jaccard.ORACLE_SQL)}) < 200
 
 
+def test_equal_rows_in_different_tasks_all_come_back(spark):
+    df = spark.createDataFrame([(1, "w w w")] * 8 + [(2, "W w w")] * 4, "doc_id long, text string").repartition(12)
+    got = sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_components(df).collect())
+    assert got == [(1, 1)] * 8 + [(2, 1)] * 4
+
+
 def test_empty_table(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
