@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Column functions: canonical text, search tokens, digests, times, Merkle hashes."""

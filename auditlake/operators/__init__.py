@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Search, integrity, sharding, retention and pipeline operators over DataFrames."""

@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Declarative log queries and the DataFrame plans they become."""

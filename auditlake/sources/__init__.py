@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Adapters that read tables as audit data: logs, relations and versioned registries."""
