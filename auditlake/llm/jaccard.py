@@ -10,7 +10,9 @@ fragments and sums over them:
 3. Prefix filter: documents that link share one of the rarest n-grams of each. Each document first meets the smallest id of the
    n-gram groups it is in most often, so groups of near copies become one component without their pairs.
 4. The rest is exact: in every n-gram group, members of different components that could still link are paired, except inside the
-   group's largest component. Pairs are verified by partial overlaps per fragment, summed per pair.
+   group's largest component. Two bounds decide who could: what is left of both sets behind the n-gram, as if it were the first
+   they share, and the parities of PARITIES small fragments, where each that differs costs the overlap one n-gram of
+   one of the sets. Pairs are verified by partial overlaps per fragment, summed per pair.
 
 N-grams that are frequent inside one block travel as one count, not once per document. Links inside a component found in step 3
 do not change components, so leaving them out loses no class.
@@ -37,12 +39,14 @@ from auditlake.llm.text import WordTable, blocks, encoded, gather, spans, stored
 WORDS = 5
 SHARE, OF = 3, 4  # 75 %
 #: Text a task turns into shingles at a time, and text whose n-grams make about one fragment.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 FRAGMENT = 16 << 20
 #: N-grams that as many documents of one block hold travel as a count.
 HOT = 32
 #: Fragments of the verification.
 SEGMENTS = 4
+#: Fragments whose parities bound an overlap; a multiple of 64.
+PARITIES = 1024
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
 
@@ -194,7 +198,13 @@ def _answer(fragments: int):
     return run
 
 
-_BLOCK = "id long, n long, set1 long, set2 long, grams array<long>"
+_BLOCK = "id long, n long, set1 long, set2 long, grams array<long>, parities array<long>"
+
+
+def _parities(grams: np.ndarray) -> np.ndarray:
+    """Whether each small fragment of the n-gram order holds an odd number of a set's n-grams, as bits."""
+    odd = np.bincount((_mix(grams.astype(np.uint64)) % _U(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _gather(fragments: int):
@@ -226,7 +236,8 @@ def _gather(fragments: int):
         edges = np.searchsorted(doc[order], np.arange(len(n) + 1))
         ordered = gram[order].astype(np.int64)
         lists = [ordered[edges[i] : edges[i + 1]] if enough[i] and ids[i] is not None else None for i in range(len(n))]
-        return pd.DataFrame({"id": pd.array(ids, "Int64"), "n": n, "set1": meta[:, 1], "set2": meta[:, 2], "grams": lists})
+        bits = [None if x is None else _parities(x) for x in lists]
+        return pd.DataFrame({"id": pd.array(ids, "Int64"), "n": n, "set1": meta[:, 1], "set2": meta[:, 2], "grams": lists, "parities": bits})
 
     return run
 
@@ -247,6 +258,16 @@ def _can_link(a: str, b: str):
     return (SHARE + OF) * least >= SHARE * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
+def _could_link(a: str, b: str):
+    """The same from what both have left behind a shared n-gram, were it the first, and from parities that differ."""
+    need = SHARE * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+    left = F.least(F.col(f"{a}.o") - F.col(f"{a}.at"), F.col(f"{b}.o") - F.col(f"{b}.at"))
+    apart = F.lit(0)
+    for i in range(PARITIES // 64):
+        apart = apart + F.bit_count(F.col(f"{a}.parities")[i].bitwiseXOR(F.col(f"{b}.parities")[i]))
+    return ((SHARE + OF) * left >= need) & ((SHARE + OF) * (F.col(f"{a}.o") + F.col(f"{b}.o") - apart) >= 2 * need)
+
+
 def verified(pairs: DataFrame, grams: DataFrame) -> DataFrame:
     """Of pairs (a, b, n as the sum of both set sizes), those that link: partial overlaps by fragment, summed."""
     part = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda s: F.struct(s.alias("s"), F.filter("grams", lambda g: F.pmod(g, F.lit(SEGMENTS)) == s).alias("g")))
@@ -268,15 +289,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     named = stored(named, "classes")
     # the class's smallest id carries its n-grams on, once
     firsts = rows.where("grams is not null").join(classes.select(*sets, F.col("rep").alias("__rep")), sets, "left").where("__rep is null or __rep = id")
-    firsts = firsts.groupBy("id", *sets).agg(F.first("grams").alias("grams"))
+    firsts = firsts.groupBy("id", *sets).agg(F.first("grams").alias("grams"), F.first("parities").alias("parities"))
     # rows of one id with different sets hold several n-gram lists: each is a node of its own below the id
-    firsts = stored(firsts.select(F.xxhash64("id", *sets).alias("node"), "id", "n", "grams"), "firsts")
+    firsts = stored(firsts.select(F.xxhash64("id", *sets).alias("node"), "id", "n", "grams", "parities"), "firsts")
     least = F.ceil(F.col("n") * SHARE / OF).cast("long")
     prefix = (F.size("grams") - least + 1).cast("int")
     grams = firsts.select(F.col("node").alias("id"), "grams")
-    posted = firsts.select("node", "n", F.size("grams").alias("o"), F.explode(F.slice("grams", F.lit(1), prefix)).alias("gram"))
+    posted = firsts.select("node", "n", F.size("grams").alias("o"), F.posexplode(F.slice("grams", F.lit(1), prefix)).alias("at", "gram"))
     leaders = posted.groupBy("gram").agg(F.min(F.struct("node", "n", "o")).alias("l"), F.count("*").alias("c")).where("c > 1").drop("c")
-    posted = stored(posted.join(leaders, "gram").select("gram", "node", "n", "o", "l"), "posted")
+    posted = stored(posted.join(leaders, "gram").select("gram", "node", "n", "o", "at", "l"), "posted")
     # each node meets the leader it shares most rare n-grams with
     met = posted.select(F.struct("node", "n", "o").alias("m"), "l").where("m.node <> l.node").where(_can_link("m", "l"))
     met = met.groupBy("m", "l").count().groupBy("m").agg(F.max(F.struct("count", "l")).alias("best"))
@@ -284,14 +305,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     links = stored(verified(met, grams), "links")
     joined = components(links)
     # what is left: members of different components in one group, but none inside the group's largest
-    placed = posted.join(joined, posted.node == joined.node, "left").select("gram", posted.node, "n", "o", F.coalesce("component", posted.node).alias("component"))
-    placed = placed.where(f"{OF} * o >= {SHARE} * n")
+    placed = posted.join(joined, posted.node == joined.node, "left").select("gram", posted.node, "n", "o", "at", F.coalesce("component", posted.node).alias("component"))
     counts = placed.groupBy("gram", "component").agg(F.count("*").alias("c"))
     main = counts.groupBy("gram").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    placed = stored(placed.join(main, "gram"), "placed")
+    placed = stored(placed.join(main, "gram").join(firsts.select("node", "parities"), "node"), "placed")
     few = placed.where("component <> main").alias("x")
     all_ = placed.alias("y")
-    pair = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & _can_link("x", "y")
+    pair = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & _could_link("x", "y")
     rest = few.join(all_, pair).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), (F.col("x.n") + F.col("y.n")).alias("n")).distinct()
     rest = stored(rest.join(met.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     links = links.unionByName(stored(verified(rest, grams), "late"))
