@@ -54,13 +54,18 @@ class Ring:
         return hashlib.sha256(repr((sorted(self.active), sorted(self.frozen), self.seed)).encode()).hexdigest()
 
     def route(self, tenant: Column) -> Column:
-        """The owner as a column: the first point at or after the tenant's hash, else the first point."""
+        """The owner as a column: the first point at or after the tenant's hash, else the first point.
+
+        Points are kept by the top 8 bits of their hash, so a row looks at one or two of them.
+        """
         points = self.points()
-        hashes = F.array(*[F.lit(h) for h, _ in points])
-        shards = F.array(*[F.lit(s) for _, s in points])
         h = column_hash(F.concat(F.lit(f"{self.seed}:"), tenant.cast("string")))
-        before = F.size(F.filter(hashes, lambda x: x < h))
-        return F.element_at(shards, F.pmod(before, F.lit(len(points))).cast("int") + 1)
+        lots = [[p for p, _ in points if p >> 52 == k] for k in range(256)]
+        base = [sum(p >> 52 < k for p, _ in points) for k in range(256)]
+        lot = (F.shiftright(h, 52) + 1).cast("int")
+        here = F.element_at(F.array(*[F.array(*map(F.lit, x)).cast("array<long>") for x in lots]), lot)
+        before = F.element_at(F.array(*map(F.lit, base)), lot) + F.size(F.filter(here, lambda x: x < h))
+        return F.element_at(F.array(*[F.lit(s) for _, s in points]), F.pmod(before, F.lit(len(points))).cast("int") + 1)
 
     def route_sql(self, tenant: str) -> str:
         """The same in DuckDB SQL."""
