@@ -20,6 +20,30 @@ VERSION = "uid string, entity_type string, entity_id string, version long, name
 DEAD = f"{EVENT}, error string, failed_at long, batch long"
 
 
+def versioned(touched: DataFrame, last: DataFrame) -> DataFrame:
+    """Touches of entities with `new`, whether the fields changed, and the `version` and `uid` they pin.
+
+    Changes are found inside each range of arrivals first; then one row per entity and range carries fields and version numbers
+    from range to range. So an entity that a third of all events touch is no single group.
+    """
+    entity = ["entity_type", "entity_id"]
+    by = Window.partitionBy(*entity, "__part").orderBy("pos", "ord")
+    rows = touched.withColumn("__first", F.row_number().over(by) == 1)
+    rows = rows.withColumn("__changed", ~F.col("__first") & ~F.col("fingerprint").eqNullSafe(F.lag("fingerprint").over(by)))
+    rows = rows.withColumn("__inside", F.sum(F.col("__changed").cast("long")).over(by))
+    at = F.struct("pos", "ord")
+    ranges = rows.groupBy(*entity, "__part").agg(F.min_by("fingerprint", at).alias("__from"), F.max_by("fingerprint", at).alias("__to"), F.sum(F.col("__changed").cast("long")).alias("__n"))
+    ranges = ranges.join(last, entity, "left")
+    order = Window.partitionBy(*entity).orderBy("__part")
+    ranges = ranges.withColumn("__new", ~F.col("__from").eqNullSafe(F.coalesce(F.lag("__to").over(order), "old")))
+    before = F.coalesce(F.sum(F.col("__new").cast("long") + F.col("__n")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.withColumn("__base", F.coalesce("top", F.lit(-1)) + before + F.col("__new").cast("long")).select(*entity, "__part", "__new", "__base")
+    rows = rows.join(ranges, [*entity, "__part"])
+    rows = rows.withColumn("new", F.when(F.col("__first"), F.col("__new")).otherwise(F.col("__changed"))).withColumn("version", F.col("__base") + F.col("__inside"))
+    uid = F.substring(sha256_hex(F.concat_ws("/", "entity_type", "entity_id", F.col("version").cast("string"))), 1, 32)
+    return rows.withColumn("uid", uid).select("pos", "occurred_at", "ord", *entity, "name", "fingerprint", "new", "version", "uid")
+
+
 class AuditTables:
     """The four tables below one folder, and the write path into them."""
 
@@ -66,22 +90,17 @@ class AuditTables:
         # positions: a range sort by arrival and an offset per range, so no task sorts the whole batch
         ordered = good.repartitionByRange("occurred_at", "event_id").sortWithinPartitions("occurred_at", "event_id")
         ordered = ordered.withColumn("__part", F.spark_partition_id()).withColumn("__nth", F.monotonically_increasing_id() % (1 << 33))
-        ordered = ordered.persist()
+        ordered, seen = ordered.persist(), None
         try:
             sizes = ordered.groupBy("__part").count()
             offset = sizes.withColumn("__base", F.sum("count").over(Window.orderBy("__part")) - F.col("count")).select("__part", "__base")
             numbered = ordered.join(F.broadcast(offset), "__part").withColumn("pos", F.col("__base") + F.col("__nth") + base)
             named = numbered.withColumn("__all", F.concat(F.array(F.struct(F.col("actor_type").alias("entity_type"), F.col("actor_id").alias("entity_id"), F.col("actor_name").alias("name"))), F.coalesce("targets", F.array().cast("array<struct<entity_type:string,entity_id:string,name:string>>"))))
-            touched = named.select("pos", "occurred_at", F.posexplode("__all").alias("ord", "e")).select("pos", "occurred_at", "ord", "e.*")
+            touched = named.select("pos", "occurred_at", "__part", F.posexplode("__all").alias("ord", "e")).select("pos", "occurred_at", "__part", "ord", "e.*")
             touched = touched.withColumn("fingerprint", fingerprint({"name": F.col("name")}))
             last = versions.groupBy("entity_type", "entity_id").agg(F.max_by(F.struct("fingerprint", "version"), "version").alias("v"))
             last = last.select("entity_type", "entity_id", F.col("v.fingerprint").alias("old"), F.col("v.version").alias("top"))
-            by = Window.partitionBy("entity_type", "entity_id").orderBy("pos", "ord")
-            seen = touched.join(last, ["entity_type", "entity_id"], "left")
-            new = ~F.col("fingerprint").eqNullSafe(F.coalesce(F.lag("fingerprint").over(by), "old"))
-            seen = seen.withColumn("new", new).withColumn("version", F.coalesce("top", F.lit(-1)) + F.sum(F.col("new").cast("long")).over(by))
-            uid = F.substring(sha256_hex(F.concat_ws("/", "entity_type", "entity_id", F.col("version").cast("string"))), 1, 32)
-            seen = seen.withColumn("uid", uid)
+            seen = versioned(touched, last).persist()
             fresh = seen.where("new").select("uid", "entity_type", "entity_id", "version", "name", "fingerprint", F.col("occurred_at").alias("recorded_at"))
             rel = seen.where("ord > 0").select(F.col("pos").alias("log"), (F.col("ord") - 1).alias("ord"), "uid", "entity_type", F.col("occurred_at").alias("ts_us"))
             actors = seen.where("ord = 0").select("pos", F.col("uid").alias("actor_uid"))
@@ -94,6 +113,8 @@ class AuditTables:
             self._write(out, "logs", batch)
         finally:
             ordered.unpersist()
+            if seen is not None:
+                seen.unpersist()
 
     def start(self, events: DataFrame, checkpoint: str, **trigger):
         """A streaming query that appends each micro-batch; late events keep their time and go by arrival."""

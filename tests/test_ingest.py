@@ -54,3 +54,26 @@ def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     assert sorted((r.pos, r.event_id, bytes(r.leaf)) for r in tables.logs.collect()) == first and len(first) == 50
     leaves = tables.logs.selectExpr("pos as idx", "leaf as hash")
     assert broken_leaves(leaves, leaves).count() == 0
+
+
+def test_versions_equal_a_plain_loop_over_many_ranges(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    events = [event(i, targets=tuple(("doc", rng.choice(["hot", "hot", "a", "b"]), rng.choice("xyz")) for _ in range(rng.randint(0, 3)))) for i in range(300)]
+    tables = AuditTables(spark, str(tmp_path / "t"), {"doc"})
+    want, latest = [], {}
+    for lot in (0, 1):
+        mine = events[lot * 150 : lot * 150 + 150]
+        tables.apply(spark.read.schema(EVENT).json(spark.sparkContext.parallelize(list(map(json.dumps, mine)), 7)), lot)
+    for e in events:
+        for t in [{"entity_type": "user", "entity_id": e["actor_id"], "name": e["actor_name"]}, *e["targets"]]:
+            key = (t["entity_type"], t["entity_id"])
+            version, name = latest.get(key, (-1, None))
+            if name != t["name"]:
+                version += 1
+                want.append((*key, version, t["name"]))
+                latest[key] = (version, t["name"])
+    assert sorted((r.entity_type, r.entity_id, r.version, r.name) for r in tables.versions.collect()) == sorted(want)
+    assert sorted(r.pos for r in tables.logs.collect()) == list(range(300))
+    assert tables.relations.join(tables.versions, "uid", "left_anti").count() == 0
