@@ -7,7 +7,7 @@ fragments and sums over them:
    over documents with different sets and answers each block with the ones that occur in two or more. A document whose shared
    n-grams, summed over fragments, are fewer than 75 % of its set links with nothing else.
 2. Documents with equal sets form a class; only its smallest id goes on.
-3. Prefix filter: documents that link share one of the rarest n-grams of each. Each document first meets the smallest id of the
+3. Prefix filter: documents that link share one of the rarest n-grams of each. Each document first meets the leader of the
    n-gram groups it is in most often, so groups of near copies become one component without their pairs.
 4. The rest is exact: in every n-gram group, members of different components that could still link are paired, except inside the
    group's largest component. Two bounds decide who could: what is left of both sets behind the n-gram, as if it were the first
@@ -296,7 +296,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     prefix = (F.size("grams") - least + 1).cast("int")
     grams = firsts.select(F.col("node").alias("id"), "grams")
     posted = firsts.select("node", "n", F.size("grams").alias("o"), F.posexplode(F.slice("grams", F.lit(1), prefix)).alias("at", "gram"))
-    leaders = posted.groupBy("gram").agg(F.min(F.struct("node", "n", "o")).alias("l"), F.count("*").alias("c")).where("c > 1").drop("c")
+    # a group's leader is the member that shares most of its set: the text that others are edits of
+    leaders = posted.groupBy("gram").agg(F.max_by(F.struct("node", "n", "o"), F.struct(F.col("o") / F.col("n"), "node")).alias("l"), F.count("*").alias("c")).where("c > 1").drop("c")
     posted = stored(posted.join(leaders, "gram").select("gram", "node", "n", "o", "at", "l"), "posted")
     # each node meets the leader it shares most rare n-grams with
     met = posted.select(F.struct("node", "n", "o").alias("m"), "l").where("m.node <> l.node").where(_can_link("m", "l"))
