@@ -3,9 +3,9 @@
 The global n-gram order (rarer first, then by hash) is cut into fragments by hash range, and every step counts inside
 fragments and sums over them:
 
-1. Tasks turn blocks of documents into distinct shingle hashes and send each fragment its part. A fragment counts its n-grams
-   over documents with different sets and answers each block with the ones that occur in two or more. A document whose shared
-   n-grams, summed over fragments, are fewer than 75 % of its set links with nothing else.
+1. Tasks turn blocks of documents into distinct shingle hashes and send each fragment its part, one document for all equal
+   sets of a block. A fragment counts its n-grams and answers each block with the ones that occur in two documents or more. A
+   document whose shared n-grams, summed over fragments, are fewer than 75 % of its set links with nothing but copies.
 2. Documents with equal sets form a class; only its smallest id goes on.
 3. Prefix filter: documents that link share one of the rarest n-grams of each. Each document first meets the leader of the
    n-gram groups it is in most often, so groups of near copies become one component without their pairs.
@@ -98,10 +98,26 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 
 _LOW = _U((1 << 40) - 1)
-_SENT = "fragment int, block string, counts binary, grams binary, hot binary, sets binary, meta binary"
+_SENT = "fragment int, block string, docs binary, grams binary, hot binary, ranks binary, meta binary"
 _NAMES = [c.split()[0] for c in _SENT.split(", ")]
 
 
+def _doc_numbers(raw: bytes, count: int) -> np.ndarray:
+    """Numbers of documents inside a block, two bytes each where they fit."""
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * count else "<u4")
+
+
+def _speakers(ids: list, meta: np.ndarray) -> np.ndarray:
+    """Rows with the smallest id of their set; one of several equal ones, and none with a null id."""
+    first: dict[bytes, int] = {}
+    for i, k in enumerate(ids):
+        if k is not None and ((j := first.get(key := meta[i].tobytes())) is None or k < ids[j]):
+            first[key] = i
+    out = np.zeros(len(ids), bool)
+    out[list(first.values())] = True
+    return out
+
+
 def _send(fragments: int):
     """Rows of a task: one per block and fragment, and one per block that only waits for its answers."""
 
@@ -112,12 +128,15 @@ def _send(fragments: int):
             ids = part.column("__id")
             block = f"{TaskContext.get().partitionId()}/{serial}"  # a task that runs again sends the same blocks
             serial += 1
-            doc = np.repeat(np.arange(len(n), dtype=np.int64), n)
             edge = spans(n)
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(h), dtype=np.uint64)])
             other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(h ^ _U(0x5851F42D4C957F2D)), dtype=np.uint64)])
             sets = total[edge[1:]] - total[edge[:-1]]
             more = other[edge[1:]] - other[edge[:-1]]
+            meta = np.stack([n.astype(np.int64), sets.view(np.int64), more.view(np.int64)], 1)
+            # of equal sets in a block only the smallest id speaks: no other can be its class's first
+            speaks = _speakers(ids.to_pylist(), meta)
+            h, doc = h[np.repeat(speaks, n)], np.repeat(np.arange(len(n))[speaks], n[speaks])
             fragment = ((h >> _U(32)) * _U(fragments) >> _U(32)).astype(np.int64)
             gram = (fragment.astype(np.uint64) << _U(40)) | (h & _LOW)
             order = np.argsort(gram, kind="stable")
@@ -127,21 +146,16 @@ def _send(fragments: int):
             hot = np.zeros(len(gram), bool)
             hot[order] = np.repeat(often, size)
             rows = []
-            if len(gram):
-                own = sets[doc[order]]
-                lo, hi = np.minimum.reduceat(own, first), np.maximum.reduceat(own, first)
-                summary = np.stack([gram[order][first], size.astype(np.uint64), lo, hi], 1)[often]
-            else:
-                summary = np.zeros((0, 4), np.uint64)
+            summary = np.stack([gram[order][first], size.astype(np.uint64)], 1)[often]
             cold = np.flatnonzero(~hot)
             cold = cold[np.argsort(fragment[cold], kind="stable")]  # by fragment, then document, then hash
             bound = np.searchsorted(fragment[cold], np.arange(fragments + 1))
             hot_at = np.searchsorted(summary[:, 0] >> _U(40), np.arange(fragments + 1).astype(np.uint64))
+            short = "<u2" if len(n) <= 1 << 16 else "<u4"
             for f in range(fragments):
                 mine = cold[bound[f] : bound[f + 1]]
-                counts = np.bincount(doc[mine], minlength=len(n)).astype("<u4")
-                rows.append((f, block, counts.tobytes(), _pack(gram[mine] & _LOW), summary[hot_at[f] : hot_at[f + 1]].tobytes(), sets.tobytes(), None))
-            meta = np.stack([n.astype(np.int64), sets.view(np.int64), more.view(np.int64)], 1)
+                if len(mine) or hot_at[f] < hot_at[f + 1]:
+                    rows.append((f, block, doc[mine].astype(short).tobytes(), _pack(gram[mine] & _LOW), summary[hot_at[f] : hot_at[f + 1]].tobytes(), None, None))
             waiting = pa.array(ids.to_pylist(), pa.int64())
             at = np.flatnonzero(hot)
             sink = pa.BufferOutputStream()
@@ -164,20 +178,16 @@ def _answer(fragments: int):
             return rows
         rows = rows.reset_index(drop=True)
         parts = [_unpack(g) for g in rows["grams"]]
-        sets = [np.repeat(np.frombuffer(s, np.uint64), np.frombuffer(c, "<u4")) for s, c in zip(rows["sets"], rows["counts"], strict=True)]
-        hot = [np.frombuffer(x, np.uint64).reshape(-1, 4) for x in rows["hot"]]
+        hot = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in rows["hot"]]
         summary = np.concatenate(hot)
         gram = np.concatenate([*parts, summary[:, 0] & _LOW])
-        lo = np.concatenate([*sets, summary[:, 2]])
-        hi = np.concatenate([lo[: len(lo) - len(summary)], summary[:, 3]])
         n = np.ones(len(gram), np.int64)
         n[len(gram) - len(summary) :] = summary[:, 1]
-        del sets
         order = np.argsort(gram, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], gram[order][1:] != gram[order][:-1]])) if len(gram) else np.zeros(0, np.int64)
         if len(first):
-            shared = np.minimum.reduceat(lo[order], first) < np.maximum.reduceat(hi[order], first)
-            rank = np.log2(np.add.reduceat(n[order], first)).astype(np.uint8) + 1
+            total = np.add.reduceat(n[order], first)
+            shared, rank = total > 1, np.log2(total).astype(np.uint8) + 1
             size = np.diff(np.append(first, len(gram)))
             ranks = np.zeros(len(gram), np.uint8)
             ranks[order] = np.repeat(np.where(shared, rank, 0).astype(np.uint8), size)
@@ -185,15 +195,13 @@ def _answer(fragments: int):
             ranks = np.zeros(0, np.uint8)
         at, hot_at, out = 0, len(gram) - len(summary), []
         for i in range(len(rows)):
-            counts = np.frombuffer(rows["counts"][i], "<u4")
             mine = ranks[at : at + len(parts[i])]
             keep = mine > 0
-            doc = np.repeat(np.arange(len(counts)), counts)[keep]
             mine_hot = ranks[hot_at : hot_at + len(hot[i])]
-            out.append((np.bincount(doc, minlength=len(counts)).astype("<u4").tobytes(), _pack(parts[i][keep]), np.stack([hot[i][:, 0], mine_hot.astype(np.uint64)], 1).tobytes() if len(hot[i]) else b"", mine[keep].tobytes()))
+            out.append((_doc_numbers(rows["docs"][i], len(keep))[keep].tobytes(), _pack(parts[i][keep]), np.stack([hot[i][:, 0], mine_hot.astype(np.uint64)], 1).tobytes() if len(hot[i]) else b"", mine[keep].tobytes()))
             at, hot_at = at + len(parts[i]), hot_at + len(hot[i])
         columns = list(zip(*out, strict=True))
-        return pd.DataFrame({"fragment": rows["fragment"], "block": rows["block"], "counts": columns[0], "grams": columns[1], "hot": columns[2], "sets": columns[3], "meta": None})
+        return pd.DataFrame({"fragment": rows["fragment"], "block": rows["block"], "docs": columns[0], "grams": columns[1], "hot": columns[2], "ranks": columns[3], "meta": None})
 
     return run
 
@@ -213,20 +221,19 @@ def _gather(fragments: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         last = rows[rows["fragment"] >= fragments].iloc[0]
         ids = pa.ipc.open_stream(last["meta"]).read_all().column("id").to_pylist()
-        meta = np.frombuffer(last["sets"], np.int64).reshape(-1, 3)
+        meta = np.frombuffer(last["ranks"], np.int64).reshape(-1, 3)
         docs, grams, ranks, hot = [], [], [], []
         for r in rows[rows["fragment"] < fragments].itertuples():
-            counts = np.frombuffer(r.counts, "<u4")
-            docs.append(np.repeat(np.arange(len(counts)), counts))
+            ranks.append(np.frombuffer(r.ranks, np.uint8))
+            docs.append(_doc_numbers(r.docs, len(ranks[-1])).astype(np.int64))
             grams.append(_unpack(r.grams) | (_U(r.fragment) << _U(40)))
-            ranks.append(np.frombuffer(r.sets, np.uint8))
             hot.append(np.frombuffer(r.hot, np.uint64).reshape(-1, 2))
         known = np.concatenate(hot) if hot else np.zeros((0, 2), np.uint64)
         known = known[np.argsort(known[:, 0], kind="stable")]
         g = np.frombuffer(last["grams"], np.uint64)
         found = known[np.searchsorted(known[:, 0], g), 1].astype(np.uint8) if len(g) else np.zeros(0, np.uint8)
         keep = found > 0
-        doc = np.concatenate([*docs, np.frombuffer(last["counts"], "<u4")[keep].astype(np.int64)])
+        doc = np.concatenate([*docs, np.frombuffer(last["docs"], "<u4")[keep].astype(np.int64)])
         gram, rank = np.concatenate([*grams, g[keep]]), np.concatenate([*ranks, found[keep]])
         n = meta[:, 0]
         enough = (OF * np.bincount(doc, minlength=len(n)) >= SHARE * n) & (n > 0)
