@@ -6,6 +6,7 @@ Each stage reads what its predecessor wrote as Parquet and works on all of it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from auditlake.llm.bpe import bpe
 from auditlake.llm.jaccard import jaccard_components
@@ -14,6 +15,9 @@ from auditlake.llm.pii import redact
 from auditlake.llm.quality_rules import quality_rules
 from auditlake.llm.text import stored
 
+#: So many ids of dropped documents, 8 bytes each, may be broadcast.
+BROADCAST_IDS = 1_000_000
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules; other columns keep any names they have."""
@@ -26,7 +30,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate component; a null id links with nothing and stays."""
     found = stored(jaccard_components(docs), "components")
-    kept = docs.join(found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    lost = stored(found.where("component_id <> doc_id").select("doc_id").distinct(), "lost")
+    if lost.count() <= BROADCAST_IDS:  # else Spark joins them by id, which moves the texts
+        lost = F.broadcast(lost)
+    kept = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         # rows that share an id are one group too
         kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
