@@ -43,6 +43,8 @@ _SPELT = re.compile(
     r"| at [A-Za-z0-9-]{1,63}+(?: ?(?:\[dot\]|\(dot\)|\{dot\}| dot ) ?[A-Za-z0-9-]{1,63}+){1,4})",
     re.I,
 )
+#: One of these is in every match of _SPELT.
+_SIGN = re.compile(r"@|\[(?:at|dot)\]|\((?:at|dot)\)|\{(?:at|dot)\}| dot ", re.I)
 _CUES = {"phone": re.compile(r"(?:phone|tel|call|mobile|fax|ring)\W*\w{0,8}\W*$", re.I), "card": re.compile(r"(?:card|visa|pay|account|credit)\W*\w{0,8}\W*$", re.I),
          "ip": re.compile(r"(?:\bip|host|server|addr\w*)\W*$", re.I), "not": re.compile(r"(?:version|order|invoice|item|isbn|no\.?|id|#|\$|€)\W*$", re.I)}
 
@@ -176,7 +178,7 @@ def lattices(text: str, base: list[Span]) -> Iterator[Lattice]:
                     run = []
             if run:
                 yield Lattice(text, run, False)
-    if "@" in text or "at]" in text or "at)" in text or "at}" in text or " dot " in text:
+    if _SIGN.search(text):
         for m in _SPELT.finditer(text):
             if free(m.start(), m.end()):
                 yield Lattice(text, [(m.start(), m.end())], True)

@@ -62,3 +62,9 @@ def test_rows(spark):
     assert clean.schema == docs.schema
     assert {r.doc_id: r.text for r in clean.collect()}[3] == "é [EMAIL] [IP]" and clean.filter("text is null").count() == 1
     assert find_pii(docs.limit(0)).count() == redact(docs.limit(0)).count() == 0
+
+
+def test_spelt_addresses_need_no_other_sign():
+    for spelt in ("john at example[dot]com", "john at example (dot) com", "john [AT] example [DOT] com", "JOHN AT EXAMPLE DOT COM", "john at example{Dot}com", "john (At) example.com"):
+        text = f"ask {spelt}, soon"
+        assert redacted(text, all_spans(text, train())[1]) == "ask [EMAIL], soon", text
