@@ -6,7 +6,7 @@ through a template that marks them; a backslash before control strings inside te
 Everything is DataFrame functions.
 
 Null texts and roles count as empty. A record of an unknown layout, null or invalid JSON has null turns and is kept.
-Repeated records give repeated rows.
+Repeated records give repeated rows. Texts have no limit but Spark's own of 2 GiB a field, which a record and its formatted text are.
 """
 
 from __future__ import annotations
@@ -57,9 +57,21 @@ LAYOUTS = (
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
+#: A valid JSON string; no part gives back what it took, so long ones need no stack.
+_STRING = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4})[^"\\\x00-\x1f]*+)*+"'
+#: All up to the next string that is a value, and that string.
+_VALUE = rf'\G([^"]*+(?:{_STRING}\s*+:[^"]*+)*+){_STRING}'
+
+
+def skeleton(record: Column) -> Column:
+    """The record with blank texts and runs of equal flat objects as one: the same field paths, below the limits of variants."""
+    blank = F.regexp_replace(record, _VALUE, '$1""')
+    return F.regexp_replace(blank, r"(\{[^{}\[\]]*+\})(?:\s*+,\s*+\1)++", "$1")
+
+
 def shape(record: Column) -> Column:
     """Nested field paths of a JSON record, without types."""
-    spelt = F.schema_of_variant(F.try_parse_json(record))
+    spelt = F.schema_of_variant(F.try_parse_json(skeleton(record)))
     return F.regexp_replace(spelt, r"\b(STRING|VOID|BOOLEAN|BIGINT|DOUBLE|DECIMAL\(\d+, ?\d+\)|DECIMAL|FLOAT|VARIANT)(?=[,>]|$)", "")
 
 
@@ -69,7 +81,7 @@ def fingerprint(record: Column) -> Column:
 
 def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
     """The records with `fingerprint` and `turns`, an array of role and text."""
-    rows = records.withColumn("fingerprint", fingerprint(F.col(record))).withColumn("__r", F.from_json(record, _RECORD))
+    rows = records.withColumn("fingerprint", fingerprint(F.col(record))).withColumn("__r", F.from_json(record, _RECORD, {"maxStringLen": str(2**31 - 1)}))
     turns = F.lit(None)
     for layout in reversed(LAYOUTS):
         turns = F.when(F.col("fingerprint") == F.xxhash64(F.lit(layout.shape)), layout.canonical(F.col("__r"))).otherwise(turns)

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import sys
 import os
@@ -63,3 +64,22 @@ def test_odd_rows(spark):
     assert out[1].n_turns == 3 and out[1].loss_chars == 0 and out[None].n_turns == 1
     assert chat.chat_digests(spark.createDataFrame([], schema)).count() == 0
     assert "Python" not in chat.chat_digests(spark.createDataFrame(rows, schema))._jdf.queryExecution().toString()
+
+
+def test_fingerprints_do_not_depend_on_texts(spark):
+    texts = ["", 'a": {"b', "\\", "\\\"", '"', "}, {", "\n\u0001", "é日", "[1]"]
+    records = [(i, json.dumps(make(t))) for i, make in enumerate([lambda t: {"prompt": t, "response": t + t}, lambda t: {"messages": [{"role": t, "content": t}] * 3}, lambda t: {"a": [t, {"b : c": t}], "d": 1}]) for t in texts]
+    broken = ['{"prompt": "a\\x", "response": "b"}', '{"prompt": "a\n", "response": "b"}', '{"prompt": "a" "b", "response": "c"}', "{'prompt': \"a\", 'response': \"b\"}"]
+    rows = spark.createDataFrame([*records, *[(9, b) for b in broken]], "id int, record string")
+    out = chat.canonical_turns(rows).withColumn("old", F.schema_of_variant(F.try_parse_json("record"))).withColumn("new", F.schema_of_variant(F.try_parse_json(chat.skeleton(F.col("record"))))).collect()
+    assert all(r.old == r.new for r in out) and all((r.old is None) == (r.id == 9) for r in out)
+    assert len({(r.id, r.fingerprint) for r in out}) == 4 and all((r.turns is None) == (r.id in (2, 9)) for r in out)
+
+
+def test_a_turn_above_twenty_million_characters(spark):
+    size = 20_000_100
+    rows = spark.range(1).selectExpr("7L as conv_id", "0L as turn", "'user' as role", "'q' as text").unionByName(spark.range(1).selectExpr("7L as conv_id", "1L as turn", "'assistant' as role", f"repeat('<\\\\', {size // 2}) as text"))
+    r = chat.chat_digests(rows).first()
+    text = "<\\" * (size // 2)
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (2, size, hashlib.sha256(text.encode()).hexdigest())
+    assert r.turns_sha256 == hashlib.sha256(f"user\nq\nassistant\n{text}\n".encode()).hexdigest()
