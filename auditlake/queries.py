@@ -228,13 +228,24 @@ def page_with_targets(spark, sf_dir):
     return page.join(sums, page.pos == sums.log, "left").select("pos", "ts_us", "url", F.coalesce("n", F.lit(0)).alias("n_targets"), F.coalesce("s", F.lit(0)).alias("target_sum"))
 
 
+def _rendered(spark, sf_dir, condition="true"):
+    parts = V.registry(spark, sf_dir, "part").where("entity_id % 7 <> 0").select(F.col("entity_id").alias("id"), "name")
+    rel = V.relations(spark, sf_dir).where(f"entity_type = 'part' and {condition}")
+    return rel.join(parts, rel.entity_id == parts.id, "left").select("log", "entity_type", "entity_id", "name", F.isnull("id").alias("missing"))
+
+
 @query("""SELECT r.log, r.entity_type, r.entity_id, p.p_name AS name, (p.p_partkey IS NULL) AS missing FROM (SELECT DISTINCT l_orderkey AS log, 'part' AS entity_type, l_partkey AS entity_id FROM lineitem WHERE l_orderkey < 2000) r
  LEFT JOIN (SELECT * FROM part WHERE p_partkey % 7 <> 0) p ON p.p_partkey = r.entity_id""")
 def render_as_recorded(spark, sf_dir):
-    """Pinned versions are looked up by key; one that is gone is marked."""
-    parts = V.registry(spark, sf_dir, "part").where("entity_id % 7 <> 0").select(F.col("entity_id").alias("id"), "name")
-    rel = V.relations(spark, sf_dir).where("entity_type = 'part' and log < 2000")
-    return rel.join(parts, rel.entity_id == parts.id, "left").select("log", "entity_type", "entity_id", "name", F.isnull("id").alias("missing"))
+    """Pinned versions of the first 2,000 orders, as its SQL asks, are looked up by key; one that is gone is marked."""
+    return _rendered(spark, sf_dir, "log < 2000")
+
+
+@query("""SELECT r.log, r.entity_type, r.entity_id, p.p_name AS name, (p.p_partkey IS NULL) AS missing FROM (SELECT DISTINCT l_orderkey AS log, 'part' AS entity_type, l_partkey AS entity_id FROM lineitem) r
+ LEFT JOIN (SELECT * FROM part WHERE p_partkey % 7 <> 0) p ON p.p_partkey = r.entity_id""")
+def render_as_recorded_all(spark, sf_dir):
+    """The same for every order."""
+    return _rendered(spark, sf_dir)
 
 
 @query(f"SELECT e.event_id AS pos, e.user_id AS entity_id, max(v.version)::BIGINT AS version FROM events e JOIN {UV} v ON v.entity_id = e.user_id AND v.pos <= e.event_id GROUP BY 1, 2")
