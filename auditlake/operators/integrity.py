@@ -45,6 +45,21 @@ def merkle_root(leaves: DataFrame, size: int, height: int = HEIGHT) -> DataFrame
             return nodes
 
 
+def _fold_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    return _fold_group(key[1:], rows).assign(shard=key[0], size=rows["size"].sum())
+
+
+def shard_roots(leaves: DataFrame, largest: int, height: int = HEIGHT) -> DataFrame:
+    """shard, size and root (hex) of every shard, from leaves (shard, idx from 0 in the shard, hash); largest bounds the shards' numbers of leaves."""
+    nodes = leaves.withColumn("size", F.lit(1).cast("long"))
+    while True:
+        up = F.shiftright("idx", height).alias("up")
+        nodes = nodes.groupBy("shard", up).applyInPandas(_fold_shard, "shard int, size long, idx long, hash binary")
+        largest = -(-largest // (1 << height))
+        if largest <= 1:
+            return nodes.select("shard", "size", F.lower(F.hex("hash")).alias("root"))
+
+
 def nodes_at(leaves: DataFrame, wanted: list[tuple[int, int]], height: int = HEIGHT) -> DataFrame:
     """step, height, idx and hash of some nodes (height, idx), each folded from the rows of one block."""
     tables, parts = {0: leaves}, []

@@ -1,14 +1,49 @@
 """Queries that do the whole job, on tables of more rows than their samples had."""
 
+import hashlib
+
 import pyarrow.parquet as pq
+import pytest
 
 from auditlake import queries
+from auditlake.operators.integrity import fold, shard_roots
 
 SF = "/root/testdata/sf0.01"
 
 
+def leaves():
+    rows = pq.read_table(f"{SF}/events.parquet").to_pylist()
+    epoch = lambda t: round((t - t.__class__(1970, 1, 1)).total_seconds() * 1_000_000)
+    rows.sort(key=lambda r: r["event_id"])
+    return [hashlib.sha256(b"\0" + "|".join(map(str, (r["event_id"], epoch(r["ts"]), r["user_id"], r["event_type"], r["props"]))).encode()).digest() for r in rows]
+
+
 def test_every_order_is_rendered(spark):
     names = {r["p_partkey"]: r["p_name"] for r in pq.read_table(f"{SF}/part.parquet").to_pylist() if r["p_partkey"] % 7}
     pairs = {(r["l_orderkey"], r["l_partkey"]) for r in pq.read_table(f"{SF}/lineitem.parquet", columns=["l_orderkey", "l_partkey"]).to_pylist()}
     got = sorted(map(tuple, queries.QUERIES["render_as_recorded_all"](spark, SF).collect()))
     assert got == sorted((o, "part", p, names.get(p), p not in names) for o, p in pairs) and got[-1][0] > 2000
+
+
+def test_checkpoint_sees_one_ordinary_row(spark, monkeypatch):
+    seen = {}
+    whole = queries.integrity.verify_global
+
+    def kept(now, then):
+        seen.update(now={r.shard: (r.size, r.root) for r in now.collect()}, then={r.shard: (r.size, r.root) for r in then.collect()})
+        return whole(now, then)
+
+    monkeypatch.setattr(queries.integrity, "verify_global", kept)
+    assert sorted(map(tuple, queries.QUERIES["verify_global"](spark, SF).collect())) == [(1, "rollback"), (2, "rewrite"), (3, "missing")]
+    every = leaves()
+    assert seen["then"] == {s: (len(every[s::4]), fold(every[s::4]).hex()) for s in range(4)}
+    assert seen["now"][0] == seen["then"][0] and seen["now"][1] == (len(every[1::4]) - 1, fold(every[1::4][:-1]).hex())
+    assert seen["now"][2][0] == seen["then"][2][0] and sorted(seen["now"]) == [0, 1, 2]
+
+
+@pytest.mark.parametrize("sizes", [(1, 9, 64, 65), (3, 0, 8, 7)])
+def test_roots_by_shard(spark, sizes):
+    made = {s: [hashlib.sha256(f"{s}/{i}".encode()).digest() for i in range(n)] for s, n in enumerate(sizes)}
+    rows = spark.createDataFrame([(s, i, bytearray(h)) for s, x in made.items() for i, h in enumerate(x)], "shard int, idx long, hash binary")
+    got = {r.shard: (r.size, r.root) for r in shard_roots(rows, max(sizes), height=3).collect()}
+    assert got == {s: (len(x), fold(x).hex()) for s, x in made.items() if x}
