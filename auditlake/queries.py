@@ -472,11 +472,24 @@ _CONSISTENT = integrity.consistency_path(600, 1000)
 
 @query(f"{_levels(LEAVES + ' WHERE event_id < 1000')} {_union(_CONSISTENT)}")
 def consistency_proof(spark, sf_dir):
-    """That the tree of 600 rows is a prefix of the one of 1000."""
+    """That the tree of 600 rows is a prefix of the one of the first 1000, as its SQL asks."""
     found = integrity.nodes_at(_leaves(spark, sf_dir).where("idx < 1000"), _CONSISTENT)
     return found.select(F.col("step").cast("int").alias("step"), F.lower(F.hex("hash")).alias("hash"))
 
 
+#: The first node of a proof from 600 rows, (height, idx), and from its height up the siblings on the way to the root.
+_FIRST = _CONSISTENT[0]
+_ABOVE = " UNION ALL ".join(f"SELECT {h + 1} AS k, hash FROM l{h} WHERE idx = {(599 >> h) ^ 1}" for h in range(_FIRST[0], LEVELS))
+
+
+@query(f"{_levels()} SELECT (row_number() OVER (ORDER BY k) - 1)::INT AS step, lower(hex(hash)) AS hash FROM (SELECT 0 AS k, hash FROM l{_FIRST[0]} WHERE idx = {_FIRST[1]} UNION ALL {_ABOVE})")
+def consistency_proof_all(spark, sf_dir):
+    """That the tree of 600 rows is a prefix of the whole log's."""
+    size = V.table(spark, sf_dir, "events").count()
+    found = integrity.nodes_at(_leaves(spark, sf_dir), integrity.consistency_path(600, size))
+    return found.select(F.col("step").cast("int").alias("step"), F.lower(F.hex("hash")).alias("hash"))
+
+
 @query("SELECT event_id AS idx FROM events WHERE event_id % 97 = 5")
 def verify_leaves(spark, sf_dir):
     """Rows whose leaf is not the recorded one; here every 97th was changed."""

@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from auditlake import queries
-from auditlake.operators.integrity import fold, shard_roots
+from auditlake.operators.integrity import fold, shard_roots, verify_consistency
 
 SF = "/root/testdata/sf0.01"
 
@@ -25,6 +25,15 @@ def test_every_order_is_rendered(spark):
     assert got == sorted((o, "part", p, names.get(p), p not in names) for o, p in pairs) and got[-1][0] > 2000
 
 
+def test_consistency_with_the_whole_log(spark):
+    every = leaves()
+    assert len(every) > 4096
+    proof = {r.step: bytes.fromhex(r.hash) for r in queries.QUERIES["consistency_proof_all"](spark, SF).collect()}
+    proof = [proof[i] for i in range(len(proof))]
+    assert verify_consistency(600, len(every), proof, fold(every[:600]), fold(every))
+    assert not verify_consistency(600, 1000, proof, fold(every[:600]), fold(every[:1000]))
+
+
 def test_checkpoint_sees_one_ordinary_row(spark, monkeypatch):
     seen = {}
     whole = queries.integrity.verify_global
