@@ -210,11 +210,12 @@ def _build_shard(most: int):
         x = _matrix(rows["__v"])
         unit = _unit(x).astype(np.float32)
         _, first, node = np.unique(unit.view([("", unit.dtype)] * unit.shape[1]).ravel(), return_index=True, return_inverse=True)
-        order = np.argsort(node, kind="stable")  # members of a node by id
-        starts = np.searchsorted(node[order], np.arange(len(first)))
-        # a query needs its `most` nearest besides itself; of equal vectors the smallest ids win
-        rank = np.arange(len(order)) - starts[node[order]]
-        keep = order[rank <= most]
+        # a query needs its `most` nearest besides itself; of equal vectors, which have one node, the smallest ids win
+        _, alike = np.unique((x + 0.0).view([("", x.dtype)] * x.shape[1]).ravel(), return_inverse=True)  # -0 as 0
+        order = np.argsort(alike, kind="stable")  # equal vectors by id
+        starts = np.searchsorted(alike[order], np.arange(alike.max() + 1))
+        rank = np.arange(len(order)) - starts[alike[order]]
+        keep = np.sort(order[rank <= most])
         g = build(unit[first])
         out = io.BytesIO()
         np.savez(out, ids=rows["__id"].to_numpy()[keep], node=node[keep], original=x[keep])

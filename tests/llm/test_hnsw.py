@@ -63,3 +63,10 @@ def test_graph_survives_storage():
     h = Graph.load(g.save())
     assert (g.nearest(unit[:50])[0] == h.nearest(unit[:50])[0]).all()
     assert (h.nearest(unit[:50])[0][:, 0] == np.arange(50)).all()
+
+
+def test_near_members_of_one_float32_direction_are_scored(spark):
+    rows = [(0, [1.0, 0.0])] + [(i, [1.0, 0.5 - i * 1e-10]) for i in range(1, 21)] + [(i, [-1.0, 0.1 * i]) for i in range(30, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id) for r in nearest_neighbours(df, every=1000).collect())
+    assert got == [(1, 20), (2, 19), (3, 18), (4, 17), (5, 16)]
