@@ -246,7 +246,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) ->
     """Lexicon, trees and calibration from labelled rows that are not held out; None without both labels."""
     sample = training_rows(docs, labels, "toxic", bound)
     learned = _lexicon_of(sample)
-    rows = _scored(sample, ["__id", "__label"], learned).limit(2 * bound).toPandas().sort_values("__id")
+    rows = _scored(sample, ["__id", "__label"], learned).toPandas().sort_values("__id")
     y = (rows["__label"].to_numpy() > 0).astype(float)
     if not 0 < y.sum() < len(y):
         return None

@@ -91,3 +91,13 @@ def test_scoring_by_word_equals_the_averaged_vectors(spark):
     got = {r.doc_id: r.score for r in score_quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
     assert np.allclose([got[i] for i in range(3)], want, atol=1e-5)
     assert repeats(np.array([1, 1, 1, 2, 2]), np.array([0, 2, 2, 5])).tolist() == [1, 0, 1]
+
+
+def test_a_repeated_labelled_id_is_one_training_row(spark):
+    from auditlake.llm.labelled import training_rows
+
+    docs = spark.createDataFrame([(i % 40, f"text {i}") for i in range(400)] + [(7, f"copy {i}") for i in range(300)] + [(9, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    rows = training_rows(docs, labels, "quality", 30).collect()
+    assert len(rows) <= 30 and len(rows) == len({r["__id"] for r in rows}) > 10
+    assert sorted(rows) == sorted(training_rows(docs.repartition(7), labels, "quality", 30).collect())
