@@ -3,8 +3,8 @@
 The global n-gram order (rarer first, then by hash) is cut into fragments by hash range, and every step counts inside
 fragments and sums over them:
 
-1. Tasks turn blocks of documents into distinct shingle hashes and send each fragment its part, one document for all equal
-   sets of a block. A fragment counts its n-grams and answers each block with the ones that occur in two documents or more. A
+1. Tasks turn blocks of documents into shingle hashes and send each fragment its part: every distinct n-gram of the block once, with
+   its number of documents. A fragment adds these up and answers each block which of its n-grams occur in two documents or more. A
    document whose shared n-grams, summed over fragments, are fewer than 75 % of its set links with nothing but copies.
 2. Documents with equal sets form a class; only its smallest id goes on.
 3. Prefix filter: documents that link share one of the rarest n-grams of each. Each document first meets the leader of the
@@ -14,8 +14,9 @@ fragments and sums over them:
    they share, and the parities of PARITIES small fragments, where each that differs costs the overlap one n-gram of
    one of the sets. Pairs are verified by partial overlaps per fragment, summed per pair.
 
-N-grams that are frequent inside one block travel as one count, not once per document. Links inside a component found in step 3
-do not change components, so leaving them out loses no class.
+An n-gram travels once per block, or once per relay of many blocks where the table is large, whatever share of the documents holds
+it. Links inside a component found in step 3 do not change components, so leaving them out loses no class. Sets are told apart by
+128 bits, n-grams by a 64-bit hash: that two different ones share it is the one way a result could be off, by one in an overlap.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing. Rows that share an id are one node
 with the links of all of them. A null id is counted but links with nothing and has no component.
@@ -23,6 +24,7 @@ with the links of all of them. A null id is counted but links with nothing and h
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,15 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.components import components
-from auditlake.llm.text import WordTable, blocks, encoded, gather, spans, stored
+from auditlake.llm.text import WordTable, blocks, encoded, gather, spans, spread_join, stored
 
 WORDS = 5
 SHARE, OF = 3, 4  # 75 %
 #: Text a task turns into shingles at a time, and text whose n-grams make about one fragment.
-BLOCK = 4 << 20
-FRAGMENT = 16 << 20
-#: N-grams that as many documents of one block hold travel as a count.
-HOT = 32
+BLOCK = 2 << 20
+FRAGMENT = 4 << 20
+#: Fragments that one source sends to at most.
+FAN = 1024
 #: Fragments of the verification.
 SEGMENTS = 4
 #: Fragments whose parities bound an overlap; a multiple of 64.
@@ -86,25 +88,42 @@ def shingles(texts: list[bytes], table: WordTable) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.fromiter(map(len, out), np.int64, len(out))
 
 
-def _pack(low: np.ndarray) -> bytes:
-    """Low 40 bits of each number, five bytes each."""
-    return np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+_SENT = "fragment long, source string, grams binary, counts binary, ranks binary, body binary"
+_NAMES = [c.split()[0] for c in _SENT.split(", ")]
+_TYPES = [pa.int64(), pa.string(), *[pa.binary()] * 4]
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return wide.view("<u8").ravel()
+def _lots(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Message rows, few at a time so that a batch stays small."""
+    for at in range(0, len(rows), 64):
+        columns = zip(*rows[at : at + 64], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
 
 
-_LOW = _U((1 << 40) - 1)
-_SENT = "fragment int, block string, docs binary, grams binary, hot binary, ranks binary, meta binary"
-_NAMES = [c.split()[0] for c in _SENT.split(", ")]
+def _place(source: str, slots: int) -> int:
+    """Below zero: where a row waits that no fragment counts."""
+    return -1 - xxhash.xxh32_intdigest(source) % slots
+
+
+def _fragment(grams: np.ndarray, fragments: int) -> np.ndarray:
+    """Equal ranges of the hash order, numbered."""
+    return ((grams >> _U(32)) * _U(fragments) >> _U(32)).astype(np.int64)
 
 
-def _doc_numbers(raw: bytes, count: int) -> np.ndarray:
-    """Numbers of documents inside a block, two bytes each where they fit."""
-    return np.frombuffer(raw, "<u2" if len(raw) == 2 * count else "<u4")
+def _messages(source: str, grams: np.ndarray, counts: np.ndarray, fragments: int) -> list[tuple]:
+    """A row for each fragment that sorted distinct n-grams fall in; counts above 255 read 255, which only order uses."""
+    cut = _fragment(grams, fragments)
+    edge = np.flatnonzero(np.concatenate([[True], cut[1:] != cut[:-1], [True]])) if len(cut) else np.zeros(1, np.int64)
+    small = np.minimum(counts, 255).astype(np.uint8)
+    return [(int(cut[a]), source, grams[a:b].tobytes(), small[a:b].tobytes(), None, None) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+
+
+def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order by n-gram, where each distinct one begins in it, and how often it occurs."""
+    order = np.argsort(grams, kind="stable")
+    ranked = grams[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(grams) else np.zeros(0, np.int64)
+    return order, first, np.diff(np.append(first, len(grams)))
 
 
 def _speakers(ids: list, meta: np.ndarray) -> np.ndarray:
@@ -118,94 +137,109 @@ def _speakers(ids: list, meta: np.ndarray) -> np.ndarray:
     return out
 
 
-def _send(fragments: int):
-    """Rows of a task: one per block and fragment, and one per block that only waits for its answers."""
+def _send(fragments: int, block_bytes: int):
+    """Rows of a task: one per block and fragment, and one per block that waits for the answers."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, serial = WordTable(_word_hashes), 0
-        for part in blocks(batches, "__text", BLOCK):
+        for part in blocks(batches, "__text", block_bytes):
             h, n = shingles(encoded(part, "__text"), table)
-            ids = part.column("__id")
-            block = f"{TaskContext.get().partitionId()}/{serial}"  # a task that runs again sends the same blocks
+            ids = part.column("__id").cast(pa.int64())
+            source = f"{TaskContext.get().partitionId()}/{serial}"  # a task that runs again sends the same blocks
             serial += 1
             edge = spans(n)
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(h), dtype=np.uint64)])
-            other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(h ^ _U(0x5851F42D4C957F2D)), dtype=np.uint64)])
-            sets = total[edge[1:]] - total[edge[:-1]]
-            more = other[edge[1:]] - other[edge[:-1]]
-            meta = np.stack([n.astype(np.int64), sets.view(np.int64), more.view(np.int64)], 1)
+            sums_ = []
+            for salt in (0, 0x5851F42D4C957F2D):
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(h ^ _U(salt)), dtype=np.uint64)])
+                sums_.append((total[edge[1:]] - total[edge[:-1]]).view(np.int64))
+            meta = np.stack([n.astype(np.int64), *sums_], 1)
             # of equal sets in a block only the smallest id speaks: no other can be its class's first
             speaks = _speakers(ids.to_pylist(), meta)
-            h, doc = h[np.repeat(speaks, n)], np.repeat(np.arange(len(n))[speaks], n[speaks])
-            fragment = ((h >> _U(32)) * _U(fragments) >> _U(32)).astype(np.int64)
-            gram = (fragment.astype(np.uint64) << _U(40)) | (h & _LOW)
-            order = np.argsort(gram, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], gram[order][1:] != gram[order][:-1]])) if len(gram) else np.zeros(0, np.int64)
-            size = np.diff(np.append(first, len(gram)))
-            often = size >= HOT
-            hot = np.zeros(len(gram), bool)
-            hot[order] = np.repeat(often, size)
-            rows = []
-            summary = np.stack([gram[order][first], size.astype(np.uint64)], 1)[often]
-            cold = np.flatnonzero(~hot)
-            cold = cold[np.argsort(fragment[cold], kind="stable")]  # by fragment, then document, then hash
-            bound = np.searchsorted(fragment[cold], np.arange(fragments + 1))
-            hot_at = np.searchsorted(summary[:, 0] >> _U(40), np.arange(fragments + 1).astype(np.uint64))
-            short = "<u2" if len(n) <= 1 << 16 else "<u4"
-            for f in range(fragments):
-                mine = cold[bound[f] : bound[f + 1]]
-                if len(mine) or hot_at[f] < hot_at[f + 1]:
-                    rows.append((f, block, doc[mine].astype(short).tobytes(), _pack(gram[mine] & _LOW), summary[hot_at[f] : hot_at[f + 1]].tobytes(), None, None))
-            waiting = pa.array(ids.to_pylist(), pa.int64())
-            at = np.flatnonzero(hot)
+            h, doc = h[np.repeat(speaks, n)], np.repeat(np.arange(len(n), dtype=np.uint32)[speaks], n[speaks])
+            order, first, size = _distinct(h)
+            rows = _messages(source, h[order][first], size, fragments)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64())])) as w:
-                w.write_batch(pa.RecordBatch.from_arrays([waiting], ["id"]))
-            rows.append((fragments + xxhash.xxh32_intdigest(block) % max(1, fragments), block, doc[at].astype("<u4").tobytes(), gram[at].tobytes(), None, meta.tobytes(), sink.getvalue().to_pybytes()))
-            for lot in range(0, len(rows), 16):
-                columns = list(zip(*rows[lot : lot + 16], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.string()), *(pa.array(c, pa.binary()) for c in columns[2:])], _NAMES)
+                w.write_batch(pa.RecordBatch.from_arrays([ids], ["id"]))
+            width = "<u2" if len(n) <= 1 << 16 else "<u4"
+            rows.append((_place(source, fragments), source, doc[order].astype(width).tobytes(), size.astype("<u4").tobytes(), meta.tobytes(), sink.getvalue().to_pybytes()))
+            yield from _lots(rows)
 
     return run
 
 
-def _answer(fragments: int):
-    """Counts one fragment over all blocks and answers each with its shared n-grams and their order."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        f = int(rows["fragment"].iloc[0])
-        if f >= fragments:
-            return rows
-        rows = rows.reset_index(drop=True)
-        parts = [_unpack(g) for g in rows["grams"]]
-        hot = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in rows["hot"]]
-        summary = np.concatenate(hot)
-        gram = np.concatenate([*parts, summary[:, 0] & _LOW])
-        n = np.ones(len(gram), np.int64)
-        n[len(gram) - len(summary) :] = summary[:, 1]
-        order = np.argsort(gram, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], gram[order][1:] != gram[order][:-1]])) if len(gram) else np.zeros(0, np.int64)
-        if len(first):
-            total = np.add.reduceat(n[order], first)
-            shared, rank = total > 1, np.log2(total).astype(np.uint8) + 1
-            size = np.diff(np.append(first, len(gram)))
-            ranks = np.zeros(len(gram), np.uint8)
-            ranks[order] = np.repeat(np.where(shared, rank, 0).astype(np.uint8), size)
-        else:
-            ranks = np.zeros(0, np.uint8)
-        at, hot_at, out = 0, len(gram) - len(summary), []
-        for i in range(len(rows)):
-            mine = ranks[at : at + len(parts[i])]
-            keep = mine > 0
-            mine_hot = ranks[hot_at : hot_at + len(hot[i])]
-            out.append((_doc_numbers(rows["docs"][i], len(keep))[keep].tobytes(), _pack(parts[i][keep]), np.stack([hot[i][:, 0], mine_hot.astype(np.uint64)], 1).tobytes() if len(hot[i]) else b"", mine[keep].tobytes()))
-            at, hot_at = at + len(parts[i]), hot_at + len(hot[i])
-        columns = list(zip(*out, strict=True))
-        return pd.DataFrame({"fragment": rows["fragment"], "block": rows["block"], "docs": columns[0], "grams": columns[1], "hot": columns[2], "ranks": columns[3], "meta": None})
+def _relay(fragments: int, most: int):
+    """Joins the messages of a coarse fragment, so that n-grams many blocks hold go on once, to finer fragments."""
+
+    def flush(held: list[tuple], source: str) -> Iterator[pa.RecordBatch]:
+        grams = np.concatenate([np.frombuffer(g, np.uint64) for _, _, g, _ in held])
+        counts = np.concatenate([np.frombuffer(c, np.uint8) for _, _, _, c in held]).astype(np.int64)
+        order, first, size = _distinct(grams)
+        back = np.empty(len(grams), np.uint32)  # which distinct n-gram an entry is
+        back[order] = np.repeat(np.arange(len(first), dtype=np.uint32), size)
+        rows = _messages(source, grams[order][first], np.add.reduceat(counts[order], first), fragments)
+        head = [(f, s, len(g) // 8) for f, s, g, _ in held]
+        rows.append((_place(source, fragments), source, back.tobytes(), None, None, json.dumps(head).encode()))
+        yield from _lots(rows)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, serial = [], 0, 0
+        for batch in batches:
+            for f, s, g, c, r, b in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if f < 0:  # waits for answers to a block or an earlier relay
+                    yield from _lots([(f, s, g, c, r, b)])
+                    continue
+                if held and (held[0][0] != f or size > most):
+                    yield from flush(held, f"r{fragments}/{TaskContext.get().partitionId()}/{serial}")
+                    held, size, serial = [], 0, serial + 1
+                held.append((f, s, g, c))
+                size += len(g)
+        if held:
+            yield from flush(held, f"r{fragments}/{TaskContext.get().partitionId()}/{serial}")
 
     return run
 
 
+def _answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Counts one fragment over all sources; each gets the order of its n-grams, 0 for those of one document, and the others."""
+    if key[0] < 0:
+        return rows
+    parts = [np.frombuffer(g, np.uint64) for g in rows["grams"]]
+    grams = np.concatenate(parts)
+    counts = np.concatenate([np.frombuffer(c, np.uint8) for c in rows["counts"]]).astype(np.int64)
+    order, first, size = _distinct(grams)
+    total = np.add.reduceat(counts[order], first)
+    ranks = np.empty(len(grams), np.uint8)
+    ranks[order] = np.repeat(np.where(total > 1, np.log2(total).astype(np.uint8) + 1, 0).astype(np.uint8), size)
+    del grams, order, counts
+    mine = np.split(ranks, spans(np.fromiter(map(len, parts), np.int64, len(parts)))[1:-1])
+    return rows.assign(grams=[g[r > 0].tobytes() for g, r in zip(parts, mine, strict=True)], counts=None, ranks=[r.tobytes() for r in mine])
+
+
+def _replies(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Order numbers of all n-grams a source sent, in its order, and the n-grams of several documents."""
+    rows = rows.sort_values("fragment")
+    none = [np.zeros(0, np.uint8)]
+    return np.concatenate([np.frombuffer(r, np.uint8) for r in rows["ranks"]] or none), np.concatenate([np.frombuffer(g, np.uint64) for g in rows["grams"]] or [np.zeros(0, np.uint64)])
+
+
+def _unrelay(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """What a relay's sources would have been answered."""
+    waiting = rows["fragment"] < 0
+    if not key[0].startswith("r") or waiting.all() or not waiting.any():  # a block's, or its turn is yet to come
+        return rows
+    last = rows[waiting].iloc[0]
+    ranks, grams = _replies(rows[~waiting])
+    every = np.zeros(len(ranks), np.uint64)
+    every[ranks > 0] = grams
+    back, out, at = np.frombuffer(last["grams"], np.uint32), [], 0
+    for f, s, n in json.loads(last["body"]):
+        mine = back[at : at + n]
+        at += n
+        out.append((f, s, every[mine][ranks[mine] > 0].tobytes(), None, ranks[mine].tobytes(), None))
+    return pd.DataFrame(out, columns=_NAMES)
+
+
 _BLOCK = "id long, n long, set1 long, set2 long, grams array<long>, parities array<long>"
 
 
@@ -215,48 +249,50 @@ def _parities(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _gather(fragments: int):
+def _gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Sums a block's answers: documents with enough shared n-grams get them in the global order, others null."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        last = rows[rows["fragment"] >= fragments].iloc[0]
-        ids = pa.ipc.open_stream(last["meta"]).read_all().column("id").to_pylist()
-        meta = np.frombuffer(last["ranks"], np.int64).reshape(-1, 3)
-        docs, grams, ranks, hot = [], [], [], []
-        for r in rows[rows["fragment"] < fragments].itertuples():
-            ranks.append(np.frombuffer(r.ranks, np.uint8))
-            docs.append(_doc_numbers(r.docs, len(ranks[-1])).astype(np.int64))
-            grams.append(_unpack(r.grams) | (_U(r.fragment) << _U(40)))
-            hot.append(np.frombuffer(r.hot, np.uint64).reshape(-1, 2))
-        known = np.concatenate(hot) if hot else np.zeros((0, 2), np.uint64)
-        known = known[np.argsort(known[:, 0], kind="stable")]
-        g = np.frombuffer(last["grams"], np.uint64)
-        found = known[np.searchsorted(known[:, 0], g), 1].astype(np.uint8) if len(g) else np.zeros(0, np.uint8)
-        keep = found > 0
-        doc = np.concatenate([*docs, np.frombuffer(last["docs"], "<u4")[keep].astype(np.int64)])
-        gram, rank = np.concatenate([*grams, g[keep]]), np.concatenate([*ranks, found[keep]])
-        n = meta[:, 0]
-        enough = (OF * np.bincount(doc, minlength=len(n)) >= SHARE * n) & (n > 0)
-        chosen = enough[doc]
-        doc, gram, rank = doc[chosen], gram[chosen], rank[chosen]
-        order = np.lexsort((gram, rank, doc))
-        edges = np.searchsorted(doc[order], np.arange(len(n) + 1))
-        ordered = gram[order].astype(np.int64)
-        lists = [ordered[edges[i] : edges[i + 1]] if enough[i] and ids[i] is not None else None for i in range(len(n))]
-        bits = [None if x is None else _parities(x) for x in lists]
-        return pd.DataFrame({"id": pd.array(ids, "Int64"), "n": n, "set1": meta[:, 1], "set2": meta[:, 2], "grams": lists, "parities": bits})
-
-    return run
-
-
-def shared_grams(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n, a 128-bit sum of the set, and, where enough n-grams are shared, these in the global order."""
+    waiting = rows["fragment"] < 0
+    last = rows[waiting].iloc[0]
+    ids = pa.ipc.open_stream(last["body"]).read_all().column("id").to_pylist()
+    meta = np.frombuffer(last["ranks"], np.int64).reshape(-1, 3)
+    n, size = meta[:, 0], np.frombuffer(last["counts"], "<u4").astype(np.int64)
+    docs = np.frombuffer(last["grams"], "<u2" if len(n) <= 1 << 16 else "<u4")
+    ranks, grams = _replies(rows[~waiting])
+    kept = size[ranks > 0]
+    doc = docs[gather(spans(size)[:-1][ranks > 0], kept)].astype(np.int64)
+    gram, rank = np.repeat(grams, kept), np.repeat(ranks[ranks > 0], kept)
+    enough = (OF * np.bincount(doc, minlength=len(n)) >= SHARE * n) & (n > 0)
+    chosen = enough[doc]
+    doc, gram, rank = doc[chosen], gram[chosen], rank[chosen]
+    order = np.lexsort((gram, rank, doc))
+    edges = np.searchsorted(doc[order], np.arange(len(n) + 1))
+    ordered = gram[order].view(np.int64)
+    lists = [ordered[edges[i] : edges[i + 1]] if enough[i] and ids[i] is not None else None for i in range(len(n))]
+    bits = [None if x is None else _parities(x) for x in lists]
+    return pd.DataFrame({"id": pd.array(ids, "Int64"), "n": n, "set1": meta[:, 1], "set2": meta[:, 2], "grams": lists, "parities": bits})
+
+
+def shared_grams(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int | None = None, fragment: int | None = None, fan: int | None = None) -> DataFrame:
+    """id, n, a 128-bit sum of the set, and, where enough n-grams are shared, these in the global order.
+
+    A source never sends to more than `fan` times the fragments it got its own n-grams from: up to `fan` fragments blocks send
+    straight to them, beyond that to `fan` coarse ones, whose relays send on. So rows stay large and grow with the input alone.
+    """
+    fan = fan or FAN
     rows = docs.select(docs[key].cast("long").alias("__id"), docs[text].alias("__text"))
     size = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
-    fragments = max(1, -(-size // FRAGMENT))
-    sent = rows.mapInArrow(_send(fragments), _SENT)
-    answered = sent.groupBy("fragment").applyInPandas(_answer(fragments), _SENT)
-    return answered.groupBy("block").applyInPandas(_gather(fragments), _BLOCK)
+    fragments = min(max(1, -(-size // (fragment or FRAGMENT))), 1 << 31)
+    steps, width = [min(fragments, fan)], fan
+    while width < fragments:
+        width *= fan
+        steps.append(min(width, fragments))
+    sent = rows.mapInArrow(_send(steps[0], block or BLOCK), _SENT)
+    for finer in steps[1:]:  # sorted, so that a relay that runs again holds the same messages
+        sent = sent.repartition("fragment").sortWithinPartitions("fragment", "source").mapInArrow(_relay(finer, 4 * (block or BLOCK)), _SENT)
+    answered = sent.groupBy("fragment").applyInPandas(_answer, _SENT)
+    for _ in steps[1:]:
+        answered = answered.groupBy("source").applyInPandas(_unrelay, _SENT)
+    return answered.groupBy("source").applyInPandas(_gather, _BLOCK)
 
 
 def _can_link(a: str, b: str):
@@ -291,12 +327,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     rows = stored(shared_grams(docs, key, text), "grams")
     # classes of equal sets; only those of several rows are joined back
     sets = ["n", "set1", "set2"]
-    classes = rows.where("n > 0 and id is not null").groupBy(*sets).agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
-    named = rows.select("id", *sets).join(classes, sets, "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
-    named = stored(named, "classes")
+    linked = rows.where("n > 0 and id is not null")
+    classes = stored(linked.groupBy(*sets).agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1"), "classes")
+    named = spread_join(rows.select("id", *sets), classes, sets, "c").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    named = stored(named, "named")
     # the class's smallest id carries its n-grams on, once
-    firsts = rows.where("grams is not null").join(classes.select(*sets, F.col("rep").alias("__rep")), sets, "left").where("__rep is null or __rep = id")
-    firsts = firsts.groupBy("id", *sets).agg(F.first("grams").alias("grams"), F.first("parities").alias("parities"))
+    first = F.min_by(F.struct("id", "grams", "parities"), "id").alias("f")
+    firsts = linked.where("grams is not null").groupBy(*sets).agg(first).select("f.*", *sets)
     # rows of one id with different sets hold several n-gram lists: each is a node of its own below the id
     firsts = stored(firsts.select(F.xxhash64("id", *sets).alias("node"), "id", "n", "grams", "parities"), "firsts")
     least = F.ceil(F.col("n") * SHARE / OF).cast("long")
@@ -329,8 +366,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     twice = named.where("n > 0 and id is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("r")).where("a <> b")
     edges = edges.unionByName(twice.select("a", F.explode("r").alias("b"))).unionByName(twice.select(F.col("id").alias("a"), F.col("a").alias("b")))
     whole = components(edges)
-    out = named.join(whole, named.rep == whole.node, "left")
-    return out.select(named.id.cast(kind).alias(key), F.col("n").alias("n_shingles"), F.when(named.id.isNotNull(), F.coalesce("component", "rep")).cast(kind).alias("component_id"))
+    sized = named.groupBy("rep").agg(F.count("*").alias("c")).join(whole, F.col("rep") == F.col("node")).select("rep", "component", "c")
+    out = spread_join(named, stored(sized, "sized"), ["rep"], "c")
+    return out.select(F.col("id").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep")).cast(kind).alias("component_id"))
 
 
 ORACLE_SQL = r"""

@@ -62,7 +62,7 @@ class WordTable(dict):
     Grows to `cap` words, then starts anew at the next block, so a task's memory stays bounded.
     """
 
-    def __init__(self, measure: Callable[[list[bytes]], tuple[np.ndarray, ...]], cap: int = 250_000):
+    def __init__(self, measure: Callable[[list[bytes]], tuple[np.ndarray, ...]], cap: int = 100_000):
         super().__init__()
         self.measure, self.cap, self.fresh, self.columns = measure, cap, [], None
 
@@ -118,6 +118,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], size: str, most: int = 50_000) -> DataFrame:
+    """Left join with a table of one row per key, whose column `size` says how many of the rows have it.
+
+    Keys with more than one in `most` of the counted rows are fewer than `most`, so their rows of the table can be broadcast, and no
+    task gets a hot key whole; the others are shuffled. The table should be stored: it is read three times.
+    """
+    total = table.agg(F.sum(size)).first()[0] or 0
+    hot = table.where(F.col(size) * most > total).drop(size).withColumn("__hot", F.lit(True))
+    cold = table.where(F.col(size) * most <= total).drop(size)
+    met = rows.join(F.broadcast(hot), on, "left")
+    rest = met.where("__hot is null").select(*rows.columns).join(cold, on, "left")
+    return met.where("__hot").drop("__hot").unionByName(rest)
+
+
 def held_out(doc_id) -> F.Column:
     """True for the fifth of rows that no label is learned from: crc32 of the id as text, mod 5, is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))

@@ -2,6 +2,10 @@ import os
 import random
 import sys
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import compare  # noqa: E402
 
@@ -70,15 +74,14 @@ def test_near_copies_passages_and_odd_rows(spark):
     assert got == brute(rows)
 
 
-def test_hot_grams_and_many_fragments(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "FRAGMENT", 2000)
-    monkeypatch.setattr(jaccard, "HOT", 3)
+def test_hot_grams_many_fragments_and_relays(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FRAGMENT", 2000)  # about 20 fragments
+    monkeypatch.setattr(jaccard, "FAN", 3)  # so three exchanges: 3, 9, 20
     monkeypatch.setattr(jaccard, "BLOCK", 4000)
     rng = random.Random(9)
     base = [f"w{rng.randrange(200)}" for _ in range(60)]
     rows = [(i, near(rng, base[: rng.choice([30, 60])], rng.randint(0, 6))) for i in range(150)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    # tasks read the patched values through the closure's module only if shipped; fragments and blocks come from the driver
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()), key=repr)
     assert got == brute(rows)
 
@@ -104,3 +107,46 @@ def test_components_of_long_chains(spark):
     edges = [(ids[i], ids[i + 1]) for i in range(199)] + [(ids[i + 1], ids[i]) for i in range(200, 299)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == min(ids[:200]) for i in ids[:200]) and all(got[i] == min(ids[200:]) for i in ids[200:])
+
+
+def _sent_rows(spark, n, fan):
+    """Message rows and their bytes over n documents of 30 own words and 30 that all share."""
+    common = " ".join(f"c{i}" for i in range(30))
+    rows = [(i, common + " " + " ".join(f"d{i}x{j}" for j in range(30))) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    text = df.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
+    size = sum(len(t) for _, t in rows)
+    fragments = -(-size // 2000)
+    steps, width = [min(fragments, fan)], fan
+    while width < fragments:
+        width *= fan
+        steps.append(min(width, fragments))
+    sent = text.mapInArrow(jaccard._send(steps[0], 20_000), jaccard._SENT)
+    counts = [sent.count()]
+    for finer in steps[1:]:
+        sent = sent.repartition("fragment").sortWithinPartitions("fragment", "source").mapInArrow(jaccard._relay(finer, 80_000), jaccard._SENT)
+        counts.append(sent.count())
+    return counts
+
+
+def test_rows_sent_grow_with_the_input_alone(spark):
+    sizes = [400, 800, 1600]
+    most = [max(_sent_rows(spark, n, 8)) for n in sizes]
+    assert most[1] < 2.6 * most[0] and most[2] < 2.6 * most[1], most
+
+
+def test_equal_low_bits_do_not_merge_ngrams(spark):
+    """N-grams that agree in 40 bits and their fragment are still two."""
+    grams = np.sort(np.array([(1 << 63) + 5, (1 << 63) + 5 + (1 << 40), (1 << 63) + 5 + (2 << 40)], np.uint64))
+    rows = pd.DataFrame([(0, f"b{i}", g.tobytes(), b"\x01" * len(g), None, None) for i, g in enumerate([grams[:2], grams[1:]])], columns=jaccard._NAMES)
+    got = jaccard._answer((0,), rows)
+    assert [np.frombuffer(r, np.uint8).tolist() for r in got["ranks"]] == [[0, 2], [2, 0]]
+    assert all(np.frombuffer(g, np.uint64).tolist() == [int(grams[1])] for g in got["grams"])
+
+
+def test_hot_class_of_copies_and_clashing_columns(spark):
+    rows = [(i, "same text here for all of them", i, "c") for i in range(300)] + [(1000 + i, f"own {i} words that no one else has", i, "c") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int, component string").repartition(7)
+    df = df.withColumn("rep", F.lit(1)).withColumn("id", F.lit("x"))
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()}
+    assert all(got[i] == 0 for i in range(300)) and all(got[1000 + i] == 1000 + i for i in range(50))
