@@ -16,6 +16,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -150,24 +151,22 @@ class _Measure:
         return at + ends - per, per
 
 
-_tables: dict[str, tuple[WordTable, _Measure]] = {}
+#: A worker keeps the last vocabulary, whose size is the file's.
+vocabulary = lru_cache(1)(Vocabulary)
 
 
-def _table(path: str) -> tuple[WordTable, _Measure]:
-    """Kept by the worker from task to task; all parts start anew together."""
-    if path not in _tables or len(_tables[path][0]) > _tables[path][0].cap:
-        measure = _Measure(_tables[path][1].vocabulary if path in _tables else Vocabulary(path))
-        _tables[path] = (WordTable(measure), measure)
-    return _tables[path]
+def chunk_table(path: str) -> WordTable:
+    """What `encode` keeps from block to block."""
+    return WordTable(lambda: _Measure(vocabulary(path)))
 
 
-def encode(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def encode(texts: list[bytes], table: WordTable) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Ids of all texts in order, their counts by text, and each text decoded again from its ids."""
-    table, measure = _table(path)
     cut = [t.split() for t in texts]
     chunks = spans(np.fromiter(map(len, cut), np.int64, len(cut)))
     numbers = table.numbers([c for x in cut for c in x])
     at, per = table.columns
+    measure = table.measure
     counts = per[numbers]
     ids = measure.ids.values[gather(at[numbers], counts)]
     shown = measure.shown
@@ -179,7 +178,7 @@ def encode(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray, list[
 
 def decode(ids: Iterable[int], path: str) -> str:
     """The tokens joined by spaces, as a vocabulary file without a decoder asks for."""
-    token = _table(path)[1].vocabulary.token
+    token = vocabulary(path).token
     return " ".join(token[i] for i in ids)
 
 
@@ -196,8 +195,9 @@ def bpe(docs: DataFrame, path: str | None = None, text: str = "text", keep: tupl
     columns = _DIGEST | (_FULL if full else {})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = chunk_table(path)
         for part in blocks(batches, "__text"):
-            ids, counts, decoded = encode(encoded(part, "__text"), path)
+            ids, counts, decoded = encode(encoded(part, "__text"), table)
             raw, offsets = ids.astype("<u4").tobytes(), spans(counts)
             made = [counts, [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], [hashlib.sha256(d).hexdigest() for d in decoded]]
             arrays = [part.column(c) for c in keep] + [pa.array(m, t) for m, (_, t) in zip(made, _DIGEST.values(), strict=True)]

@@ -141,7 +141,7 @@ def _send(fragments: int, block_bytes: int):
     """Rows of a task: one per block and fragment, and one per block that waits for the answers."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, serial = WordTable(_word_hashes), 0
+        table, serial = WordTable(lambda: _word_hashes), 0
         for part in blocks(batches, "__text", block_bytes):
             h, n = shingles(encoded(part, "__text"), table)
             ids = part.column("__id").cast(pa.int64())

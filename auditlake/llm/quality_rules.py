@@ -80,18 +80,24 @@ def _scripts(texts: list[str], lengths: np.ndarray) -> np.ndarray:
     return np.bincount(word * width + kind, minlength=width * len(texts)).reshape(-1, width)[:, :-1].astype(np.int32)
 
 
+@lru_cache(1)
+def _pieces(path: str) -> np.ndarray:
+    """Which tokens of the vocabulary are pieces of characters."""
+    encoding = _encoding(path)
+    out = np.zeros(encoding.n_vocab + 1, bool)
+    for token in encoding.token_byte_values():
+        try:
+            token.decode()
+        except UnicodeDecodeError:
+            out[encoding.encode_single_token(token)] = True
+    return out
+
+
 class _Measure:
     """Per word: code points, symbols, tokens, pieces of characters, letters by script."""
 
     def __init__(self, path: str):
-        self.encoding = _encoding(path)
-        self.partial = np.zeros(self.encoding.n_vocab + 1, bool)
-        for token in self.encoding.token_byte_values():
-            try:
-                token.decode()
-            except UnicodeDecodeError:
-                self.partial[self.encoding.encode_single_token(token)] = True
-        self.tokens = Runs(np.int32)
+        self.encoding, self.partial, self.tokens = _encoding(path), _pieces(path), Runs(np.int32)
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
         texts = [w.decode() for w in words]
@@ -152,25 +158,15 @@ _ARROW = pa.schema([(n, t) for n, t in [
     ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()),
     ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("chars_per_token", pa.float64()),
     ("fallback_share", pa.float64()), ("entropy_share", pa.float64()), ("script", pa.string()), ("kept", pa.bool_())]])
-_tables: dict[str, tuple[WordTable, _Measure]] = {}
-
-
-def _table(path: str) -> tuple[WordTable, _Measure]:
-    """Kept by the worker from task to task; both parts start anew together."""
-    if path not in _tables or len(_tables[path][0]) > _tables[path][0].cap:
-        measure = _tables[path][1] if path in _tables else _Measure(path)
-        measure.tokens = Runs(np.int32)
-        _tables[path] = (WordTable(measure), measure)
-    return _tables[path]
 
 
-def measure_texts(texts: list[bytes], path: str, bands: dict[str, Band] = BANDS) -> list[np.ndarray]:
-    """The columns of SCHEMA for some texts."""
-    table, measure = _table(path)
+def measure_texts(texts: list[bytes], table: WordTable, bands: dict[str, Band] = BANDS) -> list[np.ndarray]:
+    """The columns of SCHEMA for some texts; the table measures words with `_Measure`."""
     cut = [t.split() for t in texts]
     offsets = spans(np.fromiter(map(len, cut), np.int64, len(cut)))
     ids = table.numbers([w for c in cut for w in c])
     points, symbols, at, counts, partial, scripts = table.columns
+    measure = table.measure
     n_words = np.diff(offsets)
     per = [sums(x[ids], offsets) for x in (points, symbols, counts, partial)]
     word_chars, n_symbols, n_tokens, n_partial = per
@@ -203,8 +199,9 @@ def quality_rules(docs: DataFrame, path: str | None = None, text: str = "text",
         path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordTable(lambda: _Measure(path))
         for part in blocks(batches, "__text"):
-            made = measure_texts(encoded(part, "__text"), path, bands)
+            made = measure_texts(encoded(part, "__text"), table, bands)
             kept = [part.column(c) for c in keep]
             made = [pa.array(v, f.type) for v, f in zip(made, _ARROW, strict=True)]
             yield pa.RecordBatch.from_arrays(kept + made, [*keep, *_ARROW.names])

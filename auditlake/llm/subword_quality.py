@@ -118,14 +118,13 @@ def _bags(sample: DataFrame) -> list:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, "__text"):
-            measure = _Bags()
-            table = WordTable(measure)
+            table = WordTable(_Bags)
             rows = []
             for t in encoded(part, "__text"):
                 ids = table.numbers(t.split())
                 at, counts = table.columns
                 again = int(repeats(ids, np.array([0, len(ids)]))[0])
-                flat = np.concatenate([measure.runs.values[gather(at[ids], counts[ids])], np.full(again, AGAIN, np.int32)])
+                flat = np.concatenate([table.measure.runs.values[gather(at[ids], counts[ids])], np.full(again, AGAIN, np.int32)])
                 buckets, n = np.unique(flat, return_counts=True)
                 rows.append((buckets.astype(np.int32).tobytes(), (n / max(1, n.sum())).astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__label"), *(pa.array(v, pa.binary()) for v in zip(*rows, strict=True))], ["id", "label", "buckets", "share"])
@@ -150,7 +149,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", keep
         return sums(logit[buckets].astype(float), spans(counts)), counts
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(measure)
+        table = WordTable(lambda: measure)
         for part in blocks(batches, "__text"):
             cut = [t.split() for t in encoded(part, "__text")]
             offsets = spans(np.fromiter(map(len, cut), np.int64, len(cut)))

@@ -57,25 +57,28 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class WordTable(dict):
-    """Numbers distinct words and measures each once; `measure` gets the new words of a block together.
+    """Numbers distinct words and measures each once; `start` makes the measure, which gets the new words of a block together.
 
-    Grows to `cap` words, then starts anew at the next block, so a task's memory stays bounded.
+    Grows to `most` bytes of words, then starts anew at the next block with a new measure. Tasks make a table of their own, so
+    nothing outlives them in the worker.
     """
 
-    def __init__(self, measure: Callable[[list[bytes]], tuple[np.ndarray, ...]], cap: int = 100_000):
+    def __init__(self, start: Callable[[], Callable[[list[bytes]], tuple[np.ndarray, ...]]], most: int = 1 << 20):
         super().__init__()
-        self.measure, self.cap, self.fresh, self.columns = measure, cap, [], None
+        self.start, self.most = start, most
+        self.measure, self.held, self.fresh, self.columns = start(), 0, [], None
 
     def __missing__(self, word: bytes) -> int:
         self[word] = number = len(self)
+        self.held += len(word)
         self.fresh.append(word)
         return number
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Word numbers, valid until the next call; `columns` then holds the measures by number."""
-        if len(self) > self.cap:
+        if self.held > self.most:
             self.clear()
-            self.columns = None
+            self.measure, self.held, self.columns = self.start(), 0, None
         found = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
         if self.fresh or self.columns is None:
             new = self.measure(self.fresh)

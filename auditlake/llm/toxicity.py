@@ -232,7 +232,7 @@ def _scored(docs: DataFrame, keep: list[str], learned: dict[str, float]) -> Data
     """`keep` columns and features as an array."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(Words(learned))
+        table = WordTable(lambda: Words(learned))
         for part in blocks(batches, "__text"):
             x = features(encoded(part, "__text"), table)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
@@ -264,7 +264,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, text: str = "te
     """`keep` columns, score and predicted of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(Words(model.learned if model else {}))
+        table = WordTable(lambda: Words(model.learned if model else {}))
         for part in blocks(batches, "__text"):
             score = model.trees.score(features(encoded(part, "__text"), table)) if model else np.zeros(part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
