@@ -5,8 +5,9 @@ A record is JSON text. Its fingerprint is the hash of its nested field paths wit
 through a template that marks them; a backslash before control strings inside texts and roles keeps these reversible.
 Everything is DataFrame functions.
 
-Null texts and roles count as empty. A record of an unknown layout, null or invalid JSON has null turns and is kept.
-Repeated records give repeated rows. Texts have no limit but Spark's own of 2 GiB a field, which a record and its formatted text are.
+Null texts and roles count as empty. A record of an unknown layout, null or invalid JSON has null turns and is kept; an empty table
+gives an empty one. Repeated records give repeated rows; of conversations, repeated rows are repeated turns. `canonical_turns` and `formatted` add columns and replace
+those of the same names; of conversations, only conv_id, turn, role and text are read. Texts have no limit but Spark's own of 2 GiB a field, which a record and its formatted text are.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ class Layout:
     shape: str
     turns: tuple[tuple[str, str], ...] = ()
     each: tuple[str, str, str] | None = None  # list, its role field, its text field
+    own_names: bool = False  # whether its roles go by the names of ROLES
 
     def canonical(self, record: Column) -> Column:
         if self.each:
             rows, role, text = self.each
-            return F.transform(record[rows], lambda m: _turn(m[role], m[text]))
+            named = lambda r: F.coalesce(F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])[r], r) if self.own_names else r
+            return F.transform(record[rows], lambda m: _turn(named(m[role]), m[text]))
         made = [_turn(F.lit(role), record[field]) for role, field in self.turns]
         return F.array(*made)
 
@@ -43,8 +46,8 @@ def _turn(role: Column, text: Column) -> Column:
 
 LAYOUTS = (
     Layout("OBJECT<messages: ARRAY<OBJECT<content: , role: >>>", each=("messages", "role", "content")),
-    Layout("OBJECT<conversations: ARRAY<OBJECT<from: , value: >>>", each=("conversations", "from", "value")),
-    Layout("OBJECT<turns: ARRAY<OBJECT<speaker: , text: >>>", each=("turns", "speaker", "text")),
+    Layout("OBJECT<conversations: ARRAY<OBJECT<from: , value: >>>", each=("conversations", "from", "value"), own_names=True),
+    Layout("OBJECT<turns: ARRAY<OBJECT<speaker: , text: >>>", each=("turns", "speaker", "text"), own_names=True),
     Layout("OBJECT<prompt: , response: >", (("user", "prompt"), ("assistant", "response"))),
     Layout("OBJECT<completion: , prompt: >", (("user", "prompt"), ("assistant", "completion"))),
     Layout("OBJECT<answer: , question: >", (("user", "question"), ("assistant", "answer"))),
@@ -53,7 +56,7 @@ LAYOUTS = (
     Layout("OBJECT<input: , instruction: , output: >", (("system", "instruction"), ("user", "input"), ("assistant", "output"))),
     Layout("OBJECT<messages: ARRAY<>>", each=("messages", "role", "content")),
 )
-#: Names by which layouts call the canonical roles.
+#: Names by which layouts with names of their own call the canonical roles; elsewhere roles stay as they are.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -85,9 +88,7 @@ def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
     turns = F.lit(None)
     for layout in reversed(LAYOUTS):
         turns = F.when(F.col("fingerprint") == F.xxhash64(F.lit(layout.shape)), layout.canonical(F.col("__r"))).otherwise(turns)
-    renamed = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-    named = F.transform("turns", lambda t: F.struct(F.coalesce(renamed[t["role"]], t["role"]).alias("role"), t["text"].alias("text")))
-    return rows.withColumn("turns", turns).withColumn("turns", named).drop("__r")
+    return rows.withColumn("turns", turns).drop("__r")
 
 
 def escaped(text: Column, role: bool = False) -> Column:
@@ -142,9 +143,9 @@ def masked(text: Column, mask: Column) -> Column:
 def records_of(conversations: DataFrame) -> DataFrame:
     """One JSON record per conversation, from rows by turn; the layout follows from its roles.
 
-    Rows of one turn number stay in an order of role and text. One conversation's turns meet in one row, as its text does.
+    Rows of one turn number stay in an order of role and text; null turns come last. One conversation's turns meet in one row, as its text does.
     """
-    rows = conversations.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content")).alias("m"))
+    rows = conversations.select("conv_id", F.struct(F.col("turn").isNull().alias("last"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content")).alias("m"))
     whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("m"))
     roles = F.transform("m", lambda m: m["role"])
     at = lambda i: F.col("m")[i]["content"]
@@ -181,9 +182,9 @@ WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{HOSTILE}' UNION ALL SELECT -1, 1, 'assistant', '{HOSTILE}')
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum({len(START) + len(END) + 2} + length(replace({_ESC.format("role")}, chr(10), chr(92) || 'n')) + length({_ESC.format("text")}))::BIGINT AS formatted_chars
 FROM rows GROUP BY conv_id
 """

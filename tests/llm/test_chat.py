@@ -83,3 +83,14 @@ def test_a_turn_above_twenty_million_characters(spark):
     text = "<\\" * (size // 2)
     assert (r.n_turns, r.loss_chars, r.loss_sha256) == (2, size, hashlib.sha256(text.encode()).hexdigest())
     assert r.turns_sha256 == hashlib.sha256(f"user\nq\nassistant\n{text}\n".encode()).hexdigest()
+
+
+def test_roles_of_the_table_stay_and_null_turns_come_last(spark):
+    turns = {1: [(0, "human", "a"), (1, "gpt", "b")], 2: [(0, "user", "q"), (1, "bot", "r"), (2, "model", "s")], 3: [(None, "assistant", "z"), (4, "system", "t")], 4: [(None, None, None), (0, "assistant", "x")]}
+    rows = [(c, t, r, x, 1) for c, list_ in turns.items() for t, r, x in list_]
+    out = {r.conv_id: r for r in chat.chat_digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, back int")).collect()}
+    for c, list_ in turns.items():
+        list_ = sorted(((t, r or "", x or "") for t, r, x in list_), key=lambda t: (t[0] is None, t[0] or 0))
+        loss = "".join(x for _, r, x in list_ if r == "assistant")
+        assert out[c].n_turns == len(list_) and out[c].loss_chars == len(loss) and out[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert out[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in list_).encode()).hexdigest()
