@@ -6,7 +6,9 @@ at most MAX_ATOMS atoms is a candidate segment of every kind, scored on features
 a dynamic program picks boundaries and kinds together. Atoms under a base span are closed to it.
 
 Weights come from maximum likelihood (forward-backward over segments) on seeded templates, as no table
-labels spans. Offsets are code points. Null text is empty; an empty text has no spans; rows repeat as given.
+labels spans. Offsets are code points. Null text is empty; an empty text has no spans; rows repeat as given; an empty table gives
+no rows. Time grows with a text's length and memory with its entities, so long texts are read whole. Of segmentations that score
+alike the one with the earlier first atoms wins. Columns not in `keep` play no part; `keep` may not name columns of the result.
 """
 
 from __future__ import annotations
@@ -14,8 +16,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,9 @@ from auditlake.llm.text import blocks
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_ATOMS = 8
+#: Digits of the longest entity, and atoms whose segments are scored at a time.
+MAX_DIGITS = 19
+LOT = 4096
 Span = tuple[int, int, int]  # start, end, index of kind
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -36,6 +42,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 #: Seven digits or more with at most three separators between two.
 _REGION = re.compile(r"[+(]{0,2}+(?:[0-9][ ().+-]{0,3}+){7,}+")
+_DIGITS = re.compile(r"[0-9]+")
 #: Addresses with spelt-out or spaced signs.
 _SPELT = re.compile(
     r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}+(?:"
@@ -89,6 +96,25 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], s[2], s[1]))
 
 
+class Covered:
+    """What spans cover, as disjoint runs that are searched by halving."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b, _ in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, start: int, end: int) -> bool:
+        """Whether a character from start to end is covered."""
+        k = bisect_left(self.starts, end) - 1
+        return k >= 0 and self.ends[k] > start
+
+
 FEATURES = ["bias", "digits<7", "digits 7-9", "digits 10-11", "digits 12-13", "digits 14-15", "digits 16", "digits 17-19", "digits>19", "atoms 1", "atoms 2", "atoms 3", "atoms 4", "atoms 5+",
             "plus", "parenthesis", "luhn", "valid ip", "dots only", "spaces only", "dashes only", "mixed", "all fours", "ends 3-4", "single 16", "letter before", "letter after", "digit beside",
             "cue phone", "cue card", "cue ip", "cue not", "spelt", "spelt signs", "plain at", "balanced", "plus inside", "covers more"]
@@ -148,31 +174,40 @@ def _features(text: str, atoms: list[tuple[int, int]], i: int, j: int, spelt: bo
 
 
 class Lattice:
-    """Atoms of one region and their candidate segments."""
+    """Atoms of one region and their candidate segments: single atoms, and runs with no more digits than any entity has."""
 
     def __init__(self, text: str, atoms: list[tuple[int, int]], spelt: bool):
-        self.size = len(atoms)
-        self.segments = []  # first atom, last atom, features, start, end
-        for i in range(len(atoms)):
-            for j in range(i, min(len(atoms), i + MAX_ATOMS)):
-                self.segments.append((i, j, *_features(text, atoms, i, j, spelt)))
-        self.matrix = np.zeros((len(self.segments), len(FEATURES)))
-        for k, s in enumerate(self.segments):
-            self.matrix[k, s[2]] = 1
+        self.text, self.atoms, self.spelt, self.size = text, atoms, spelt, len(atoms)
+
+    def segments_from(self, first: int, stop: int) -> tuple[list[tuple], np.ndarray]:
+        """Segments that begin at these atoms: first atom, last atom, features, start, end; and their features as rows."""
+        out = []
+        for i in range(first, stop):
+            digits = 0
+            for j in range(i, min(self.size, i + MAX_ATOMS)):
+                digits += self.atoms[j][1] - self.atoms[j][0]
+                if j > i and digits > MAX_DIGITS:
+                    break
+                out.append((i, j, *_features(self.text, self.atoms, i, j, self.spelt)))
+        matrix = np.zeros((len(out), len(FEATURES)))
+        for k, s in enumerate(out):
+            matrix[k, s[2]] = 1
+        return out, matrix
+
+    @cached_property
+    def whole(self) -> tuple[list[tuple], np.ndarray]:
+        return self.segments_from(0, self.size)
 
 
 def lattices(text: str, base: list[Span]) -> Iterator[Lattice]:
     """Regions that hold candidates, without atoms under base spans."""
-    closed = [(a, b) for a, b, _ in base]
-    free = lambda a, b: all(b <= x or a >= y for x, y in closed)
+    closed = Covered(base)
     if _ANY.search(text):
         for m in _REGION.finditer(text):
-            near = [(x, y) for x, y in closed if x < m.end() and y > m.start()]
             run: list[tuple[int, int]] = []
-            for g in re.finditer(r"[0-9]+", m[0]):
-                a, b = m.start() + g.start(), m.start() + g.end()
-                if all(b <= x or a >= y for x, y in near):
-                    run.append((a, b))
+            for g in _DIGITS.finditer(text, m.start(), m.end()):
+                if not closed.meets(g.start(), g.end()):
+                    run.append((g.start(), g.end()))
                 elif run:
                     yield Lattice(text, run, False)
                     run = []
@@ -180,57 +215,58 @@ def lattices(text: str, base: list[Span]) -> Iterator[Lattice]:
                 yield Lattice(text, run, False)
     if _SIGN.search(text):
         for m in _SPELT.finditer(text):
-            if free(m.start(), m.end()):
+            if not closed.meets(m.start(), m.end()):
                 yield Lattice(text, [(m.start(), m.end())], True)
 
 
-def _scores(lattice: Lattice, weights: np.ndarray) -> np.ndarray:
+def _scores(segments: list[tuple], matrix: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Score by segment and label; label 0, outside, takes single atoms only."""
-    scores = lattice.matrix @ weights.T
-    scores[[s[0] != s[1] for s in lattice.segments], 0] = -np.inf
+    scores = matrix @ weights.T
+    scores[[s[0] != s[1] for s in segments], 0] = -np.inf
     return scores
 
 
 def decode(lattice: Lattice, weights: np.ndarray) -> list[Span]:
-    """The best segmentation's spans."""
-    scores = _scores(lattice, weights)
-    label = scores.argmax(1).tolist()
-    value = scores.max(1).tolist()
-    best, back = [0.0] + [-np.inf] * lattice.size, [-1] * (lattice.size + 1)
-    for k, s in enumerate(lattice.segments):  # by first atom, so best[s[0]] is final
-        if (v := best[s[0]] + value[k]) > best[s[1] + 1]:
-            best[s[1] + 1], back[s[1] + 1] = v, k
+    """The best segmentation's spans; of equal ones that with the earlier first atoms. Segments are scored LOT atoms at a time."""
+    best: list[float] = [0.0] + [-np.inf] * lattice.size
+    back: list[tuple] = [()] * (lattice.size + 1)
+    for first in range(0, lattice.size, LOT):
+        segments, matrix = lattice.segments_from(first, min(lattice.size, first + LOT))
+        scores = _scores(segments, matrix, weights)
+        for (i, j, _, a, b), v, k in zip(segments, scores.max(1).tolist(), scores.argmax(1).tolist(), strict=True):
+            if best[i] + v > best[j + 1]:  # by first atom, so best[i] is final
+                best[j + 1], back[j + 1] = best[i] + v, (i, a, b, k)
     out, at = [], lattice.size
     while at:
-        s = lattice.segments[back[at]]
-        if label[back[at]]:
-            out.append((s[3], s[4], label[back[at]] - 1))
-        at = s[0]
+        at, a, b, k = back[at]
+        if k:
+            out.append((a, b, k - 1))
     return out[::-1]
 
 
 def _gradient(lattice: Lattice, weights: np.ndarray, gold: dict[tuple[int, int], int]) -> np.ndarray:
     """Of the log likelihood of the gold segmentation; gold: label of (first, last) atoms, others outside."""
-    scores = _scores(lattice, weights)
+    segments, matrix = lattice.whole
+    scores = _scores(segments, matrix, weights)
     total = np.logaddexp.reduce(scores, 1)
     fore = np.full(lattice.size + 1, -np.inf)
     back = fore.copy()
     fore[0] = back[-1] = 0
-    for k, s in enumerate(lattice.segments):
+    for k, s in enumerate(segments):
         fore[s[1] + 1] = np.logaddexp(fore[s[1] + 1], fore[s[0]] + total[k])
-    for k in range(len(lattice.segments) - 1, -1, -1):
-        s = lattice.segments[k]
+    for k in range(len(segments) - 1, -1, -1):
+        s = segments[k]
         back[s[0]] = np.logaddexp(back[s[0]], back[s[1] + 1] + total[k])
-    first, last = (np.array([s[k] for s in lattice.segments]) for k in (0, 1))
+    first, last = (np.array([s[k] for s in segments]) for k in (0, 1))
     chance = np.exp(scores + (fore[first] + back[last + 1] - fore[-1])[:, None])
     covered = {a for i, j in gold for a in range(i, j + 1)}
     truth = np.zeros_like(chance)
-    for k, s in enumerate(lattice.segments):
+    for k, s in enumerate(segments):
         if (s[0], s[1]) in gold:
             truth[k, gold[s[0], s[1]]] = 1
         elif s[0] == s[1] and s[0] not in covered:
             truth[k, 0] = 1
-    return (truth - chance).T @ lattice.matrix
+    return (truth - chance).T @ matrix
 
 
 def _examples(seed: int, count: int) -> Iterator[tuple[str, list[Span]]]:
@@ -262,7 +298,7 @@ def train(seed: int = 7, count: int = 500, epochs: int = 14, rate: float = 0.15,
     cases = []
     for text, gold in _examples(seed, count):
         for lattice in lattices(text, []):
-            found = {(s[0], s[1]): k + 1 for s in lattice.segments for a, b, k in gold if (s[3], s[4]) == (a, b)}
+            found = {(s[0], s[1]): k + 1 for s in lattice.whole[0] for a, b, k in gold if (s[3], s[4]) == (a, b)}
             cases.append((lattice, found))
     weights = np.zeros((len(KINDS) + 1, len(FEATURES)))
     order = np.random.default_rng(seed)
@@ -276,7 +312,8 @@ def all_spans(text: str, weights: np.ndarray) -> tuple[list[Span], list[Span]]:
     """Base spans, and base with added spans; both by start, then kind."""
     base = base_spans(text)
     added = [s for lattice in lattices(text, base) for s in decode(lattice, weights)]
-    added = [s for s in added if all(s[1] <= a or s[0] >= b for a, b, _ in base)]
+    closed = Covered(base)  # a plus sign or bracket before an atom may be a base span's
+    added = [s for s in added if not closed.meets(s[0], s[1])]
     return base, sorted(base + added, key=lambda s: (s[0], s[2], s[1]))
 
 
