@@ -7,8 +7,10 @@ up inside buckets of about BUCKET rows; each bucket leaves at most one fractiona
 in a tree of buckets until one is left per source, which is drawn alone. So a source's taken words miss its
 target by less than the size of one document, and its copies are fair.
 
-Randomness comes from hashes of source, level and bucket, so reruns agree. Null text has size 0; documents and sources
-of size 0 take nothing. Null sources form one source, ordered last. Repeated rows count one by one.
+Randomness comes from hashes of source, level and bucket, so reruns agree. Null and empty texts have size 0; documents and sources
+of size 0 take nothing. Null sources form one source, ordered last. Repeated rows, repeated ids and null ids count one by one; ties in
+size go by id, then text. Long texts are counted whole. An empty table gives no rows. `mix` reads doc_id, source and the text alone, so other columns may have any name;
+`mixed` keeps them all, but for names that begin with two underscores.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.text import blocks, encoded, stored
+from auditlake.llm.text import blocks, encoded, settled, spread_join, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
@@ -43,25 +45,34 @@ def word_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.mapInArrow(run, f"{schema}, size long")
 
 
+def turns(by: DataFrame) -> DataFrame:
+    """Sources with `turn`, their number in code point order, null last: ranges are numbered alone, and offset by those before."""
+    order = [F.col("source").isNull(), F.col("source").cast("binary")]
+    rows = by.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stored(rows.withColumn("__part", F.spark_partition_id()).withColumn("__nth", F.monotonically_increasing_id() % (1 << 33)), "ranges")
+    sizes = rows.groupBy("__part").count()  # one row per partition
+    base = sizes.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__base"))
+    return rows.join(F.broadcast(base), "__part").withColumn("turn", F.col("__base") + F.col("__nth")).drop("__part", "__nth", "__base")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """One row per source: source_size, n, target; sizes has columns source and size.
 
-    With targets min(cap, level * weight), sources reach their cap in order of size over weight; the level is what is
-    left over after the sources that reach it, shared by the weights of the others.
+    Targets are min(cap, level * weight). The level starts at an even share by weight and rises as sources that it lifts above their cap
+    leave the rest to the others, one aggregate over the sources each time, until none is above.
     """
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    turn = (F.row_number().over(order) - 1) % len(weights)
-    by = by.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")))
-    by = by.withColumn("cap", F.col("source_size") * float(MOST_COPIES)).withColumn("reach", F.col("cap") / F.col("weight"))
-    fill = Window.orderBy("reach", F.col("source").isNull(), F.col("source").cast("binary"))
-    below = fill.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(below), F.lit(0.0))
-    share = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(below), F.lit(0.0))
-    by = by.withColumn("level", left / share)
-    by = by.withColumn("level", F.min(F.when(F.col("level") <= F.col("reach"), F.struct("reach", "level"))).over(every)["level"])
-    return by.select("source", "source_size", "n", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("turn") % len(weights) + 1).cast("int"))
+    by = turns(by).withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(MOST_COPIES))
+    by = stored(by.drop("turn").withColumn("reach", F.col("cap") / F.col("weight")), "sources")
+    level, full = None, None
+    while True:
+        above = F.lit(False) if level is None else F.col("reach") < level
+        r = by.agg(F.sum("source_size").alias("all"), F.count_if(above).alias("full"), F.sum(F.when(above, F.col("cap"))).alias("held"), F.sum(F.when(~above, F.col("weight"))).alias("rest")).first()
+        if r.full == full or not r.rest:
+            break
+        full, level = r.full, (r["all"] - (r.held or 0.0)) / r.rest
+    return by.select("source", "source_size", "n", F.least(F.col("cap"), F.lit(level or 0.0) * F.col("weight")).alias("target"))
 
 
 def pivot_round(size: np.ndarray, chance: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int]:
@@ -96,7 +107,7 @@ def _end(p: float) -> float:
 
 def _round_bucket(level: int, seed: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id", "copies", "chance"], ignore_index=True)
+        rows = rows.sort_values(["size", "doc_id", "mark", "copies", "chance", "place"], ignore_index=True)
         name = key[0] if key[0] is not None and key[0] == key[0] else "\0null"
         start = zlib.crc32(f"{seed}/{level}/{key[1]}/{name}".encode())
         rows["chance"], _ = pivot_round(rows["size"].to_numpy(), rows["chance"].to_numpy(), np.random.default_rng(start))
@@ -105,24 +116,31 @@ def _round_bucket(level: int, seed: int):
     return run
 
 
-def mix(docs: DataFrame, text: str = "text", weights: tuple[float, ...] = WEIGHTS, seed: int = 11, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of every row, with `keep` columns.
+def mix(docs: DataFrame, text: str = "text", weights: tuple[float, ...] = WEIGHTS, seed: int = 11) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken and `place`, the number of the row in its scan, of every row.
 
-    The hot source spreads over many buckets. Each level of the tree handles the residuals of the last, of which there
-    are 1 / FAN as many; whatever is settled never moves again.
+    The hot source spreads over many buckets, and so do rows that repeat one id, or have none. Each level of the tree handles the residuals
+    of the last, of which there are 1 / FAN as many; whatever is settled never moves again.
     """
     kind = docs.schema["doc_id"].dataType
     # ids travel as text: pandas would turn whole numbers beside nulls into floats
-    chosen = docs.select(docs.doc_id.cast("string"), docs.source.cast("string"), *keep, docs[text].alias("__text"))
-    sizes = stored(word_counts(chosen, ["doc_id", "source", *keep]), "sizes")
+    chosen = docs.select(docs.doc_id.cast("string"), docs.source.cast("string"), F.monotonically_increasing_id().alias("place"), F.xxhash64(docs[text]).alias("mark"), docs[text].alias("__text"))
+    sizes = stored(word_counts(chosen, ["doc_id", "source", "place", "mark"]), "sizes")
     table = stored(targets(sizes, weights), "targets")
     largest = table.agg(F.max("n")).first()[0] or 0
-    same = sizes.alias("d").join(table.withColumnRenamed("source", "__source").alias("t"), F.col("source").eqNullSafe(F.col("__source")))
+    same = sizes.join(table.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     ratio = F.least(F.greatest(ratio, F.lit(0.0)), F.lit(float(MOST_COPIES)))
     rows = same.withColumn("copies", F.floor(ratio)).withColumn("chance", F.when(F.col("size") > 0, ratio - F.floor(ratio)).otherwise(0.0))
-    buckets = F.ceil(F.col("n") / BUCKET)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.greatest(buckets, F.lit(1)))).drop("__source")
+    buckets = F.greatest(F.ceil(F.col("n") / BUCKET), F.lit(1))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "mark", F.lit(seed)), buckets))
+    # a bucket far above its share holds equal rows, which go by their place instead
+    crowded = rows.groupBy("source", "bucket").agg(F.count("*").alias("c")).where(F.col("c") > 4 * BUCKET)
+    if crowded.limit(1).count():
+        crowded = stored(crowded.select(F.coalesce("source", F.lit("\0null")).alias("__s"), F.col("bucket").alias("__b"), F.lit(True).alias("__many"), "c"), "crowded")
+        named = rows.withColumns({"__s": F.coalesce("source", F.lit("\0null")), "__b": F.col("bucket")})
+        dealt = F.when(F.col("__many"), F.pmod(F.xxhash64("place", F.lit(seed)), buckets)).otherwise(F.col("bucket"))
+        rows = spread_join(named, crowded, ["__s", "__b"], "c").withColumn("bucket", dealt).select(*rows.columns)
     live = rows.where("chance > 0 and chance < 1")
     done = [rows.where("not (chance > 0 and chance < 1)")]
     parts, level = math.ceil(largest / BUCKET), 0
@@ -140,24 +158,16 @@ def mix(docs: DataFrame, text: str = "text", weights: tuple[float, ...] = WEIGHT
     for d in done[1:]:
         out = out.unionByName(d)
     copies = F.col("copies") + F.col("chance").cast("long")
-    return out.select(F.col("doc_id").cast(kind), "source", *keep, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(F.col("doc_id").cast(kind), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "place")
 
 
 def mixed(docs: DataFrame, text: str = "text", weights: tuple[float, ...] = WEIGHTS, seed: int = 11) -> DataFrame:
     """The rows of `docs`, each as many times as the mix takes it; all columns stay.
 
-    Copies join back by a hash of doc_id and source, checked by both. Only where rows share an id and a source are they
-    numbered first; as such rows have one ratio, any of them may have any of the counts.
+    Copies join back by the rows' places, so ids may repeat or be missing.
     """
+    docs = settled(docs)
     names = docs.columns
-    taken = mix(docs, text, weights, seed).select(F.xxhash64("doc_id", "source").alias("__key"), F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "copies")
-    taken = stored(taken, "taken")
-    rows = docs.withColumn("__key", F.xxhash64("doc_id", "source"))
-    on = ["__key"]
-    if taken.groupBy("__key").count().where("count > 1").limit(1).count():
-        taken = taken.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy("copies")))
-        rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(docs[text]))))
-        on.append("__nth")
-    joined = rows.join(taken.where("copies > 0"), on)
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
-    return joined.where(same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    taken = stored(mix(docs, text, weights, seed).where("copies > 0").select(F.col("place").alias("__place"), F.col("copies").cast("int").alias("__copies")), "taken")
+    joined = docs.withColumn("__place", F.monotonically_increasing_id()).join(taken, "__place")
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)

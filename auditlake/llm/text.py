@@ -121,6 +121,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows, written first if their plan exchanges them: else monotonically_increasing_id gives a row the same place in every job."""
+    return stored(df, "settled") if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def spread_join(rows: DataFrame, table: DataFrame, on: list[str], size: str, most: int = 50_000) -> DataFrame:
     """Left join with a table of one row per key, whose column `size` says how many of the rows have it.
 

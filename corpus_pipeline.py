@@ -1,6 +1,7 @@
 """From raw documents to token ids: rules, near duplicates, personal data, mixing, tokens.
 
-Each stage reads what its predecessor wrote as Parquet and works on all of it.
+Each stage reads what its predecessor wrote as Parquet and works on all of it, in blocks inside its tasks, so very long texts are read whole.
+Repeated rows are judged one by one; an empty table gives an empty one. Extra columns stay, but for names that begin with two underscores.
 """
 
 from __future__ import annotations
@@ -13,14 +14,14 @@ from auditlake.llm.jaccard import jaccard_components
 from auditlake.llm.mixing import mixed
 from auditlake.llm.pii import redact
 from auditlake.llm.quality_rules import quality_rules
-from auditlake.llm.text import stored
+from auditlake.llm.text import settled, spread_join, stored
 
-#: So many ids of dropped documents, 8 bytes each, may be broadcast.
-BROADCAST_IDS = 1_000_000
+#: So many places of dropped rows, 8 bytes each, may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules; other columns keep any names they have."""
+    """Documents that pass the quality rules; other columns keep any names they have. Null, empty and short texts fail them."""
     plain = [f"__c{i}" for i in range(len(docs.columns))]
     renamed = docs.toDF(*plain)
     judged = quality_rules(renamed, text=plain[docs.columns.index("text")], keep=tuple(plain))
@@ -28,30 +29,35 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component; a null id links with nothing and stays."""
-    found = stored(jaccard_components(docs), "components")
-    lost = stored(found.where("component_id <> doc_id").select("doc_id").distinct(), "lost")
-    if lost.count() <= BROADCAST_IDS:  # else Spark joins them by id, which moves the texts
+    """Of each group of near duplicates the row with the smallest id, null last; of equal ids that with the smallest text hash.
+
+    Rows are told apart by their place in the scan, so rows that share an id, or have none, are judged by their texts alone. Rows
+    without words stay.
+    """
+    placed = settled(docs).withColumn("__place", F.monotonically_increasing_id())
+    found = stored(jaccard_components(placed, "__place").select("__place", "component_id"), "components")
+    sizes = stored(found.groupBy("component_id").agg(F.count("*").alias("c"), F.lit(True).alias("again")).where("c > 1"), "sizes")
+    several = stored(spread_join(found, sizes, ["component_id"], "c").where("again").select("__place", "component_id"), "several")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("mark"), "__place")
+    firsts = several.join(placed.select("__place", order.alias("o")), "__place").groupBy("component_id").agg(F.min("o").alias("o"))
+    lost = stored(several.join(firsts.select("o.__place"), "__place", "left_anti").select("__place"), "lost")
+    if lost.count() <= BROADCAST_ROWS:  # else Spark joins them by place, which moves the texts
         lost = F.broadcast(lost)
-    kept = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        # rows that share an id are one group too
-        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return kept
+    return placed.join(lost, "__place", "left_anti").select(*docs.columns)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind."""
+    """Texts with personal data replaced by its kind; null stays null, and every row stays."""
     return redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of sources takes it."""
+    """Every document as often as the mix of sources takes it; those without words are taken no time. Null sources are one source."""
     return mixed(docs)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text per document."""
+    """Token counts and digests of ids and decoded text per document; a null text has no tokens."""
     return bpe(docs)
 
 

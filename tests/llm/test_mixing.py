@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from auditlake.llm.mixing import mix, mixed, pivot_round
+from auditlake.llm.mixing import mix, mixed, pivot_round, targets
 
 
 def brute_targets(sizes):
@@ -63,6 +63,45 @@ def test_mixed_rows(docs):
     assert +want == got and mixed(docs).columns == docs.columns
 
 
+def test_many_rows_without_an_id_or_with_one_id(spark, monkeypatch):
+    """Buckets stay small, whatever the ids are, and targets are met."""
+    from auditlake.llm import mixing
+
+    monkeypatch.setattr(mixing, "BUCKET", 64)
+    inner = mixing._round_bucket
+
+    def spied(level, seed):
+        run = inner(level, seed)
+
+        def measured(key, rows):
+            return run(key, rows).assign(copies=len(rows)) if level == 0 else run(key, rows)
+
+        return measured
+
+    rows = [(None, f"a{i % 50} " * (i % 7 + 1), "s", 0) for i in range(2000)] + [(7, "b b", "s", 0)] * 2000 + [(i, "c " * 40, "t", 0) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, place int").repartition(5)
+    out = mix(docs).collect()
+    assert len(out) == len(rows)
+    for s in ("s", "t"):
+        mine = [r for r in out if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 40
+    words = Counter()
+    for r in mixed(docs).collect():
+        words[r.source] += len(r.text.split())
+    assert all(abs(words[r.source] - r.target) <= 40 for r in out)
+    monkeypatch.setattr(mixing, "_round_bucket", spied)
+    most = max(r.copies for r in mix(docs).collect())
+    assert most < 64 * 3
+
+
+def test_targets_of_very_many_sources(spark):
+    sizes = {f"host{i}": (i * 7919) % 1000 + 1 for i in range(3000)} | {None: 5}
+    df = spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(6)
+    got = {r.source: r.target for r in targets(df).collect()}
+    want = brute_targets(sizes)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+
+
 def test_empty(spark, docs):
     assert mix(docs.limit(0)).count() == 0 and mixed(docs.limit(0)).count() == 0
     blank = spark.createDataFrame([(1, None, None, 0)], docs.schema)
