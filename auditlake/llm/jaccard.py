@@ -88,6 +88,26 @@ def shingles(texts: list[bytes], table: WordTable) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.fromiter(map(len, out), np.int64, len(out))
 
 
+def _packed(grams: np.ndarray) -> bytes:
+    """Sorted hashes: the first high pair of bytes, how many hashes have each from it on, then the low six bytes of all."""
+    if not len(grams):
+        return b""
+    high = (grams >> _U(48)).astype(np.int64)
+    counts = np.bincount(high - high[0])
+    low = np.ascontiguousarray(grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+    return np.array([high[0], len(counts), *counts], "<u4").tobytes() + low.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, np.uint64)
+    first, n = np.frombuffer(raw, "<u4", 2).tolist()
+    counts = np.frombuffer(raw, "<u4", n, 8)
+    wide = np.zeros((int(counts.sum()), 8), np.uint8)
+    wide[:, :6] = np.frombuffer(raw, np.uint8, offset=8 + 4 * n).reshape(-1, 6)
+    return wide.view("<u8").ravel() | np.repeat(np.arange(first, first + n, dtype=np.uint64) << _U(48), counts)
+
+
 _SENT = "fragment long, source string, grams binary, counts binary, ranks binary, body binary"
 _NAMES = [c.split()[0] for c in _SENT.split(", ")]
 _TYPES = [pa.int64(), pa.string(), *[pa.binary()] * 4]
@@ -115,7 +135,7 @@ def _messages(source: str, grams: np.ndarray, counts: np.ndarray, fragments: int
     cut = _fragment(grams, fragments)
     edge = np.flatnonzero(np.concatenate([[True], cut[1:] != cut[:-1], [True]])) if len(cut) else np.zeros(1, np.int64)
     small = np.minimum(counts, 255).astype(np.uint8)
-    return [(int(cut[a]), source, grams[a:b].tobytes(), small[a:b].tobytes(), None, None) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+    return [(int(cut[a]), source, _packed(grams[a:b]), small[a:b].tobytes(), None, None) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
 
 def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,13 +192,13 @@ def _relay(fragments: int, most: int):
     """Joins the messages of a coarse fragment, so that n-grams many blocks hold go on once, to finer fragments."""
 
     def flush(held: list[tuple], source: str) -> Iterator[pa.RecordBatch]:
-        grams = np.concatenate([np.frombuffer(g, np.uint64) for _, _, g, _ in held])
+        grams = np.concatenate([_unpacked(g) for _, _, g, _ in held])
         counts = np.concatenate([np.frombuffer(c, np.uint8) for _, _, _, c in held]).astype(np.int64)
         order, first, size = _distinct(grams)
         back = np.empty(len(grams), np.uint32)  # which distinct n-gram an entry is
         back[order] = np.repeat(np.arange(len(first), dtype=np.uint32), size)
         rows = _messages(source, grams[order][first], np.add.reduceat(counts[order], first), fragments)
-        head = [(f, s, len(g) // 8) for f, s, g, _ in held]
+        head = [(f, s, len(c)) for f, s, _, c in held]
         rows.append((_place(source, fragments), source, back.tobytes(), None, None, json.dumps(head).encode()))
         yield from _lots(rows)
 
@@ -204,7 +224,7 @@ def _answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Counts one fragment over all sources; each gets the order of its n-grams, 0 for those of one document, and the others."""
     if key[0] < 0:
         return rows
-    parts = [np.frombuffer(g, np.uint64) for g in rows["grams"]]
+    parts = [_unpacked(g) for g in rows["grams"]]
     grams = np.concatenate(parts)
     counts = np.concatenate([np.frombuffer(c, np.uint8) for c in rows["counts"]]).astype(np.int64)
     order, first, size = _distinct(grams)
@@ -213,14 +233,14 @@ def _answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     ranks[order] = np.repeat(np.where(total > 1, np.log2(total).astype(np.uint8) + 1, 0).astype(np.uint8), size)
     del grams, order, counts
     mine = np.split(ranks, spans(np.fromiter(map(len, parts), np.int64, len(parts)))[1:-1])
-    return rows.assign(grams=[g[r > 0].tobytes() for g, r in zip(parts, mine, strict=True)], counts=None, ranks=[r.tobytes() for r in mine])
+    return rows.assign(grams=[_packed(g[r > 0]) for g, r in zip(parts, mine, strict=True)], counts=None, ranks=[r.tobytes() for r in mine])
 
 
 def _replies(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Order numbers of all n-grams a source sent, in its order, and the n-grams of several documents."""
     rows = rows.sort_values("fragment")
     none = [np.zeros(0, np.uint8)]
-    return np.concatenate([np.frombuffer(r, np.uint8) for r in rows["ranks"]] or none), np.concatenate([np.frombuffer(g, np.uint64) for g in rows["grams"]] or [np.zeros(0, np.uint64)])
+    return np.concatenate([np.frombuffer(r, np.uint8) for r in rows["ranks"]] or none), np.concatenate([_unpacked(g) for g in rows["grams"]] or [np.zeros(0, np.uint64)])
 
 
 def _unrelay(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -236,7 +256,7 @@ def _unrelay(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     for f, s, n in json.loads(last["body"]):
         mine = back[at : at + n]
         at += n
-        out.append((f, s, every[mine][ranks[mine] > 0].tobytes(), None, ranks[mine].tobytes(), None))
+        out.append((f, s, _packed(every[mine][ranks[mine] > 0]), None, ranks[mine].tobytes(), None))
     return pd.DataFrame(out, columns=_NAMES)
 
 

@@ -138,10 +138,10 @@ def test_rows_sent_grow_with_the_input_alone(spark):
 def test_equal_low_bits_do_not_merge_ngrams(spark):
     """N-grams that agree in 40 bits and their fragment are still two."""
     grams = np.sort(np.array([(1 << 63) + 5, (1 << 63) + 5 + (1 << 40), (1 << 63) + 5 + (2 << 40)], np.uint64))
-    rows = pd.DataFrame([(0, f"b{i}", g.tobytes(), b"\x01" * len(g), None, None) for i, g in enumerate([grams[:2], grams[1:]])], columns=jaccard._NAMES)
+    rows = pd.DataFrame([(0, f"b{i}", jaccard._packed(g), b"\x01" * len(g), None, None) for i, g in enumerate([grams[:2], grams[1:]])], columns=jaccard._NAMES)
     got = jaccard._answer((0,), rows)
     assert [np.frombuffer(r, np.uint8).tolist() for r in got["ranks"]] == [[0, 2], [2, 0]]
-    assert all(np.frombuffer(g, np.uint64).tolist() == [int(grams[1])] for g in got["grams"])
+    assert all(jaccard._unpacked(g).tolist() == [int(grams[1])] for g in got["grams"])
 
 
 def test_hot_class_of_copies_and_clashing_columns(spark):
@@ -150,3 +150,10 @@ def test_hot_class_of_copies_and_clashing_columns(spark):
     df = df.withColumn("rep", F.lit(1)).withColumn("id", F.lit("x"))
     got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()}
     assert all(got[i] == 0 for i in range(300)) and all(got[1000 + i] == 1000 + i for i in range(50))
+
+
+def test_hashes_pack_and_unpack():
+    rng = np.random.default_rng(3)
+    for grams in (rng.integers(0, 1 << 64, 5000, np.uint64), rng.integers(0, 1 << 20, 50, np.uint64), np.array([0, 2**64 - 1], np.uint64), np.zeros(0, np.uint64)):
+        grams = np.unique(grams)
+        assert (jaccard._unpacked(jaccard._packed(grams)) == grams).all()
