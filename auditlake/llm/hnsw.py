@@ -1,14 +1,16 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard, merged over shards.
 
-Vectors are dealt to shards of about SHARD_ROWS by a hash of their id. Equal directions inside a shard are one node with the
+Vectors are dealt to equal shards by a hash of their id: about SHARDS of them, of LEAST_ROWS to MOST_ROWS vectors. Equal directions inside a shard are one node with the
 smallest ids of its members, so a vector that is very common costs one node and cannot clog the graph. A
 graph is a few flat arrays: unit vectors, and per level a table of neighbour numbers. It grows in batches: each
 batch searches the graph so far and its own members, then links both ways under the diversity rule.
-Searches run for many queries at a time, one beam each. Query blocks meet every shard's graph, each pair in a task of
-its own size, and the shards' nearest are merged and ranked by exact cosine of the original vectors.
+Searches run for many queries at a time, one beam each. A task reads a shard's graph once, and all blocks of queries stream past it;
+the shards' nearest are merged and ranked by exact cosine of the original vectors. So every query is searched in every shard: that work
+is queries times shards, and only larger shards, whose searches take little longer, lessen it.
 
 Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take no part; an empty
-table gives no rows. Rows that share a vec_id count as one, the first in the order of their components.
+table gives no rows. Rows that share a vec_id count as one, the first in the order of their components. Ties in score go to the
+smaller vec_id. Columns other than vec_id and embedding play no part. Vectors of any width work; a shard's memory grows with it.
 """
 
 from __future__ import annotations
@@ -24,13 +26,15 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.text import stored
 
-SHARD_ROWS = 8192
+#: Shards aimed at, and the fewest and most vectors of one.
+SHARDS = 32
+LEAST_ROWS = 4096
+MOST_ROWS = 65_536
 LINKS = 16
 BUILD_BEAM = 64
 BEAM = 128
+#: Vectors that are searched at a time, and queries of a block.
 BATCH = 256
-#: Queries of a block.
-BLOCK_ROWS = 1024
 
 
 class Graph:
@@ -218,7 +222,9 @@ def _build_shard(most: int):
         keep = np.sort(order[rank <= most])
         g = build(unit[first])
         out = io.BytesIO()
-        np.savez(out, ids=rows["__id"].to_numpy()[keep], node=node[keep], original=x[keep])
+        original = x[keep].astype(np.float32)
+        original = original if (original == x[keep]).all() else x[keep]  # half the bytes where they hold all digits
+        np.savez(out, ids=rows["__id"].to_numpy()[keep], node=node[keep], original=original)
         return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "graph": [g.save()], "members": [out.getvalue()]})
 
     return run
@@ -240,43 +246,50 @@ def search_shard(graph: Graph, ids: np.ndarray, node: np.ndarray, original: np.n
         nodes = found[i][found[i] >= 0]
         members = order[np.concatenate([np.arange(starts[n], starts[n + 1]) for n in nodes.tolist()])] if len(nodes) else np.zeros(0, np.int64)
         members = members[ids[members] != query_ids[i]]
-        score = cosines(queries[i][None], original[members]) if len(members) else np.zeros(0)
+        score = cosines(queries[i][None], original[members].astype(np.float64)) if len(members) else np.zeros(0)
         best = np.lexsort((ids[members], -score))[:k]
         out.append((np.full(len(best), query_ids[i]), ids[members][best], score[best]))
     q, v, s = (np.concatenate([o[j] for o in out]) if out else np.zeros(0) for j in range(3))
     return pd.DataFrame({"query_id": q.astype(np.int64), "vec_id": v.astype(np.int64), "score": s.astype(float)})
 
 
-def nearest_neighbours(embeddings: DataFrame, every: int = 50, k: int = 5, beam: int = BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest_neighbours(embeddings: DataFrame, every: int = 50, k: int = 5, beam: int = BEAM, shard_rows: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found to every vector whose id is divisible by `every`."""
-    vectors = usable(embeddings)
+    vectors = stored(usable(embeddings), "vectors")
     width = F.size("__v")
     n = vectors.groupBy(width.alias("w")).count().orderBy(F.desc("count"), "w").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if n is None:
         return embeddings.sparkSession.createDataFrame([], schema)
     vectors = vectors.where(width == n.w)
-    shards = max(1, -(-n["count"] // shard_rows))
+    rows = shard_rows or min(max(n["count"] // SHARDS, LEAST_ROWS), MOST_ROWS)
+    shards = max(1, -(-n["count"] // rows))
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("__id"), F.lit(shards)).cast("int"))
     graphs = stored(dealt.groupBy("shard").applyInPandas(_build_shard(k), "shard int, graph binary, members binary"), "graphs")
     asked = vectors.where(F.pmod("__id", F.lit(every)) == 0)
-    blocks = max(1, -(-(n["count"] // every + 1) // BLOCK_ROWS))
+    blocks = max(1, -(-(n["count"] // every + 1) // BATCH))
     block = F.pmod(F.xxhash64("__id", F.lit(7)), F.lit(blocks)).cast("int")
-    asked = asked.groupBy(block.alias("block")).agg(F.collect_list(F.struct("__id", "__v")).alias("q"))
-    # pairs of a graph and a block of queries: each side is bounded, and every pair is a row of its own
-    pairs = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(graphs, "shard")
-    pairs = pairs.repartition(min(shards * blocks, 100_000), "shard", "block")
+    asked = stored(asked.groupBy(block.alias("block")).agg(F.collect_list(F.struct("__id", "__v")).alias("q")), "queries")
+    # every shard's graph goes to one task, and blocks of queries stream past it
+    past = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    both = graphs.select("shard", F.lit(-1).alias("block"), "graph", "members").unionByName(past, allowMissingColumns=True)
+    both = both.repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard", "block").select("graph", "members", "q")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                graph = Graph.load(batch.column("graph")[i].as_py())
-                q = batch.column("q")[i].as_py()
-                with np.load(io.BytesIO(batch.column("members")[i].as_py())) as z:
-                    found = search_shard(graph, z["ids"], z["node"], z["original"], np.array([r["__id"] for r in q]), np.array([r["__v"] for r in q], float), k, beam)
+                if batch.column("graph")[i].is_valid:
+                    graph = Graph.load(batch.column("graph")[i].as_py())
+                    with np.load(io.BytesIO(batch.column("members")[i].as_py())) as z:
+                        ids, node, original = z["ids"], z["node"], z["original"]
+                    continue
+                q = batch.column("q")[i].values
+                asked_ids, asked_vectors = q.flatten()
+                queries = asked_vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(q), -1)
+                found = search_shard(graph, ids, node, original, asked_ids.to_numpy(), queries, k, beam)
                 yield pa.RecordBatch.from_pandas(found, preserve_index=False)
 
-    found = pairs.select("q", "graph", "members").mapInArrow(run, "query_id long, vec_id long, score double")
+    found = both.mapInArrow(run, "query_id long, vec_id long, score double")
     order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score")))
     merged = found.groupBy("query_id").agg(F.slice(order, 1, k).alias("top"))
     return merged.select("query_id", F.posexplode("top").alias("p", "t")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "t.vec_id", "t.score")

@@ -4,7 +4,9 @@ Fertility measures how a public vocabulary cuts a text: characters per token, th
 pieces of characters (byte fallback), and the entropy of the tokens used. Each word is measured once, as
 the vocabulary cuts it after a space, and words are counted per document with numpy.
 
-Null text counts as empty: no words, so the base rules fail it. Repeated rows are measured alike, row by row.
+Null text counts as empty: no words, so the base rules fail it. Repeated rows are measured alike, row by row. Long texts are measured
+whole, in blocks of their own; an empty table gives no rows. Where two scripts have equally many letters the first in BANDS counts. Columns
+not in `keep` play no part; `keep` may not name columns of the result.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ of a word and its repetition, all to one bucket as the pair says the same of any
 numpy stochastic gradient descent on a bounded sample of labelled rows (TRAIN_ROWS). As the output is
 linear in the average, scoring looks up one number per distinct word: the sum of its vectors' logits.
 
-Null and empty texts have no vector and score as the bias does. Repeated rows score alike. Without labelled rows
+Null and empty texts have no vector and score as the bias does. Repeated rows score alike. Long texts are averaged whole, in blocks of
+their own; an empty table gives no rows. Ties cannot arise: rows train in the order of their ids. Columns not in `keep` play no part. Without labelled rows
 of both kinds every score is the share of label 1, or 0.5 where nothing is labelled.
 """
 

@@ -2,8 +2,9 @@
 
 Features: densities of a fixed and of a learned lexicon, second-person words near lexicon words, capitals,
 punctuation and obfuscation rates. The learned lexicon, trees and calibration come from a bounded sample of
-labelled rows (TRAIN_ROWS); every text is then scored whole. Null and empty texts have all features 0 and
-get the model's score for that. Repeated rows are scored alike. Without any labelled row the score is 0.
+labelled rows (TRAIN_ROWS); every text is then scored whole, long ones in blocks of their own. Null and empty texts have all features 0
+and get the model's score for that. Repeated rows are scored alike, and so are ties in features. Without any labelled row the score is 0; an empty table gives
+no rows. Columns not in `keep` play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from auditlake.llm.labelled import training_rows
-from auditlake.llm.text import WordTable, blocks, encoded, held_out, spans, sums
+from auditlake.llm.text import WordTable, blocks, encoded, held_out, spans, stored, sums
 
 #: At most so many labelled documents are read for fitting.
 TRAIN_ROWS = 12_000
@@ -139,7 +141,9 @@ class Trees:
         return total
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(np.interp(self.margin(x), self.knots, self.values), 0, 1)
+        """Calibrated chances; inside a step, where calibration says nothing, a thousandth follows the margin."""
+        margin = self.margin(x)
+        return np.clip(0.999 * np.interp(margin, self.knots, self.values) + 0.001 / (1 + np.exp(-np.clip(margin, -50, 50))), 0, 1)
 
 
 def isotonic(margins: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,20 +247,23 @@ def _scored(docs: DataFrame, keep: list[str], learned: dict[str, float]) -> Data
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> ToxicityModel | None:
-    """Lexicon, trees and calibration from labelled rows that are not held out; None without both labels."""
-    sample = training_rows(docs, labels, "toxic", bound)
-    learned = _lexicon_of(sample)
-    rows = _scored(sample, ["__id", "__label"], learned).toPandas().sort_values("__id")
-    y = (rows["__label"].to_numpy() > 0).astype(float)
-    if not 0 < y.sum() < len(y):
+    """Lexicon, trees and calibration from labelled rows that are not held out; None without both labels.
+
+    A quarter of the rows is set aside for the calibration: neither lexicon nor trees see it.
+    """
+    aside = F.crc32(F.concat(F.lit("fold "), F.col("__id").cast("string"))) % 4 == 0
+    sample = stored(training_rows(docs, labels, "toxic", bound).withColumn("__aside", F.coalesce(aside, F.lit(False)).cast("int")), "sample")
+    kinds = {(r["__aside"], r.toxic) for r in sample.groupBy("__aside", (F.col("__label") > 0).alias("toxic")).count().collect()}
+    if len({toxic for _, toxic in kinds}) < 2:
         return None
-    x = np.stack(rows["x"].to_numpy())
-    fold = np.array([hash_of(f"fold {i}") % 4 == 0 for i in rows["__id"]])
-    if not (0 < y[fold].sum() < fold.sum() and 0 < y[~fold].sum() < (~fold).sum()):
-        fold[:] = False
+    if len(kinds) < 4:  # too few rows to set some aside
+        sample = sample.withColumn("__aside", F.lit(0))
+    learned = _lexicon_of(sample.where("__aside = 0"))
+    rows = _scored(sample, ["__id", "__label", "__aside"], learned).toPandas().sort_values("__id")
+    y, x, fold = (rows["__label"].to_numpy() > 0).astype(float), np.stack(rows["x"].to_numpy()), rows["__aside"].to_numpy() > 0
     trees = boost(x[~fold], y[~fold])
-    aside = fold if fold.any() else ~fold
-    trees.knots, trees.values = isotonic(trees.margin(x[aside]), y[aside])
+    fold = fold if fold.any() else ~fold
+    trees.knots, trees.values = isotonic(trees.margin(x[fold]), y[fold])
     return ToxicityModel(learned, trees)
 
 

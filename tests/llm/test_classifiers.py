@@ -37,7 +37,7 @@ def test_held_out_accuracy_and_odd_rows(spark, operator, column):
     rows = out.collect()
     assert out.columns[:4] == ["doc_id", "held_out", "score", "predicted"] and len(rows) == 604
     n, right = accuracy(rows, labels, column)
-    assert n > 80 and right > 0.95
+    assert n > 80 and right > 0.95  # a constant guess has 0.8 and 0.75
     assert all(0 <= r.score <= 1 for r in rows)
     assert len({r.score for r in rows if r.doc_id == 3}) == 1
     assert len({r.score for r in rows if r.doc_id in (600, 601)}) == 1
@@ -45,16 +45,24 @@ def test_held_out_accuracy_and_odd_rows(spark, operator, column):
     assert all(0 <= r.score <= 1 for r in operator(docs, labels.limit(0)).collect())
 
 
-@pytest.mark.parametrize("query, column, least", [(op1_toxicity, "toxic", 0.9), (op6_quality, "quality", 0.85)])
+def balanced(rows, truth):
+    """Mean of the shares of both labels that are predicted right: 0.5 for any constant guess."""
+    held = [(truth[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in truth]
+    return len(held), np.mean([np.mean([p == label for t, p in held if t == label]) for label in (0, 1)])
+
+
+@pytest.mark.parametrize("query, column, least", [(op1_toxicity, "toxic", 0.85), (op6_quality, "quality", 0.8)])
 def test_held_out_rows_of_the_table(spark, sf_dir, query, column, least):
-    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    sf_dir = sf_dir.replace("sf0.001", "sf0.1")
     rows = query(spark, sf_dir).collect()
-    n, right = accuracy(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), column)
-    assert n > 50 and right > least and len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    truth = {r.doc_id: r[column] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r[column] is not None}
+    n, right = balanced(rows, truth)
+    print(query.__name__, n, right, len({r.score for r in rows}))
+    assert n > 500 and right > least and len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
 
 
 def test_features_of_small_texts():
-    table = WordTable(Words({"zorp": 2.0}))
+    table = WordTable(lambda: Words({"zorp": 2.0}))
     x = features([b"", b"YOU are an idiot!", b"a zorp z0rp", b"x " * 9 + b"you", b"id.iot you"], table)
     at = {f: i for i, f in enumerate(FEATURES)}
     assert not x[0].any() and x[1][at["fixed count"]] == 1 and x[1][at["near second"]] == 0.25 and x[1][at["shouted share"]] == 0.25

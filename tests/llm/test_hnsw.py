@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 
 from auditlake.llm.hnsw import Graph, _unit, build, nearest_neighbours
 from auditlake.llm.queries import op9_hnsw
@@ -70,3 +71,21 @@ def test_near_members_of_one_float32_direction_are_scored(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted((r["rank"], r.vec_id) for r in nearest_neighbours(df, every=1000).collect())
     assert got == [(1, 20), (2, 19), (3, 18), (4, 17), (5, 16)]
+
+
+def test_recall_of_a_full_shard(spark):
+    """More vectors than any other test, in shards of the usual size, in clusters."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(200, 32))
+    x = (centres[rng.integers(0, 200, 24_000)] + 0.6 * rng.normal(size=(24_000, 32))).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(24_000), "embedding": list(x)}))
+    got = {}
+    for r in nearest_neighbours(df, every=200).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 24_000, 200):
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert len(got) == 120 and hits / 600 >= 0.9, hits
