@@ -1,13 +1,16 @@
-"""Key versions for keyed digests and envelope encryption; keys stay on the driver, data is encrypted in the JVM."""
+"""Key versions for keyed digests, and envelope encryption. Keys reach tasks as the one row of a broadcast join, never as literals of a plan."""
 
 from __future__ import annotations
 
+import base64
 import secrets
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.functions.scalars import pads
+
 
 @dataclass
 class KeyRing:
@@ -29,25 +32,54 @@ class KeyRing:
         return [self.keys[v] for v in sorted(self.keys)]
 
 
-def encrypted(value: Column, data_key: bytes) -> Column:
+def with_pads(df: DataFrame, keys: dict[str, bytes]) -> DataFrame:
+    """The rows with a column per key that `hmac_hex` takes."""
+    row = df.sparkSession.createDataFrame([tuple(map(bytearray, (x for k in keys.values() for x in pads(k))))], ", ".join(f"`{n} inner` binary, `{n} outer` binary" for n in keys))
+    made = [F.struct(F.col(f"`{n} inner`").alias("inner"), F.col(f"`{n} outer`").alias("outer")).alias(n) for n in keys]
+    return df.crossJoin(F.broadcast(row.select(*made)))
+
+
+def with_data_keys(df: DataFrame, data_keys: dict[int, bytes], on: str, name: str = "__key") -> DataFrame:
+    """The rows with the data key of their number in column `on`, null if it is not held; one short row per key is broadcast."""
+    rows = df.sparkSession.createDataFrame([(n, bytearray(k)) for n, k in data_keys.items()], f"__n long, `{name}` binary")
+    return df.join(F.broadcast(rows), F.col(on) == F.col("__n"), "left").drop("__n")
+
+
+def encrypted(value: Column, data_key: Column) -> Column:
     """AES-256-GCM as base64: initialisation vector, ciphertext, tag."""
-    return F.base64(F.aes_encrypt(value.cast("binary"), F.unhex(F.lit(data_key.hex())), F.lit("GCM")))
+    return F.base64(F.aes_encrypt(value.cast("binary"), data_key, F.lit("GCM")))
 
 
-def decrypted(stored: Column, data_key: bytes) -> Column:
-    return F.aes_decrypt(F.unbase64(stored), F.unhex(F.lit(data_key.hex())), F.lit("GCM")).cast("string")
+def decrypted(stored: Column, data_key: Column) -> Column:
+    """The text, or null without the key; a ciphertext that was changed fails."""
+    return F.when(data_key.isNotNull(), F.aes_decrypt(F.unbase64(stored), data_key, F.lit("GCM")).cast("string"))
 
 
 class Envelope:
     """RSA-OAEP (SHA-256 for both hashes) around data keys, and PKCS#1 v1.5 signatures, through the JVM's providers."""
 
-    def __init__(self, spark: SparkSession, bits: int = 2048):
+    def __init__(self, spark: SparkSession, bits: int = 2048, public: str | None = None, private: str | None = None):
+        """A new pair, or keys that `exported` gave; without the private one it wraps and verifies only."""
         self.jvm = spark._jvm
-        generator = self.jvm.java.security.KeyPairGenerator.getInstance("RSA")
-        generator.initialize(bits)
-        self.pair = generator.generateKeyPair()
+        if public is None:
+            generator = self.jvm.java.security.KeyPairGenerator.getInstance("RSA")
+            generator.initialize(bits)
+            pair = generator.generateKeyPair()
+            self.public, self.private = pair.getPublic(), pair.getPrivate()
+            return
+        spec, factory = self.jvm.java.security.spec, self.jvm.java.security.KeyFactory.getInstance("RSA")
+        self.public = factory.generatePublic(spec.X509EncodedKeySpec(base64.b64decode(public)))
+        self.private = factory.generatePrivate(spec.PKCS8EncodedKeySpec(base64.b64decode(private))) if private else None
+
+    def exported(self) -> tuple[str, str | None]:
+        """Public and private key as base64 of their standard encodings."""
+        factory, kind = self.jvm.java.security.KeyFactory.getInstance("RSA"), self.jvm.java.lang.Class.forName
+        made = [(self.public, "X509"), (self.private, "PKCS8")]
+        return tuple(None if k is None else base64.b64encode(bytes(factory.getKeySpec(k, kind(f"java.security.spec.{name}EncodedKeySpec")).getEncoded())).decode() for k, name in made)
 
     def _cipher(self, mode: int, key):
+        if key is None:
+            raise ValueError("the private key is not held")
         spec = self.jvm.javax.crypto.spec
         parameters = spec.OAEPParameterSpec("SHA-256", "MGF1", self.jvm.java.security.spec.MGF1ParameterSpec.SHA256, spec.PSource.PSpecified.DEFAULT)
         cipher = self.jvm.javax.crypto.Cipher.getInstance("RSA/ECB/OAEPPadding")
@@ -59,23 +91,58 @@ class Envelope:
         return secrets.token_bytes(32)
 
     def wrap(self, data_key: bytes) -> bytes:
-        return bytes(self._cipher(1, self.pair.getPublic()).doFinal(data_key))
+        return bytes(self._cipher(1, self.public).doFinal(data_key))
 
     def unwrap(self, wrapped: bytes) -> bytes:
-        return bytes(self._cipher(2, self.pair.getPrivate()).doFinal(wrapped))
+        return bytes(self._cipher(2, self.private).doFinal(wrapped))
 
     def rewrap(self, wrapped: bytes, newer: Envelope) -> bytes:
         """The same data key under a newer key pair; ciphertexts stay as they are."""
         return newer.wrap(self.unwrap(wrapped))
 
     def sign(self, message: bytes) -> bytes:
+        if self.private is None:
+            raise ValueError("the private key is not held")
         s = self.jvm.java.security.Signature.getInstance("SHA256withRSA")
-        s.initSign(self.pair.getPrivate())
+        s.initSign(self.private)
         s.update(message)
         return bytes(s.sign())
 
     def verify(self, message: bytes, signature: bytes) -> bool:
         s = self.jvm.java.security.Signature.getInstance("SHA256withRSA")
-        s.initVerify(self.pair.getPublic())
+        s.initVerify(self.public)
         s.update(message)
-        return bool(s.verify(signature))
+        try:
+            return bool(s.verify(signature))
+        except Exception as e:  # noqa: BLE001  a signature of another length is an error there
+            if "SignatureException" in str(e):
+                return False
+            raise
+
+
+@dataclass
+class RsaRing:
+    """Key pairs by version; the highest wraps and signs, all serve reads as far as their private keys are held."""
+
+    pairs: dict[int, Envelope]
+
+    @property
+    def active(self) -> int:
+        return max(self.pairs)
+
+    def wrap(self, data_key: bytes) -> tuple[int, bytes]:
+        return self.active, self.pairs[self.active].wrap(data_key)
+
+    def unwrap(self, version: int, wrapped: bytes) -> bytes | None:
+        """The data key, or None if that private key is not held."""
+        pair = self.pairs.get(version)
+        return pair.unwrap(wrapped) if pair and pair.private is not None else None
+
+    def can_sign(self) -> bool:
+        return self.pairs[self.active].private is not None
+
+    def sign(self, message: bytes) -> tuple[int, bytes]:
+        return self.active, self.pairs[self.active].sign(message)
+
+    def verify(self, version: int, message: bytes, signature: bytes) -> bool:
+        return version in self.pairs and self.pairs[version].verify(message, signature)

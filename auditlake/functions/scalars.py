@@ -17,6 +17,20 @@ def canonical_number(c: Column) -> Column:
     return F.when((c == F.floor(c)) & (F.abs(c) < 1e15), c.cast("long").cast("string")).otherwise(c.cast("string"))
 
 
+def number_text(value: float) -> str:
+    """What Spark prints for a number that is no whole one below 1e15: digits as Python finds them, in Java's notation."""
+    if 1e-3 <= abs(value) < 1e7:
+        return repr(value)
+    digits, _, exponent = f"{value!r}".partition("e")
+    if not exponent:  # Python writes these out, Java does not
+        sign, digits = ("-", digits[1:]) if digits[0] == "-" else ("", digits)
+        whole, _, part = digits.partition(".")
+        every = (whole + part).lstrip("0").rstrip("0")
+        power = len(whole) - 1 if whole.strip("0") else -(len(part) - len(part.lstrip("0"))) - 1
+        return f"{sign}{every[0]}.{every[1:] or '0'}E{power}"
+    return f"{digits if '.' in digits else digits + '.0'}E{int(exponent)}"
+
+
 def canonical_json(c: Column) -> Column:
     """JSON text with sorted keys and no spaces."""
     return F.to_json(F.parse_json(c))
@@ -70,16 +84,15 @@ def sha256_hex(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 
 
-def _pads(key: bytes) -> tuple[str, str]:
-    key = hashlib.sha256(key).digest() if len(key) > 64 else key
-    key = key.ljust(64, b"\0")
-    return bytes(b ^ 0x36 for b in key).hex(), bytes(b ^ 0x5C for b in key).hex()
+def pads(key: bytes) -> tuple[bytes, bytes]:
+    """Inner and outer pad of HMAC-SHA-256."""
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in key), bytes(b ^ 0x5C for b in key)
 
 
-def hmac_hex(c: Column, key: bytes) -> Column:
-    """HMAC-SHA-256 from two nested SHA-256 calls. The key's pads are literals of the plan: do not log such plans."""
-    inner, outer = (F.unhex(F.lit(p)) for p in _pads(key))
-    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, c.cast("binary")), 256))), 256)
+def hmac_hex(c: Column, key: Column) -> Column:
+    """HMAC-SHA-256 from two nested SHA-256 calls; `key` is a column of pads, as `with_pads` adds."""
+    return F.sha2(F.concat(key["outer"], F.unhex(F.sha2(F.concat(key["inner"], c.cast("binary")), 256))), 256)
 
 
 def probe_hmac(text: str, key: bytes) -> str:
@@ -90,9 +103,9 @@ def token_text(field: str, token: Column) -> Column:
     return F.concat(F.lit(TOKEN_PREFIX + field + "\0"), token)
 
 
-def token_digests(field: str, tokens: Column, key: bytes | None = None) -> Column:
-    """Digest of each token under its field's name, keyed if a key is given."""
-    return F.transform(tokens, lambda t: hmac_hex(token_text(field, t), key) if key else sha256_hex(token_text(field, t)))
+def token_digests(field: str, tokens: Column, key: Column | None = None) -> Column:
+    """Digest of each token under its field's name, keyed if a column of pads is given."""
+    return F.transform(tokens, lambda t: sha256_hex(token_text(field, t)) if key is None else hmac_hex(token_text(field, t), key))
 
 
 def probe_digest(field: str, token: str, key: bytes | None = None) -> str:
@@ -110,5 +123,11 @@ def leaf_hash(payload: Column) -> Column:
     return F.unhex(F.sha2(F.concat(F.unhex(F.lit("00")), payload.cast("binary")), 256))
 
 
+def map_fingerprint(fields: Column) -> Column:
+    """The same of a map of canonical texts; null values do not count."""
+    known = F.array_sort(F.map_keys(F.map_filter(fields, lambda k, v: v.isNotNull())))
+    return sha256_hex(F.array_join(F.transform(known, lambda k: F.concat(k, F.lit("\0"), fields[k], F.lit("\0"))), ""))
+
+
 def node_hash(left: bytes, right: bytes) -> bytes:
     return hashlib.sha256(b"\x01" + left + right).digest()

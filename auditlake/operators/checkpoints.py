@@ -1,25 +1,32 @@
-"""Signed checkpoints of a tree's size and root, and what they prove later."""
+"""Signed checkpoints of trees' sizes and roots, and what they prove later."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from auditlake.functions.keys import RsaRing
+from auditlake.operators.integrity import Tree, verify_consistency
 
-from auditlake.functions.keys import Envelope
-from auditlake.operators.integrity import consistency_path, merkle_root, nodes_at, verify_consistency
 
+def _message(made: dict) -> bytes:
+    return json.dumps({k: v for k, v in made.items() if k not in ("signature", "anchor_error")}, sort_keys=True).encode()
 
-def _message(size: int, root: str, created_at: int) -> bytes:
-    return json.dumps({"created_at": created_at, "root": root, "size": size}, sort_keys=True).encode()
 
+def signed(record: dict, keys: RsaRing) -> dict:
+    """The record with the key version and a signature over all of it."""
+    made = record | {"key_version": keys.active}
+    return made | {"signature": keys.sign(_message(made))[1].hex()}
 
-def checkpoint(leaves: DataFrame, key: Envelope, created_at: int, anchor: Callable[[dict], None] | None = None) -> dict:
+
+def holds(record: dict, keys: RsaRing) -> bool:
+    """Whether a record's signature is one of its key version over what it says."""
+    return keys.verify(record["key_version"], _message(record), bytes.fromhex(record["signature"]))
+
+
+def checkpoint(tree: Tree, keys: RsaRing, created_at: int, anchor: Callable[[dict], None] | None = None) -> dict:
     """Size, root and signature of the tree now; `anchor` gets a copy, and its errors do not undo the checkpoint."""
-    size = leaves.count()
-    root = bytes(merkle_root(leaves, size).first().hash).hex()
-    made = {"created_at": created_at, "size": size, "root": root, "signature": key.sign(_message(size, root, created_at)).hex()}
+    made = signed({"created_at": created_at, "size": tree.size, "root": tree.root().hex()}, keys)
     if anchor:
         try:
             anchor(dict(made))
@@ -28,18 +35,35 @@ def checkpoint(leaves: DataFrame, key: Envelope, created_at: int, anchor: Callab
     return made
 
 
-def problems(leaves: DataFrame, checkpoints: list[dict], key: Envelope) -> list[str]:
+def problems(tree: Tree, checkpoints: list[dict], keys: RsaRing) -> list[str]:
     """What the checkpoints show against the tree now: bad signatures, a smaller tree, or another history."""
-    out = [f"checkpoint {i}: bad signature" for i, c in enumerate(checkpoints) if not key.verify(_message(c["size"], c["root"], c["created_at"]), bytes.fromhex(c["signature"]))]
+    out = [f"checkpoint {i}: bad signature" for i, c in enumerate(checkpoints) if not holds(c, keys)]
     if not checkpoints:
         return out
-    last, size = checkpoints[-1], leaves.count()
-    if size < last["size"]:
-        return [*out, f"the tree shrank from {last['size']} to {size}"]
-    root = bytes(merkle_root(leaves, size).first().hash)
-    wanted = consistency_path(last["size"], size)
-    found = {r.step: bytes(r.hash) for r in nodes_at(leaves, wanted).collect()}
-    proof = [found[i] for i in range(len(wanted))]  # as many as the tree is high
-    if not verify_consistency(last["size"], size, proof, bytes.fromhex(last["root"]), root):
+    last = checkpoints[-1]
+    if tree.size < last["size"]:
+        return [*out, f"the tree shrank from {last['size']} to {tree.size}"]
+    if not verify_consistency(last["size"], tree.size, tree.consistency(last["size"]), bytes.fromhex(last["root"]), tree.root()):
         out.append("the last checkpoint is no prefix of the tree")
     return out
+
+
+def global_checkpoint(shards: dict[int, tuple[int, bytes]], manifest: str, keys: RsaRing, created_at: int) -> dict:
+    """One signed record of all shards' sizes and roots and of the ring they belong to."""
+    return signed({"created_at": created_at, "manifest": manifest, "shards": {str(s): [n, root.hex()] for s, (n, root) in sorted(shards.items())}}, keys)
+
+
+def global_problems(made: dict, shards: dict[int, tuple[int, bytes]], manifest: str, keys: RsaRing) -> list[str]:
+    """What a global checkpoint shows against the shards now. Growth is no problem; `problems` proves it per shard."""
+    out = [] if holds(made, keys) else ["bad signature"]
+    if made["manifest"] != manifest:
+        out.append("the ring changed")
+    for s, (size, root) in made["shards"].items():
+        now = shards.get(int(s))
+        if now is None:
+            out.append(f"shard {s}: missing")
+        elif now[0] < size:
+            out.append(f"shard {s}: rollback")
+        elif now[0] == size and now[1].hex() != root:
+            out.append(f"shard {s}: rewrite")
+    return out

@@ -1,20 +1,20 @@
 """RFC 6962 Merkle trees over ordered rows.
 
-A tree is folded in blocks of 2 ** 12 leaves, and the blocks' roots again, so that each task holds one block whatever the size
-of the log; a proof reads only the blocks on its path.
+Blocks of 2 ** HEIGHT nodes are folded to the node above them in the JVM, and blocks of those again, so each task holds one block
+whatever the size of the log. A table of such nodes answers proofs: a node of any height folds from at most 2 ** HEIGHT stored ones,
+so a proof reads that many rows per HEIGHT levels, found by range.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.scalars import node_hash
 
-HEIGHT = 12
+HEIGHT = 10
 EMPTY = hashlib.sha256(b"").digest()
 
 
@@ -25,13 +25,21 @@ def fold(hashes: list[bytes]) -> bytes:
     return hashes[0] if hashes else EMPTY
 
 
-def _fold_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"idx": [key[0]], "hash": [fold([bytes(h) for h in rows.sort_values("idx")["hash"]])]})
+def folded(hashes: Column, height: int = HEIGHT) -> Column:
+    """The same for an array of at most 2 ** height hashes."""
 
+    def up(level: Column) -> Column:
+        half = F.ceil(F.size(level) / 2).cast("int")
+        pair = lambda i: F.unhex(F.sha2(F.concat(F.lit(b"\x01"), level[2 * i], level[2 * i + 1]), 256))
+        return F.transform(F.sequence(F.lit(0), half - 1), lambda i: F.when(2 * i + 1 < F.size(level), pair(i)).otherwise(level[2 * i]))
 
-def block_roots(nodes: DataFrame, height: int = HEIGHT) -> DataFrame:
-    """idx and hash of the nodes `height` levels above those given (idx, hash)."""
-    return nodes.groupBy(F.shiftright("idx", height).alias("up")).applyInPandas(_fold_group, "idx long, hash binary")
+    return F.aggregate(F.sequence(F.lit(1), F.lit(height)), hashes, lambda level, _: up(level))[0]
+
+
+def block_roots(nodes: DataFrame, height: int = HEIGHT, by: tuple[str, ...] = ()) -> DataFrame:
+    """`by`, idx and hash of the nodes `height` levels above those given (idx, hash); a last block that is not full folds too."""
+    block = nodes.groupBy(*by, F.shiftright("idx", height).alias("up")).agg(F.array_sort(F.collect_list(F.struct("idx", "hash")))["hash"].alias("h"))
+    return block.select(*by, F.col("up").alias("idx"), folded(F.col("h"), height).alias("hash"))
 
 
 def merkle_root(leaves: DataFrame, size: int, height: int = HEIGHT) -> DataFrame:
@@ -45,39 +53,97 @@ def merkle_root(leaves: DataFrame, size: int, height: int = HEIGHT) -> DataFrame
             return nodes
 
 
-def _fold_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    return _fold_group(key[1:], rows).assign(shard=key[0], size=rows["size"].sum())
-
-
 def shard_roots(leaves: DataFrame, largest: int, height: int = HEIGHT) -> DataFrame:
     """shard, size and root (hex) of every shard, from leaves (shard, idx from 0 in the shard, hash); largest bounds the shards' numbers of leaves."""
-    nodes = leaves.withColumn("size", F.lit(1).cast("long"))
-    while True:
-        up = F.shiftright("idx", height).alias("up")
-        nodes = nodes.groupBy("shard", up).applyInPandas(_fold_shard, "shard int, size long, idx long, hash binary")
-        largest = -(-largest // (1 << height))
-        if largest <= 1:
-            return nodes.select("shard", "size", F.lower(F.hex("hash")).alias("root"))
-
-
-def nodes_at(leaves: DataFrame, wanted: list[tuple[int, int]], height: int = HEIGHT) -> DataFrame:
-    """step, height, idx and hash of some nodes (height, idx), each folded from the rows of one block."""
-    tables, parts = {0: leaves}, []
-    for step, (h, idx) in enumerate(wanted):
-        level, inside = divmod(h, height)
-        for k in range(1, level + 1):
-            if k not in tables:
-                tables[k] = block_roots(tables[k - 1], height)
-        first = idx << inside
-        rows = tables[level].where((F.col("idx") >= first) & (F.col("idx") < first + (1 << inside)))
-        parts.append(rows.select(F.lit(step).cast("long").alias("step"), "idx", "hash"))
-    if not parts:
-        return leaves.sparkSession.createDataFrame([], "step long, hash binary")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    folded = every.groupBy("step").applyInPandas(_fold_group, "idx long, hash binary")
-    return folded.select(F.col("idx").alias("step"), "hash")
+    nodes = leaves.groupBy("shard", F.shiftright("idx", height).alias("up")).agg(F.array_sort(F.collect_list(F.struct("idx", "hash")))["hash"].alias("h"))
+    nodes = nodes.select("shard", F.col("up").alias("idx"), folded(F.col("h"), height).alias("hash"), F.size("h").cast("long").alias("size"))
+    while (largest := -(-largest // (1 << height))) > 1:
+        sized = nodes.groupBy("shard", F.shiftright("idx", height).alias("up")).agg(F.array_sort(F.collect_list(F.struct("idx", "hash")))["hash"].alias("h"), F.sum("size").alias("size"))
+        nodes = sized.select("shard", F.col("up").alias("idx"), folded(F.col("h"), height).alias("hash"), "size")
+    return nodes.select("shard", "size", F.lower(F.hex("hash")).alias("root"))
+
+
+def new_nodes(leaves: DataFrame, nodes: DataFrame, old: int, size: int, height: int = HEIGHT) -> DataFrame | None:
+    """height, idx and hash of the blocks that became full as the tree grew from `old` to `size` leaves; None if none did.
+
+    Reads the leaves of those blocks alone, and of `nodes` (height, idx, hash) the lower ones that the new blocks join.
+    """
+    out, below, level = None, leaves.select("idx", "hash"), height
+    while size >> level > old >> level:
+        first, last = (old >> level) << height, (size >> level) << height
+        made = block_roots(below.where((F.col("idx") >= first) & (F.col("idx") < last)), height)
+        out = made.select(F.lit(level).alias("height"), "idx", "hash") if out is None else out.unionByName(made.select(F.lit(level).alias("height"), "idx", "hash"))
+        below = nodes.where(F.col("height") == level).select("idx", "hash").where(F.col("idx") < old >> level).unionByName(made)
+        level += height
+    return out
+
+
+class Tree:
+    """Roots and proofs of the first `size` leaves, from the leaves and a table of full blocks."""
+
+    def __init__(self, leaves: DataFrame, nodes: DataFrame, size: int, height: int = HEIGHT):
+        self.leaves, self.nodes, self.size, self.height = leaves, nodes, size, height
+
+    def _ranges(self, height: int, idx: int) -> list[tuple[int, int, int]]:
+        """Level and range (first, end) of the stored nodes below a node, left to right; a node at the right edge may not be full."""
+        first, end = idx << height, min((idx + 1) << height, self.size)
+        out, level = [], height // self.height * self.height
+        while first < end:
+            stop = end >> level << level
+            if stop > first:
+                out.append((level, first >> level, stop >> level))
+                first = stop
+            level -= self.height
+        return out
+
+    def rows(self, wanted: list[tuple[int, int]]) -> DataFrame:
+        """Level, idx and hash of the stored nodes that some nodes (height, idx) fold from."""
+        by: dict[int, list[tuple[int, int]]] = {}
+        for w in wanted:
+            for level, first, end in self._ranges(*w):
+                by.setdefault(level, []).append((first, end))
+        out = self.nodes.select(F.lit(0).alias("height"), "idx", "hash").where("false")
+        for level, ranges in by.items():
+            table = self.leaves if level == 0 else self.nodes.where(F.col("height") == level)
+            inside = F.lit(False)
+            for first, end in ranges:
+                inside = inside | ((F.col("idx") >= first) & (F.col("idx") < end))
+            out = out.unionByName(table.where(inside).select(F.lit(level).alias("height"), "idx", "hash"))
+        return out
+
+    def hashes(self, wanted: list[tuple[int, int]]) -> list[bytes]:
+        """Hashes of nodes (height, idx); what is collected is at most 2 ** HEIGHT short rows per node and HEIGHT levels."""
+        found = {(r.height, r.idx): bytes(r.hash) for r in self.rows(wanted).collect()} if wanted else {}
+        return [_joined([(level, [found[level, i] for i in range(first, end)]) for level, first, end in self._ranges(*w)]) for w in wanted]
+
+    def root(self) -> bytes:
+        return self.hashes([((self.size - 1).bit_length(), 0)])[0] if self.size else EMPTY
+
+    def inclusion(self, index: int) -> list[bytes]:
+        return self.hashes(inclusion_path(index, self.size))
+
+    def consistency(self, old: int) -> list[bytes]:
+        return self.hashes(consistency_path(old, self.size))
+
+
+def peaks(parts: list[tuple[int, list[bytes]]]) -> list[tuple[int, bytes]]:
+    """Heights and hashes of the largest full subtrees, left to right, of nodes given by level, left to right."""
+    out: list[tuple[int, bytes]] = []
+    for level, hashes in parts:
+        for h in hashes:
+            out.append((level, h))
+            while len(out) > 1 and out[-1][0] == out[-2][0]:
+                (height, left), (_, right) = out[-2:]
+                out[-2:] = [(height + 1, node_hash(left, right))]
+    return out
+
+
+def _joined(parts: list[tuple[int, list[bytes]]]) -> bytes:
+    """Peaks joined from the right."""
+    at, *rest = [h for _, h in reversed(peaks(parts))]
+    for left in rest:
+        at = node_hash(left, at)
+    return at
 
 
 def inclusion_path(index: int, size: int) -> list[tuple[int, int]]:

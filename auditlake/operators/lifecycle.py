@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Upper bounds of the latency histogram in seconds (fixed values).
 LATENCY_BOUNDS = (0.0005, 0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.5, 1.0)
+#: Well-formed idempotency keys (fixed value).
+KEY_PATTERN = r"^[\x21-\x7e]{1,128}$"
 #: Facility and severity of mirrored lines (fixed value).
 SYSLOG_PRIORITY = 110
 
@@ -39,17 +41,20 @@ def latency_histogram(seconds: Column, rows: DataFrame, by: list[str] | None = N
     return rows.groupBy(*(by or [])).agg(*sums, F.count(seconds).alias("le_inf"))
 
 
-def deduplicated(events: DataFrame, key: str, order: str, valid: str = r"^[\x21-\x7e]{1,128}$") -> DataFrame:
-    """The first event of each well-formed idempotency key; a partial aggregate, so hot keys shrink before the shuffle."""
-    columns = events.columns
-    first = events.where(F.col(key).rlike(valid)).groupBy(key).agg(F.min_by(F.struct(*columns), order).alias("e"))
-    return first.select(*[F.col(f"e.{c}").alias(c) for c in columns])
+def deduplicated(events: DataFrame, key: str, order: str, valid: str = KEY_PATTERN) -> DataFrame:
+    """The first event of each idempotency key, and all events without one; malformed keys are for `split_valid` to refuse.
 
+    Only keys and orders are grouped, in part before the shuffle, so hot keys shrink; events are compared with the first of their key.
+    """
+    keyed = events.where(F.col(key).rlike(valid)).groupBy(key).agg(F.min(order).alias("__first"))
+    named = events.join(keyed.withColumnRenamed(key, "__key"), F.col(key) == F.col("__key"), "left")
+    return named.where(F.col(key).isNull() | (F.col(order) == F.col("__first"))).select(*events.columns)
 
-def split_valid(events: DataFrame, rules: dict[str, Column | str]) -> tuple[DataFrame, DataFrame]:
-    """Events that meet all rules, and the others with the first rule they break as `error`."""
-    error = F.coalesce(*[F.when(~F.coalesce(F.expr(ok) if isinstance(ok, str) else ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()])
-    marked = events.withColumn("error", error)
+
+def split_valid(events: DataFrame, rules: dict[str, Column | str], errors: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Events that meet all rules, and the others with the first rule they break as `error`; `errors` name broken rules themselves."""
+    broken = [F.when(~F.coalesce(F.expr(ok) if isinstance(ok, str) else ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]
+    marked = events.withColumn("error", F.coalesce(*broken, *(errors or [])))
     return marked.where("error is null").drop("error"), marked.where("error is not null")
 
 

@@ -1,23 +1,66 @@
-"""Streaming ingest: validate, deduplicate, version entities, number and append, one micro-batch at a time.
+"""The store of an audit log: streaming ingest in commits, snapshots of them, and the tables that readers open.
 
-Tables are Parquet folders partitioned by batch. A batch that runs again after a failure overwrites its own partitions, so every
-event is applied once; events that break a rule go to the dead-letter table and can be replayed from it.
+Tables are Parquet folders partitioned by commit. A commit writes its own partitions of all tables and its record last; readers see
+commits up to one number, so what a commit has not finished is invisible, and a batch that runs again writes the same partitions anew.
+What the next commit must know is in the last record: the tree's size and the sources' batches. Entities' last versions are compacted from
+time to time into a table of heads, so no batch scans the history.
 """
 
 from __future__ import annotations
 
+import base64
+import json
+import time
+from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.scalars import fingerprint, leaf_hash, sha256_hex
-from auditlake.operators.lifecycle import split_valid
+from auditlake.functions.keys import Envelope, KeyRing, RsaRing, with_data_keys, with_pads
+from auditlake.functions.scalars import hmac_hex, leaf_hash, map_fingerprint, sha256_hex
+from auditlake.operators.integrity import HEIGHT, Tree, new_nodes
+from auditlake.operators.lifecycle import KEY_PATTERN, split_valid
+from auditlake.plans.catalog import Catalog
+from auditlake.plans.query import Dataset
 
-EVENT = """event_id string, occurred_at long, actor_type string, actor_id string, actor_name string, method string, url string, content string,
-targets array<struct<entity_type:string,entity_id:string,name:string>>, custom map<string,string>"""
-LOG = "pos long, ts_us long, event_id string, actor_uid string, actor_type string, method string, url string, content string, custom map<string,string>, leaf binary, batch long"
+ENTITY = "struct<entity_type:string,entity_id:string,fields:map<string,string>>"
+EVENT = f"event_id string, occurred_at long, actor {ENTITY}, method string, url string, content string, targets array<{ENTITY}>, custom map<string,string>"
+LOG = "pos long, ts_us long, event_id string, actor_uid string, actor_type string, method string, url string, content string, custom map<string,string>, batch long"
 RELATION = "log long, ord int, uid string, entity_type string, ts_us long, batch long"
-VERSION = "uid string, entity_type string, entity_id string, version long, name string, fingerprint string, recorded_at long, batch long"
+VERSION = "idx long, uid string, entity_type string, entity_id string, version long, deleted boolean, fields map<string,string>, tokens array<string>, fingerprint string, recorded_at long, sealed long, batch long"
+HEAD = "entity_type string, entity_id string, version long, deleted boolean, fingerprint string"
 DEAD = f"{EVENT}, error string, failed_at long, batch long"
+SPINE = "idx long, hash binary, batch long"
+NODE = "height int, idx long, hash binary, batch long"
+KEY = "n long, key_version int, wrapped string"
+#: What is never partitioned away: one record per commit, as JSON.
+COMMIT = "n long, record string"
+#: Commits between two tables of heads.
+HEADS_EVERY = 20
+#: Idempotency keys that are remembered at least (fixed value).
+KEY_WINDOW = 65_536
+
+SCHEMAS = {"logs": LOG, "relations": RELATION, "versions": VERSION, "dead": DEAD, "spine_logs": SPINE, "spine_versions": SPINE, "nodes_logs": NODE, "nodes_versions": NODE}
+
+
+def log_leaf(entities: Column) -> Column:
+    """Leaf of a log: its columns and the versions it pins, in order."""
+    return leaf_hash(F.to_json(F.struct("pos", "ts_us", "event_id", "actor_uid", "actor_type", "method", "url", "content", F.array_sort(F.map_entries("custom")).alias("custom"), entities.alias("targets"))))
+
+
+def version_leaf() -> Column:
+    """Leaf of a version: what is stored of it, but for its digests of tokens, which a new key changes."""
+    return leaf_hash(F.to_json(F.struct("idx", "uid", "entity_type", "entity_id", "version", "deleted", F.array_sort(F.map_entries("fields")).alias("fields"), "fingerprint", "recorded_at")))
+
+
+def numbered(rows: DataFrame, part: str, order: list[str], name: str, base: int) -> DataFrame:
+    """Dense numbers from `base`: rows are ranked inside parts, and parts offset by the counts before them, one row each."""
+    sizes = rows.groupBy(part).agg(F.count("*").alias("__c"))
+    before = sizes.select(F.col(part).alias("__p"), (F.sum("__c").over(Window.orderBy(part)) - F.col("__c")).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
+    return rows.withColumn("__nth", nth).join(F.broadcast(before), F.col(part) == F.col("__p")).withColumn(name, F.col("__before") + F.col("__nth") + F.lit(base)).drop("__p", "__before", "__nth")
 
 
 def versioned(touched: DataFrame, last: DataFrame) -> DataFrame:
@@ -40,92 +83,303 @@ def versioned(touched: DataFrame, last: DataFrame) -> DataFrame:
     ranges = ranges.withColumn("__base", F.coalesce("top", F.lit(-1)) + before + F.col("__new").cast("long")).select(*entity, "__part", "__new", "__base")
     rows = rows.join(ranges, [*entity, "__part"])
     rows = rows.withColumn("new", F.when(F.col("__first"), F.col("__new")).otherwise(F.col("__changed"))).withColumn("version", F.col("__base") + F.col("__inside"))
-    uid = F.substring(sha256_hex(F.concat_ws("/", "entity_type", "entity_id", F.col("version").cast("string"))), 1, 32)
-    return rows.withColumn("uid", uid).select("pos", "occurred_at", "ord", *entity, "name", "fingerprint", "new", "version", "uid")
+    return rows.withColumn("uid", version_uid()).drop("__first", "__changed", "__inside", "__new", "__base")
 
 
-class AuditTables:
-    """The four tables below one folder, and the write path into them."""
+def version_uid() -> Column:
+    return F.substring(sha256_hex(F.concat_ws("/", "entity_type", "entity_id", F.col("version").cast("string"))), 1, 32)
 
-    def __init__(self, spark: SparkSession, path: str, types: set[str], rules: dict[str, Column] | None = None):
-        self.spark, self.path, self.types = spark, path.rstrip("/"), types
-        known = F.col("targets").isNull() | F.forall("targets", lambda t: t["entity_type"].isin(sorted(types)))
-        self.rules = {"missing actor": F.col("actor_id").isNotNull(), "missing url": F.col("url").isNotNull(), "unknown target type": known} | (rules or {})
 
-    def read(self, name: str, schema: str) -> DataFrame:
-        """The table, or no rows before its first batch."""
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return self.spark.createDataFrame([], schema)
-            raise
+@dataclass(frozen=True)
+class Snapshot:
+    """The tables as of one commit; later commits do not show."""
+
+    store: Store
+    record: dict
+
+    def table(self, name: str) -> DataFrame:
+        folder = f"versions/gen={self.record['gen']}" if name == "versions" else name
+        rows = self.store.read(folder, SCHEMAS[name]).where(F.col("batch") <= self.record["n"])
+        return rows.where(~F.col("batch").isin(self.record["gone"])) if self.record["gone"] and name in ("logs", "relations") else rows
 
     @property
     def logs(self) -> DataFrame:
-        return self.read("logs", LOG)
+        return self.table("logs")
 
     @property
     def relations(self) -> DataFrame:
-        return self.read("relations", RELATION)
+        return self.table("relations")
 
     @property
     def versions(self) -> DataFrame:
-        return self.read("versions", VERSION)
+        return self.table("versions")
 
     @property
     def dead(self) -> DataFrame:
-        return self.read("dead", DEAD)
-
-    def _write(self, rows: DataFrame, name: str, batch: int) -> None:
-        rows.drop("batch").write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
-
-    def apply(self, events: DataFrame, batch: int) -> None:
-        """One micro-batch: the foreachBatch of `start`. Rows of this batch number from an earlier try are replaced."""
-        logs, versions = self.logs.where(F.col("batch") != batch), self.versions.where(F.col("batch") != batch)
-        good, bad = split_valid(events, self.rules)
-        failed = bad.withColumn("failed_at", F.unix_micros(F.current_timestamp()))
-        good = good.dropDuplicates(["event_id"]).join(logs.select("event_id"), "event_id", "left_anti")
-        base = logs.agg(F.coalesce(F.max("pos") + 1, F.lit(0)).alias("b")).first().b
-        # positions: a range sort by arrival and an offset per range, so no task sorts the whole batch
-        ordered = good.repartitionByRange("occurred_at", "event_id").sortWithinPartitions("occurred_at", "event_id")
-        ordered = ordered.withColumn("__part", F.spark_partition_id()).withColumn("__nth", F.monotonically_increasing_id() % (1 << 33))
-        ordered, seen = ordered.persist(), None
+        """Events that were refused and not replayed since."""
+        return self.table("dead").where(F.col("batch") >= self.record["dead_from"])
+
+    def registry(self, kind: str) -> DataFrame:
+        return self.versions.where(F.col("entity_type") == kind)
+
+    def dataset(self, search_keys: bool = True) -> Dataset:
+        """What log queries run over, with the keys that the store holds."""
+        kinds = {k: self.registry(k) for k in self.store.catalog.types}
+        return Dataset(self.logs, self.relations, kinds, catalog=self.store.catalog, keys=self.store.ring.held() if search_keys else [], data_keys=self.store.data_keys() if search_keys else {})
+
+    def tree(self, name: str = "logs") -> Tree:
+        """Roots and proofs of the tree of logs or versions."""
+        return Tree(self.table(f"spine_{name}"), self.table(f"nodes_{name}"), self.record[f"{name}_size"])
+
+
+class Store:
+    """The tables below one folder, and the write path into them."""
+
+    def __init__(self, spark: SparkSession, path: str, catalog: Catalog, ring: KeyRing | None = None, rsa: RsaRing | None = None, sink: Callable[[DataFrame], None] | None = None, retries: int = 0, rules: dict[str, Column] | None = None):
+        """`sink` gets the committed logs of each batch; its errors undo nothing. Batches are tried again `retries` times."""
+        self.spark, self.path, self.catalog, self.ring, self.rsa, self.sink, self.retries = spark, path.rstrip("/"), catalog, ring or KeyRing(), rsa, sink, retries
+        known = F.col("targets").isNull() | F.forall("targets", lambda t: catalog.entity_rules(t).isNull())
+        target = F.get(F.filter(F.transform("targets", catalog.entity_rules), lambda e: e.isNotNull()), F.lit(0))
+        self.rules = {
+            "malformed key": F.col("event_id").isNull() | F.col("event_id").rlike(KEY_PATTERN),
+            "missing actor": F.col("actor").isNotNull() & F.col("actor.entity_id").isNotNull(),
+            "missing url": F.col("url").isNotNull(),
+            "missing time": F.col("occurred_at").isNotNull(),
+        } | (rules or {}) | catalog.custom_rules(F.col("custom"), F.col("occurred_at"))
+        self.broken = {"actor": catalog.entity_rules(F.col("actor")), "targets": F.when(~F.coalesce(known, F.lit(True)), target)}
+        self.last = self._newest()
+
+    # -- reading ----------------------------------------------------------------------------------------------------------
+
+    def read(self, name: str, schema: str) -> DataFrame:
+        """The table, or no rows before its first commit."""
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except Exception as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return self.spark.createDataFrame([], schema)
+            raise
+
+    def _newest(self) -> dict:
+        row = self.read("commits", COMMIT).orderBy(F.desc("n")).first()
+        return json.loads(row.record) if row else {"n": -1, "gen": 0, "logs_size": 0, "versions_size": 0, "sources": {}, "heads": -1, "dead_from": 0, "purged": 0, "gone": [], "recent": {}}
+
+    def commits(self) -> DataFrame:
+        """All commit records, as JSON."""
+        return self.read("commits", COMMIT)
+
+    def snapshot(self, n: int | None = None) -> Snapshot:
+        """The store as of a commit, by default the newest this object knows; `refresh` looks for newer ones."""
+        if n is None or n == self.last["n"]:
+            return Snapshot(self, self.last)
+        row = self.commits().where(F.col("n") == n).first()
+        if row is None:
+            raise KeyError(n)
+        return Snapshot(self, json.loads(row.record))
+
+    def refresh(self) -> Snapshot:
+        self.last = self._newest()
+        return self.snapshot()
+
+    def data_keys(self) -> dict[int, bytes]:
+        """Data keys by commit, as far as private keys are held."""
+        if not self.rsa or not self.catalog.encrypts:
+            return {}
+        rows = self.read(f"keys/gen={self.last['gen']}", KEY).where(F.col("n") <= self.last["n"]).collect()  # one short row per commit that encrypted
+        opened = {r.n: self.rsa.unwrap(r.key_version, base64.b64decode(r.wrapped)) for r in rows}
+        return {n: k for n, k in opened.items() if k is not None}
+
+    # -- writing ----------------------------------------------------------------------------------------------------------
+
+    def write(self, rows: DataFrame, name: str, n: int) -> None:
+        rows.drop("batch").write.mode("overwrite").parquet(f"{self.path}/{name}/batch={n}")
+
+    def commit(self, record: dict) -> None:
+        """The record makes everything written under its number visible."""
+        row = self.spark.createDataFrame([(record["n"], json.dumps(record, sort_keys=True))], COMMIT).coalesce(1)
+        row.write.mode("overwrite").parquet(f"{self.path}/commits/c={record['n']}")
+        self.last = record
+
+    def heads(self) -> DataFrame:
+        """The last version of every entity: the newest table of heads and the versions since."""
+        now = self.last
+        since = self.snapshot().versions.where(F.col("batch") > now["heads"]).select(*[c.split()[0] for c in HEAD.split(", ")])
+        both = since if now["heads"] < 0 else since.unionByName(self.read(f"heads/upto={now['heads']}", HEAD))
+        last = both.groupBy("entity_type", "entity_id").agg(F.max_by(F.struct("version", "deleted", "fingerprint"), "version").alias("v"))
+        return last.select("entity_type", "entity_id", "v.*")
+
+    def _seen(self) -> DataFrame:
+        """Keys of the last commits that together hold KEY_WINDOW events."""
+        return self.snapshot().logs.where((F.col("batch") >= self._since("logs", KEY_WINDOW)) & F.col("event_id").isNotNull()).select("event_id")
+
+    def _since(self, name: str, rows: int) -> int:
+        """The commit from which on at least so many rows of a table came, as far as there are."""
+        n, held = self.last["n"], 0
+        for at, size in reversed(self.last["recent"].get(name, [])):
+            n, held = at, held + size
+            if held >= rows:
+                break
+        return n
+
+    def _recent(self, name: str, n: int, added: int) -> list[list[int]]:
+        """First commit and rows of the lots that `_since` needs, oldest first; old lots are joined, so the list stays short."""
+        lots = [*self.last["recent"].get(name, []), [n, added]]
+        while len(lots) > 1 and sum(s for _, s in lots[1:]) >= KEY_WINDOW:
+            lots = lots[1:]
+        return [[lots[0][0], lots[0][1] + lots[1][1]], *lots[2:]] if len(lots) > 256 else lots
+
+    def _protected(self, rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame | None]:
+        """Versions' rows with `stored` and `tokens`, and the wrapped data key of the commit."""
+        key, pads, data_key = None, None, None
+        if self.catalog.keyed:
+            rows, pads = with_pads(rows, {"__pads": self.ring.keys[self.ring.active]}), F.col("__pads")
+        if self.catalog.encrypts:
+            if self.rsa is None:
+                raise ValueError("encrypted fields need a key pair")
+            fresh = Envelope.new_data_key()
+            version, wrapped = self.rsa.wrap(fresh)
+            key = self.spark.createDataFrame([(n, version, base64.b64encode(wrapped).decode())], KEY)
+            rows, data_key = with_data_keys(rows.withColumn("__commit", F.lit(n).cast("long")), {n: fresh}, "__commit"), F.col("__key")
+        made = rows.withColumn("stored", self.catalog.protected(F.col("entity_type"), F.col("fields"), pads, data_key)).withColumn("tokens", self.catalog.tokens(F.col("entity_type"), F.col("fields"), pads))
+        return made.drop("__pads", "__key", "__commit"), key
+
+    def _fingerprint(self, rows: DataFrame) -> DataFrame:
+        """Rows with the digest of their canonical fields; keyed with the ring's first key where a type has keyed fields, so that it tells nothing; dropping that key makes entities look changed once."""
+        if not self.catalog.keyed:
+            return rows.withColumn("fingerprint", map_fingerprint(F.col("fields")))
+        keyed = with_pads(rows, {"__f": self.ring.keys[min(self.ring.keys)]})
+        return keyed.withColumn("fingerprint", hmac_hex(map_fingerprint(F.col("fields")), F.col("__f"))).drop("__f")
+
+    def _append(self, n: int, fresh: DataFrame) -> int:
+        """Writes new versions (pos, ord, entity, fields, ...) with their spine; returns how many there are now."""
+        base, gen = self.last["versions_size"], self.last["gen"]
+        rows, key = self._protected(numbered(fresh, "__part", ["pos", "ord"], "idx", base), n)
+        if key is not None:
+            key.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/keys/gen={gen}/batch={n}")
+        rows = rows.select("idx", "uid", "entity_type", "entity_id", "version", "deleted", F.col("stored").alias("fields"), "tokens", "fingerprint", "recorded_at", F.lit(n).cast("long").alias("sealed"))
+        self.write(rows, f"versions/gen={gen}", n)
+        stored = self.read(f"versions/gen={gen}/batch={n}", VERSION.removesuffix(", batch long"))
+        self.write(stored.select("idx", version_leaf().alias("hash")), "spine_versions", n)
+        return base + stored.count()
+
+    def _grow(self, name: str, n: int, size: int) -> None:
+        """The node table's new rows, from the spine's."""
+        old = self.last[f"{name}_size"]
+        spine = self.read(f"spine_{name}", SPINE).where((F.col("batch") <= n) & (F.col("batch") >= self._since(name, 1 << HEIGHT)))
+        made = new_nodes(spine, self.snapshot().table(f"nodes_{name}"), old, size)
+        if made is not None:
+            self.write(made, f"nodes_{name}", n)
+
+    def apply(self, events: DataFrame, batch: int, source: str = "stream") -> None:
+        """One micro-batch: the foreachBatch of `start`. A batch of a source that is committed already is skipped."""
+        if self.last["sources"].get(source, -1) >= batch:
+            return
+        for left in range(self.retries, -1, -1):
+            try:
+                record = self._apply(events, batch, source)
+                break
+            except Exception:
+                if not left:
+                    raise
+        if self.sink:
+            try:
+                self.sink(self.snapshot().logs.where(F.col("batch") == record["n"]))
+            except Exception as e:  # noqa: BLE001  a sink is someone else's code
+                self.sink_error = str(e)
+
+    def _apply(self, events: DataFrame, batch: int, source: str) -> dict:
+        n, started = self.last["n"] + 1, time.time_ns() // 1000
+        # what arrived, once, with its place and the first rule it breaks; all else is read from here
+        good, bad = split_valid(events.withColumn("__place", F.monotonically_increasing_id()), self.rules, list(self.broken.values()))
+        staged = good.withColumn("error", F.lit(None).cast("string")).unionByName(bad)
+        staged.write.mode("overwrite").parquet(f"{self.path}/staging/{source}")
+        staged = self.spark.read.schema(staged.schema).parquet(f"{self.path}/staging/{source}")
+        self.write(staged.where("error is not null").drop("__place").withColumn("failed_at", F.lit(started)), "dead", n)
+        good = staged.where("error is null").drop("error")
+        # of several events with one key the first to arrive counts, and none that was committed lately
+        later = good.where("event_id is not null").groupBy("event_id").agg(F.min("__place").alias("__first"), F.count("*").alias("c")).where("c > 1").drop("c")
+        good = good.join(later.withColumnRenamed("event_id", "__e"), F.col("event_id") == F.col("__e"), "left").where("__first is null or __place = __first").drop("__e", "__first")
+        good = good.join(self._seen(), "event_id", "left_anti")
+        rows = numbered(good.withColumn("__part", F.shiftright("__place", 33)), "__part", ["__place"], "pos", self.last["logs_size"]).persist()
+        seen = None
         try:
-            sizes = ordered.groupBy("__part").count()
-            offset = sizes.withColumn("__base", F.sum("count").over(Window.orderBy("__part")) - F.col("count")).select("__part", "__base")
-            numbered = ordered.join(F.broadcast(offset), "__part").withColumn("pos", F.col("__base") + F.col("__nth") + base)
-            named = numbered.withColumn("__all", F.concat(F.array(F.struct(F.col("actor_type").alias("entity_type"), F.col("actor_id").alias("entity_id"), F.col("actor_name").alias("name"))), F.coalesce("targets", F.array().cast("array<struct<entity_type:string,entity_id:string,name:string>>"))))
-            touched = named.select("pos", "occurred_at", "__part", F.posexplode("__all").alias("ord", "e")).select("pos", "occurred_at", "__part", "ord", "e.*")
-            touched = touched.withColumn("fingerprint", fingerprint({"name": F.col("name")}))
-            last = versions.groupBy("entity_type", "entity_id").agg(F.max_by(F.struct("fingerprint", "version"), "version").alias("v"))
-            last = last.select("entity_type", "entity_id", F.col("v.fingerprint").alias("old"), F.col("v.version").alias("top"))
-            seen = versioned(touched, last).persist()
-            fresh = seen.where("new").select("uid", "entity_type", "entity_id", "version", "name", "fingerprint", F.col("occurred_at").alias("recorded_at"))
-            rel = seen.where("ord > 0").select(F.col("pos").alias("log"), (F.col("ord") - 1).alias("ord"), "uid", "entity_type", F.col("occurred_at").alias("ts_us"))
-            actors = seen.where("ord = 0").select("pos", F.col("uid").alias("actor_uid"))
-            out = numbered.join(actors, "pos").select("pos", F.col("occurred_at").alias("ts_us"), "event_id", "actor_uid", "actor_type", "method", "url", "content", "custom")
-            out = out.withColumn("leaf", leaf_hash(F.to_json(F.struct("pos", "ts_us", "event_id", "actor_uid", "method", "url", "content"))))
+            actor = F.array(F.struct("actor.entity_type", "actor.entity_id", "actor.fields"))
+            touched = rows.select("pos", "occurred_at", "__part", F.posexplode(F.concat(actor, F.coalesce("targets", F.array().cast(f"array<{ENTITY}>")))).alias("ord", "e"))
+            touched = touched.select("pos", "occurred_at", "__part", "ord", "e.entity_type", "e.entity_id", self.catalog.canonical(F.col("e.entity_type"), F.coalesce("e.fields", F.create_map().cast("map<string,string>"))).alias("fields"))
+            last = self.heads().select("entity_type", "entity_id", F.when(~F.col("deleted"), F.col("fingerprint")).alias("old"), F.col("version").alias("top"))
+            seen = versioned(self._fingerprint(touched), last).persist()
+            fresh = seen.where("new").withColumn("deleted", F.lit(False)).withColumnRenamed("occurred_at", "recorded_at")
             # registries first, then relations, then the logs that refer to both
-            self._write(failed, "dead", batch)
-            self._write(fresh, "versions", batch)
-            self._write(rel, "relations", batch)
-            self._write(out, "logs", batch)
+            versions = self._append(n, fresh)
+            pins = seen.select(F.col("pos").alias("log"), (F.col("ord") - 1).alias("ord"), "uid", "entity_type", F.col("occurred_at").alias("ts_us"))
+            self.write(pins.where("ord >= 0"), "relations", n)
+            uids = pins.groupBy("log").agg(F.array_sort(F.collect_list(F.struct("ord", "uid")))["uid"].alias("u"))
+            out = rows.join(uids, F.col("pos") == F.col("log")).select("pos", F.col("occurred_at").alias("ts_us"), "event_id", F.col("u")[0].alias("actor_uid"), F.col("actor.entity_type").alias("actor_type"), "method", "url", "content", "custom", F.slice("u", 2, F.size("u")).alias("__targets"))
+            out = out.withColumn("__leaf", log_leaf(F.col("__targets"))).persist()
+            self.write(out.drop("__targets", "__leaf"), "logs", n)
+            self.write(out.select(F.col("pos").alias("idx"), F.col("__leaf").alias("hash")), "spine_logs", n)
+            added = out.count()
+            out.unpersist()
         finally:
-            ordered.unpersist()
+            rows.unpersist()
             if seen is not None:
                 seen.unpersist()
+        more = {"sources": self.last["sources"] | {source: batch}} | ({"dead_from": n} if source == "redrive" else {})
+        return self.finish(n, self.last["logs_size"] + added, versions, more)
+
+    def finish(self, n: int, logs: int, versions: int, more: dict[str, Any] | None = None) -> dict:
+        """Nodes, from time to time heads, and the commit's record."""
+        for name, size in (("logs", logs), ("versions", versions)):
+            self._grow(name, n, size)
+        recent = {name: self._recent(name, n, size - self.last[f"{name}_size"]) for name, size in (("logs", logs), ("versions", versions))}
+        record = self.last | (more or {}) | {"n": n, "recent": recent, "logs_size": logs, "versions_size": versions, "committed_at": time.time_ns() // 1000}
+        self.commit(record)
+        if n - record["heads"] > HEADS_EVERY:
+            self.heads().write.mode("overwrite").parquet(f"{self.path}/heads/upto={n}")
+            self.commit(record | {"heads": n})
+        return self.last
+
+    def delete(self, kind: str, ids: DataFrame, at: int) -> int:
+        """Tombstones for live entities of a type (entity_id): copies of their last version, numbered next. Returns how many."""
+        n = self.last["n"] + 1
+        last = self.heads().where((F.col("entity_type") == kind) & ~F.col("deleted")).join(ids.select("entity_id").distinct(), "entity_id", "left_semi")
+        whole = self.snapshot().registry(kind).join(last.select("entity_id", "version"), ["entity_id", "version"])
+        rows = whole.withColumn("version", F.col("version") + 1).withColumn("deleted", F.lit(True)).withColumn("uid", version_uid()).withColumn("recorded_at", F.lit(at).cast("long"))
+        # the copy keeps the stored fields, and so the data key of the commit that encrypted them
+        rows = numbered(rows.withColumn("__part", F.pmod(F.xxhash64("entity_id"), F.lit(64))), "__part", ["entity_id"], "idx", self.last["versions_size"])
+        rows = rows.select("idx", "uid", "entity_type", "entity_id", "version", "deleted", "fields", "tokens", "fingerprint", "recorded_at", "sealed")
+        self.write(rows, f"versions/gen={self.last['gen']}", n)
+        stored = self.read(f"versions/gen={self.last['gen']}/batch={n}", VERSION.removesuffix(", batch long"))
+        self.write(stored.select("idx", version_leaf().alias("hash")), "spine_versions", n)
+        gone = stored.count()
+        self.finish(n, self.last["logs_size"], self.last["versions_size"] + gone)
+        return gone
 
     def start(self, events: DataFrame, checkpoint: str, **trigger):
         """A streaming query that appends each micro-batch; late events keep their time and go by arrival."""
         return events.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
-    def redrive(self, batch: int) -> None:
-        """Replays dead letters under a new batch number with their own times; those that fail again are parked again.
+    def redrive(self) -> None:
+        """Replays all waiting dead letters with their own times in one commit; those that fail again are parked again by it.
 
-        An event that is already in the log is skipped, so replaying twice is harmless.
+        An event with a key that was committed lately is skipped, so replaying twice is harmless. Corrupt files are left out.
         """
-        columns = [c.strip().split()[0] for c in EVENT.replace("\n", " ").split(", ")]
-        waiting = self.dead.where(F.col("batch") != batch).select(*columns)
-        waiting = waiting.join(self.logs.select("event_id"), "event_id", "left_anti").dropDuplicates(["event_id"])
-        self.apply(waiting, batch)
+        waiting = self.waiting().select(*[f.name for f in self.spark.createDataFrame([], EVENT).schema])
+        self.apply(waiting, self.last["sources"].get("redrive", -1) + 1, "redrive")
+
+    def waiting(self) -> DataFrame:
+        """Dead letters not replayed yet; unreadable files are passed over, `quarantined` lists them."""
+        rows = self.spark.read.schema(DEAD).option("ignoreCorruptFiles", "true")
+        try:
+            found = rows.parquet(f"{self.path}/dead")
+        except Exception as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return self.spark.createDataFrame([], DEAD)
+            raise
+        return found.where((F.col("batch") >= self.last["dead_from"]) & (F.col("batch") <= self.last["n"]))
+
+    def quarantined(self) -> DataFrame:
+        """Paths of dead-letter files that hold no readable row group."""
+        every = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(f"{self.path}/dead").select("path", F.substring("content", 1, 4).alias("head"), F.substring("content", -4, 4).alias("tail"))
+        magic = F.lit(b"PAR1")
+        return every.where((F.col("head") != magic) | (F.col("tail") != magic)).select("path")

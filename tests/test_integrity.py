@@ -3,7 +3,7 @@ import hashlib
 import pytest
 
 from auditlake.functions.scalars import node_hash
-from auditlake.operators.integrity import EMPTY, block_roots, broken_leaves, consistency_path, fold, inclusion_path, merkle_root, nodes_at, verify_consistency, verify_global, verify_inclusion
+from auditlake.operators.integrity import EMPTY, block_roots, broken_leaves, consistency_path, fold, inclusion_path, merkle_root, new_nodes, Tree, verify_consistency, verify_global, verify_inclusion
 
 
 def leaf(i):
@@ -57,10 +57,22 @@ def test_distributed_root_and_nodes(spark):
         assert bytes(merkle_root(frame(spark, n), n, height=3).first().hash) == tree(leaves[:n])
     assert bytes(merkle_root(frame(spark, 0), 0).first().hash) == EMPTY
     assert block_roots(frame(spark, 20), 3).count() == 3
-    wanted = inclusion_path(777, 1000)
-    got = {r.step: bytes(r.hash) for r in nodes_at(frame(spark, 1000), wanted, height=3).collect()}
-    assert [got[i] for i in range(len(wanted))] == [node(leaves, h, k) for h, k in wanted]
-    assert nodes_at(frame(spark, 1), []).count() == 0
+
+
+def test_stored_nodes_answer_proofs_as_the_tree_grows(spark):
+    leaves = [leaf(i) for i in range(1000)]
+    nodes, old = spark.createDataFrame([], "height int, idx long, hash binary"), 0
+    for n in (5, 8, 70, 71, 600, 1000):
+        made = new_nodes(frame(spark, n), nodes, old, n, height=3)
+        if made is not None:
+            nodes = spark.createDataFrame(nodes.unionByName(made).collect(), "height int, idx long, hash binary")
+        old = n
+        at = Tree(frame(spark, n), nodes, n, height=3)
+        assert at.root() == tree(leaves[:n])
+    assert {(r.height, r.idx): bytes(r.hash) for r in nodes.collect()} == {(h, i): node(leaves, h, i) for h in (3, 6, 9) for i in range(1000 >> h)}
+    assert at.inclusion(777) == [node(leaves, h, k) for h, k in inclusion_path(777, 1000)]
+    assert at.consistency(600) == [node(leaves, h, k) for h, k in consistency_path(600, 1000)]
+    assert at.rows(inclusion_path(777, 1000)).count() < 80 and Tree(frame(spark, 0), nodes, 0).root() == EMPTY
 
 
 def test_changed_records_and_checkpoints(spark):
