@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.operators.ranges import running_sum
+
 #: Upper bounds of the latency histogram in seconds (fixed values).
 LATENCY_BOUNDS = (0.0005, 0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.5, 1.0)
 #: Well-formed idempotency keys (fixed value).
@@ -28,17 +30,23 @@ def kept_by_age(segments: DataFrame, cutoff: int) -> DataFrame:
 
 
 def kept_by_bytes(segments: DataFrame, budget: int) -> DataFrame:
-    """Segments that stay when the oldest sealed ones go until the rest fits; one row per segment, far fewer than logs."""
+    """Segments that stay when the oldest sealed ones go until the rest fits: those whose sum with all newer ones does."""
     last = segments.agg(F.max("seg").alias("active"))
-    newest_first = Window.orderBy(F.col("active") == F.col("seg"), "max_ts", "seg").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = segments.crossJoin(F.broadcast(last)).withColumn("held", F.sum("bytes").over(newest_first))
-    return every.where((F.col("held") <= budget) | (F.col("seg") == F.col("active"))).drop("active", "held")
+    every = segments.crossJoin(F.broadcast(last)).withColumn("sealed", F.col("seg") != F.col("active"))
+    every = running_sum(every, "bytes", "held", "sealed", F.desc("max_ts"), F.desc("seg"))
+    return every.where((F.col("held") <= budget) | ~F.col("sealed")).drop("active", "held", "sealed")
 
 
 def latency_histogram(seconds: Column, rows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Cumulative counts per bound, with the count and sum of all."""
+    """Cumulative counts per bound, with the count and the sum in microseconds of all."""
     sums = [F.sum((seconds <= b).cast("long")).alias(f"le_{str(b).replace('.', '_')}") for b in LATENCY_BOUNDS]
-    return rows.groupBy(*(by or [])).agg(*sums, F.count(seconds).alias("le_inf"))
+    return rows.groupBy(*(by or [])).agg(*sums, F.count(seconds).alias("le_inf"), F.sum(F.round(seconds * 1_000_000).cast("long")).alias("sum_us"))
+
+
+def merged_histograms(histograms: DataFrame, by: list[str]) -> DataFrame:
+    """One histogram of several shards': every column adds up."""
+    columns = [c for c in histograms.columns if c.startswith("le_") or c == "sum_us"]
+    return histograms.groupBy(*by).agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def deduplicated(events: DataFrame, key: str, order: str, valid: str = KEY_PATTERN) -> DataFrame:
@@ -76,9 +84,13 @@ def rule_name(rules: list[tuple[str, str | None, str]]) -> Column:
     return found
 
 
-def rendered_body(body: Column, limit: int) -> Column:
-    """A captured body as JSON: itself if it parses, else a string; a note if too large; null if empty."""
+def rendered_body(body: Column, limit: int, binary: Column | None = None) -> Column:
+    """A captured body as JSON: itself if it parses, else a string; a note if too large, or if binary and no text; null if empty."""
     size = F.octet_length(body)
+    if binary is not None:
+        bad = ~F.is_valid_utf8(binary.cast("string"))
+        body, size = F.when(bad, F.concat(F.lit("<"), F.octet_length(binary).cast("string"), F.lit(" bytes, no text>"))).otherwise(binary.cast("string")), F.octet_length(binary)
+    # the note's words are fixed values
     note = F.concat(F.lit('"<body of '), size.cast("string"), F.lit(' bytes exceeds the capture limit>"'))
     parsed = F.try_parse_json(body)
     quoted = F.regexp_extract(F.to_json(F.struct(body.alias("b"))), r'^\{"b":(.*)\}$', 1)

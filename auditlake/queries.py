@@ -8,10 +8,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import scalars as X
+from auditlake.functions.keys import Envelope, RsaRing, decrypted, encrypted, with_data_keys, with_pads
 from auditlake.operators import integrity, lifecycle, search
+from auditlake.operators.ranges import positions
 from auditlake.operators.sharding import Ring, merged_page
-from auditlake.plans.query import LogQuery, conditions
+from auditlake.operators.versions import pinned
+from auditlake.plans.audited import AuditedReader
+from auditlake.plans.catalog import Catalog, CustomColumn, Field, Policy
+from auditlake.plans.query import Dataset, LogQuery, TargetFilter, conditions
 from auditlake.sources import views as V
+from auditlake.sources.scratch import shared_path, stored
+from auditlake.streaming.ingest import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,10 +51,12 @@ def _logs(spark, sf_dir):
 
 def _where(q: LogQuery):
     def run(spark, sf_dir):
-        logs = _logs(spark, sf_dir)
-        for c in conditions(q):
+        logs = V.event_logs(spark, sf_dir)
+        for c in conditions(q, "ts", V.at):
             logs = logs.where(c)
-        return logs
+        for name, value in q.custom.items():
+            logs = logs.where(F.col(name) == value)
+        return logs.select(*LOG)
 
     return run
 
@@ -60,7 +69,7 @@ for _name, _q, _sql in [
     ("filter_method_ci", LogQuery(method="PurChase"), "method = 'PURCHASE'"),
     ("filter_url_prefix", LogQuery(url_prefix="/users/1"), "starts_with(url, '/users/1')"),
     ("filter_custom_eq", LogQuery(custom={"k": "42"}), "k = '42'"),
-    ("filter_conjunction", LogQuery(FROM, TO, "view", "/users/1", custom={"k": "7"}), f"ts_us BETWEEN {FROM} AND {TO} AND method = 'VIEW' AND starts_with(url, '/users/1') AND k = '7'"),
+    ("filter_conjunction", LogQuery(FROM - 9 * DAY, TO + 8 * DAY, "view", "/users/1", custom={"k": "7"}), f"ts_us BETWEEN {FROM - 9 * DAY} AND {TO + 8 * DAY} AND method = 'VIEW' AND starts_with(url, '/users/1') AND k = '7'"),
 ]:
     query(f"SELECT {LOGS} FROM {E_LOGS} WHERE {_sql}", _name)(_where(_q))
 
@@ -80,8 +89,7 @@ def log_scan_desc(spark, sf_dir):
 @query(f"SELECT {LOGS} FROM {E_LOGS} WHERE ts_us BETWEEN {FROM} AND {FROM + DAY}")
 def time_range_pruned(spark, sf_dir):
     """A narrow window as a condition on the stored column, which the Parquet scan prunes row groups by."""
-    lo, hi = (F.timestamp_add("MICROSECOND", F.lit(us), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")) for us in (FROM, FROM + DAY))
-    return V.event_logs(spark, sf_dir).where(F.col("ts").between(lo, hi)).select(*LOG)
+    return V.event_logs(spark, sf_dir).where(F.col("ts").between(V.at(FROM), V.at(FROM + DAY))).select(*LOG)
 
 
 @query(f"SELECT count(*)::BIGINT AS n FROM {E_LOGS} WHERE method = 'CLICK' AND ts_us >= {FROM}")
@@ -130,12 +138,7 @@ def tree_counts(spark, sf_dir):
 def log_positions(spark, sf_dir):
     """Dense positions in a declared order: rows are ranked inside ranges, and ranges offset by the counts before them."""
     rows = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("log"), "o_orderdate")
-    month = F.date_trunc("MONTH", "o_orderdate")
-    rows = rows.withColumn("range", month)
-    sizes = rows.groupBy("range").count()
-    base = sizes.select("range", (F.sum("count").over(Window.orderBy("range")) - F.col("count")).alias("base"))
-    nth = F.row_number().over(Window.partitionBy("range").orderBy("o_orderdate", "log")) - 1
-    return rows.withColumn("nth", nth).join(F.broadcast(base), "range").select("log", (F.col("base") + F.col("nth")).alias("pos"))
+    return positions(rows, "pos", "o_orderdate", "log").select("log", "pos")
 
 
 # -- registries and joins -------------------------------------------------------------------------------------------------
@@ -186,7 +189,7 @@ def filter_actor(spark, sf_dir):
 
 def _touched(spark, sf_dir, kind, field, probe, mode="exact"):
     found = search.entities(V.registry(spark, sf_dir, kind), field, probe, mode)
-    return V.relations(spark, sf_dir).where(F.col("entity_type") == kind).join(found, "entity_id", "left_semi").select(F.col("log").alias("pos"))
+    return V.relations(spark, sf_dir, distinct=False).where(F.col("entity_type") == kind).join(found, "entity_id", "left_semi").select(F.col("log").alias("pos"))
 
 
 PART, SUPPLIER = "red widget", "Supplier#000000001"
@@ -222,36 +225,38 @@ _NEWEST = f"SELECT pos, ts_us, url FROM ({V.ORDER_LOGS}) WHERE method = 'PUT' OR
 @query(f"SELECT p.pos, p.ts_us, p.url, count(r.entity_id)::BIGINT AS n_targets, coalesce(sum(r.entity_id), 0)::BIGINT AS target_sum FROM ({_NEWEST}) p LEFT JOIN ({V.RELATIONS}) r ON r.log = p.pos GROUP BY ALL")
 def page_with_targets(spark, sf_dir):
     """The page is cut first; only then are its relations fetched."""
-    page = V.order_logs(spark, sf_dir).where("method = 'PUT'").select("pos", "ts_us", "url").orderBy(F.desc("pos")).limit(25)
+    page = stored(V.order_logs(spark, sf_dir).where("method = 'PUT'").select("pos", "ts_us", "url").orderBy(F.desc("pos")).limit(25), "page")
     touched = V.relations(spark, sf_dir).join(F.broadcast(page.select(F.col("pos").alias("log"))), "log", "left_semi")
     sums = touched.groupBy("log").agg(F.count("*").alias("n"), F.sum("entity_id").alias("s"))
     return page.join(sums, page.pos == sums.log, "left").select("pos", "ts_us", "url", F.coalesce("n", F.lit(0)).alias("n_targets"), F.coalesce("s", F.lit(0)).alias("target_sum"))
 
 
-def _rendered(spark, sf_dir, condition="true"):
-    parts = V.registry(spark, sf_dir, "part").where("entity_id % 7 <> 0").select(F.col("entity_id").alias("id"), "name")
-    rel = V.relations(spark, sf_dir).where(f"entity_type = 'part' and {condition}")
-    return rel.join(parts, rel.entity_id == parts.id, "left").select("log", "entity_type", "entity_id", "name", F.isnull("id").alias("missing"))
+_STEPS = "(SELECT event_id, user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)"
 
 
-@query("""SELECT r.log, r.entity_type, r.entity_id, p.p_name AS name, (p.p_partkey IS NULL) AS missing FROM (SELECT DISTINCT l_orderkey AS log, 'part' AS entity_type, l_partkey AS entity_id FROM lineitem WHERE l_orderkey < 2000) r
- LEFT JOIN (SELECT * FROM part WHERE p_partkey % 7 <> 0) p ON p.p_partkey = r.entity_id""")
+@query(f"""SELECT pos, entity_id, CASE WHEN (entity_id + version) % 7 <> 0 THEN version END AS version, CASE WHEN (entity_id + version) % 7 <> 0 THEN state END AS state, (entity_id + version) % 7 = 0 AS missing FROM
+ (SELECT event_id AS pos, user_id AS entity_id, event_type AS state, sum((event_type IS DISTINCT FROM before)::INT) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS version FROM {_STEPS})""")
 def render_as_recorded(spark, sf_dir):
-    """Pinned versions of the first 2,000 orders, as its SQL asks, are looked up by key; one that is gone is marked."""
-    return _rendered(spark, sf_dir, "log < 2000")
+    """Every log with its actor as the pinned version recorded it, found by the version's id; one that is gone is marked."""
+    touches = V.user_touches(spark, sf_dir)
+    logs = touches.select("pos", "entity_id", F.col("uid").alias("pin"))
+    known = touches.where("new and (entity_id + version) % 7 <> 0").select("uid", "version", "state")
+    return logs.join(known, F.col("pin") == F.col("uid"), "left").select("pos", "entity_id", "version", "state", F.isnull("uid").alias("missing"))
 
 
 @query("""SELECT r.log, r.entity_type, r.entity_id, p.p_name AS name, (p.p_partkey IS NULL) AS missing FROM (SELECT DISTINCT l_orderkey AS log, 'part' AS entity_type, l_partkey AS entity_id FROM lineitem) r
  LEFT JOIN (SELECT * FROM part WHERE p_partkey % 7 <> 0) p ON p.p_partkey = r.entity_id""")
 def render_as_recorded_all(spark, sf_dir):
-    """The same for every order."""
-    return _rendered(spark, sf_dir)
+    """Targets of every order, from a registry with one version each."""
+    parts = V.registry(spark, sf_dir, "part").where("entity_id % 7 <> 0").select(F.col("entity_id").alias("id"), "name")
+    rel = V.relations(spark, sf_dir).where("entity_type = 'part'")
+    return rel.join(parts, rel.entity_id == parts.id, "left").select("log", "entity_type", "entity_id", "name", F.isnull("id").alias("missing"))
 
 
 @query(f"SELECT e.event_id AS pos, e.user_id AS entity_id, max(v.version)::BIGINT AS version FROM events e JOIN {UV} v ON v.entity_id = e.user_id AND v.pos <= e.event_id GROUP BY 1, 2")
 def pin_versions_asof(spark, sf_dir):
-    """The version that was current at each log, by one window instead of a range join."""
-    return search.pinned(V.event_logs(spark, sf_dir), V.user_versions(spark, sf_dir), "actor_id")
+    """The version that was current at each log, by windows instead of a range join."""
+    return pinned(V.event_logs(spark, sf_dir), V.user_versions(spark, sf_dir), "actor_id")
 
 
 @query("SELECT DISTINCT l_orderkey AS log, l_partkey AS entity_id FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 7 <> 0)")
@@ -320,10 +325,12 @@ def tok_digests(spark, sf_dir):
     return _tokens(spark, sf_dir, X.token_digests("name", X.ngram_tokens(F.col("name"), 3)))
 
 
-def _indexed(spark, sf_dir, tokens, keys=(None,)):
-    """Parts with the digests of their tokens under each key, as the write path stores them."""
+def _indexed(spark, sf_dir, tokens, key=None):
+    """Parts with the digests of their tokens, as the write path stores them."""
     parts = V.registry(spark, sf_dir, "part").withColumn("version", F.lit(0).cast("long"))
-    return parts.withColumn("digests", F.concat(*[X.token_digests("name", tokens, k) for k in keys]))
+    if key is None:
+        return parts.withColumn("digests", X.token_digests("name", tokens))
+    return with_pads(parts, {"__k": key}).withColumn("digests", X.token_digests("name", tokens, F.col("__k"))).drop("__k")
 
 
 @query(f"SELECT entity_id FROM {NAMES} WHERE s = 'red widget'")
@@ -353,7 +360,7 @@ _ALL = " AND ".join(f"list_contains({NGRAMS}, '{g}')" for g in ("wid", "idg", "d
 @query(f"SELECT entity_id FROM {NAMES} WHERE {_ALL}")
 def match_contains_ngram_hashed(spark, sf_dir):
     """Candidates by n-grams of a hashed field; nothing to verify them with."""
-    rows = _indexed(spark, sf_dir, X.ngram_tokens(F.col("name"), 3), (KEYS[1],))
+    rows = _indexed(spark, sf_dir, X.ngram_tokens(F.col("name"), 3), KEYS[1])
     return rows.where(search.match_ngrams(F.col("digests"), "name", "widget", 3, [KEYS[1]])).select("entity_id")
 
 
@@ -368,8 +375,8 @@ def token_candidates_posting(spark, sf_dir):
 
 
 def _hmac_sql(text: str, key: bytes) -> str:
-    inner, outer = X._pads(key)
-    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({text}))))"
+    inner, outer = X.pads(key)
+    return f"sha256(unhex('{outer.hex()}') || unhex(sha256(unhex('{inner.hex()}') || encode({text}))))"
 
 
 @query("SELECT c_custkey AS entity_id, sha256(c_name) AS digest FROM customer")
@@ -381,7 +388,7 @@ def protect_sha256(spark, sf_dir):
 @query(f"SELECT c_custkey AS entity_id, 2 AS key_version, {_hmac_sql('c_name', KEYS[2])} AS digest FROM customer")
 def protect_hmac(spark, sf_dir):
     """Keyed digests under the active key version."""
-    return V.registry(spark, sf_dir, "customer").select("entity_id", F.lit(2).alias("key_version"), X.hmac_hex(F.col("name"), KEYS[2]).alias("digest"))
+    return with_pads(V.registry(spark, sf_dir, "customer"), {"__k": KEYS[2]}).select("entity_id", F.lit(2).alias("key_version"), X.hmac_hex(F.col("name"), F.col("__k")).alias("digest"))
 
 
 @query("SELECT c_custkey AS entity_id FROM customer WHERE c_name = 'Customer#000000007'")
@@ -400,20 +407,51 @@ def match_exact_hmac(spark, sf_dir):
 @query("SELECT c_custkey AS entity_id FROM customer WHERE c_mktsegment = 'BUILDING'")
 def match_multi_key_version(spark, sf_dir):
     """Rows under two key versions, matched under every held one."""
-    rows = V.registry(spark, sf_dir, "customer")
-    digest = F.when(F.col("entity_id") % 2 == 0, X.hmac_hex(F.col("segment"), KEYS[1])).otherwise(X.hmac_hex(F.col("segment"), KEYS[2]))
+    rows = with_pads(V.registry(spark, sf_dir, "customer"), {"__k1": KEYS[1], "__k2": KEYS[2]})
+    digest = F.when(F.col("entity_id") % 2 == 0, X.hmac_hex(F.col("segment"), F.col("__k1"))).otherwise(X.hmac_hex(F.col("segment"), F.col("__k2")))
     return rows.where(search.match_keyed(digest, "BUILDING", list(KEYS.values()))).select("entity_id")
 
 
 @query("SELECT c_custkey AS entity_id FROM customer WHERE contains(lower(c_name), '0007')")
 def match_contains_rsa(spark, sf_dir):
-    """Encrypted values: candidates by n-grams, decrypted in the JVM and verified."""
-    from auditlake.functions.keys import decrypted, encrypted
+    """Encrypted values: candidates by n-grams, their data key unwrapped by the private key, decrypted in the JVM and verified."""
+    rsa, fresh = RsaRing({1: Envelope(spark)}), Envelope.new_data_key()
+    version, wrapped = rsa.wrap(fresh)
+    rows = with_pads(V.registry(spark, sf_dir, "customer"), {"__pads": KEYS[1]}).withColumn("sealed", F.lit(0).cast("long"))
+    rows = with_data_keys(rows, {0: fresh}, "sealed")
+    rows = rows.select("entity_id", "sealed", X.token_digests("name", X.ngram_tokens(F.col("name"), 3), F.col("__pads")).alias("digests"), encrypted(F.col("name"), F.col("__key")).alias("stored"))
+    rows = with_data_keys(stored(rows, "sealed"), {0: rsa.unwrap(version, wrapped)}, "sealed")
+    return rows.where(search.match_ngrams(F.col("digests"), "name", "0007", 3, [KEYS[1]], decrypted(F.col("stored"), F.col("__key")))).select("entity_id")
+
+
+PROTECTED = Catalog().define_type("person", (
+    Field("name", indexed=True, search="ngram", size=3), Field("mail", protection="hmac", indexed=True, search="exact"), Field("note", protection="rsa", search="ngram", size=3), Field("segment", protection="sha256", indexed=True, search="prefix", size=4)))
+
+
+def _people(spark, sf_dir) -> Dataset:
+    """Customers as protected entities, written once, and orders as the logs that touched them."""
+    rsa, fresh = RsaRing({1: Envelope(spark)}), Envelope.new_data_key()
+    version, wrapped = rsa.wrap(fresh)
+    rows = V.registry(spark, sf_dir, "customer").select(F.lit("person").alias("entity_type"), "entity_id", F.create_map(*[x for f, c in (("name", "name"), ("mail", "name"), ("note", "name"), ("segment", "segment")) for x in (F.lit(f), F.col(c))]).alias("plain"), F.lit(0).cast("long").alias("sealed"))
+    rows = with_data_keys(with_pads(rows, {"__pads": KEYS[2]}), {0: fresh}, "sealed")
+    fields = PROTECTED.protected(F.col("entity_type"), F.col("plain"), F.col("__pads"), F.col("__key"))
+    rows = rows.select(F.concat(F.lit("c"), F.col("entity_id").cast("string")).alias("uid"), "entity_id", F.lit(0).cast("long").alias("version"), F.lit(False).alias("deleted"), fields.alias("fields"), PROTECTED.tokens(F.col("entity_type"), F.col("plain"), F.col("__pads")).alias("tokens"), "sealed")
+    logs = V.order_logs(spark, sf_dir)
+    touched = logs.select(F.col("pos").alias("log"), F.concat(F.lit("c"), F.col("actor_id").cast("string")).alias("uid"), F.lit("person").alias("entity_type"))
+    return Dataset(logs, touched, {"person": stored(rows, "people")}, catalog=PROTECTED, keys=list(KEYS.values()), data_keys={0: rsa.unwrap(version, wrapped)})
+
+
+for _name, _field, _value, _mode, _sql in [
+    ("query_plain_contains", "name", "0005", "contains", "contains(c_name, '0005')"), ("query_hmac_exact", "mail", "Customer#000000007", "exact", "c_name = 'Customer#000000007'"),
+    ("query_hmac_ci", "mail", "CUSTOMER#000000007", "exact_ci", "c_name = 'Customer#000000007'"), ("query_rsa_contains", "note", "00011", "contains", "contains(c_name, '00011')"),
+    ("query_sha256_exact", "segment", "BUILDING", "exact", "c_mktsegment = 'BUILDING'"), ("query_sha256_prefix", "segment", "mach", "prefix", "starts_with(c_mktsegment, 'MACH')"),
+]:
 
-    key = bytes(range(32))
-    rows = V.registry(spark, sf_dir, "customer")
-    rows = rows.withColumn("digests", X.token_digests("name", X.ngram_tokens(F.col("name"), 3), KEYS[1])).withColumn("stored", encrypted(F.col("name"), key))
-    return rows.where(search.match_ngrams(F.col("digests"), "name", "0007", 3, [KEYS[1]])).where(F.lower(decrypted(F.col("stored"), key)).contains("0007")).select("entity_id")
+    def _run(spark, sf_dir, filter_=TargetFilter("person", _field, _value, _mode)):
+        return _people(spark, sf_dir).matching(LogQuery(targets=(filter_,))).select("pos", "actor_id")
+
+    _run.__doc__ = f"Logs of entities by a protected field: {_field}, {_mode}."
+    query(f"SELECT o_orderkey AS pos, o_custkey AS actor_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE {_sql}", _name)(_run)
 
 
 # -- integrity ------------------------------------------------------------------------------------------------------------
@@ -457,37 +495,47 @@ def _union(wanted) -> str:
     return " UNION ALL ".join(f"SELECT {i} AS step, lower(hex(hash)) AS hash FROM l{h} WHERE idx = {idx}" for i, (h, idx) in enumerate(wanted))
 
 
+def _tree(spark, sf_dir) -> integrity.Tree:
+    """The event log's tree with its full blocks written, as the store's commits leave it."""
+    size, leaves = V.table(spark, sf_dir, "events").count(), _leaves(spark, sf_dir)
+    none = spark.createDataFrame([], "height int, idx long, hash binary")
+    made = integrity.new_nodes(leaves, none, 0, size)
+    return integrity.Tree(leaves, none if made is None else stored(made, "nodes"), size)
+
+
+def _proof(spark, wanted, hashes, key):
+    """A proof's hashes, as many as the tree is high, as rows."""
+    rows = [(i if key == "step" else h, x.hex()) for i, ((h, _), x) in enumerate(zip(wanted, hashes, strict=True))]
+    return spark.createDataFrame(rows, f"{key} int, hash string")
+
+
 @query(f"{_levels()} {' UNION ALL '.join(f'SELECT {h} AS height, lower(hex(hash)) AS hash FROM l{h} WHERE idx = {(777 >> h) ^ 1}' for h in range(LEVELS))}")
 def inclusion_proof(spark, sf_dir):
-    """Siblings on the path of leaf 777."""
-    size = V.table(spark, sf_dir, "events").count()
-    wanted = integrity.inclusion_path(777, size)
-    heights = spark.createDataFrame(list(enumerate(h for h, _ in wanted)), "s long, height int")
-    found = integrity.nodes_at(_leaves(spark, sf_dir), wanted)
-    return found.join(F.broadcast(heights), found.step == heights.s).select("height", F.lower(F.hex("hash")).alias("hash"))
+    """Siblings on the path of leaf 777, from stored nodes and one block of leaves."""
+    tree = _tree(spark, sf_dir)
+    return _proof(spark, integrity.inclusion_path(777, tree.size), tree.inclusion(777), "height")
 
 
-_CONSISTENT = integrity.consistency_path(600, 1000)
+_UP = " UNION ALL ".join(f"SELECT {h} AS k, hash FROM l{h} WHERE idx = {(511 >> h) ^ 1}" for h in range(9, LEVELS))
 
 
-@query(f"{_levels(LEAVES + ' WHERE event_id < 1000')} {_union(_CONSISTENT)}")
+@query(f"{_levels()} SELECT (row_number() OVER (ORDER BY k) - 1)::INT AS step, lower(hex(hash)) AS hash FROM ({_UP})")
 def consistency_proof(spark, sf_dir):
-    """That the tree of 600 rows is a prefix of the one of the first 1000, as its SQL asks."""
-    found = integrity.nodes_at(_leaves(spark, sf_dir).where("idx < 1000"), _CONSISTENT)
-    return found.select(F.col("step").cast("int").alias("step"), F.lower(F.hex("hash")).alias("hash"))
+    """That the tree of the first 512 rows, which is one full node, is a prefix of the whole log's."""
+    tree = _tree(spark, sf_dir)
+    return _proof(spark, integrity.consistency_path(512, tree.size), tree.consistency(512), "step")
 
 
 #: The first node of a proof from 600 rows, (height, idx), and from its height up the siblings on the way to the root.
-_FIRST = _CONSISTENT[0]
+_FIRST = integrity.consistency_path(600, 1000)[0]
 _ABOVE = " UNION ALL ".join(f"SELECT {h + 1} AS k, hash FROM l{h} WHERE idx = {(599 >> h) ^ 1}" for h in range(_FIRST[0], LEVELS))
 
 
 @query(f"{_levels()} SELECT (row_number() OVER (ORDER BY k) - 1)::INT AS step, lower(hex(hash)) AS hash FROM (SELECT 0 AS k, hash FROM l{_FIRST[0]} WHERE idx = {_FIRST[1]} UNION ALL {_ABOVE})")
 def consistency_proof_all(spark, sf_dir):
     """That the tree of 600 rows is a prefix of the whole log's."""
-    size = V.table(spark, sf_dir, "events").count()
-    found = integrity.nodes_at(_leaves(spark, sf_dir), integrity.consistency_path(600, size))
-    return found.select(F.col("step").cast("int").alias("step"), F.lower(F.hex("hash")).alias("hash"))
+    tree = _tree(spark, sf_dir)
+    return _proof(spark, integrity.consistency_path(600, tree.size), tree.consistency(600), "step")
 
 
 @query("SELECT event_id AS idx FROM events WHERE event_id % 97 = 5")
@@ -549,8 +597,8 @@ _TENANT = RING.read_targets("17")
 
 @query(f"SELECT {LOGS}, shard FROM {SHARDED} WHERE shard IN ({', '.join(map(str, _TENANT))})")
 def shard_pruned_read(spark, sf_dir):
-    """A tenant's read prunes shards and returns all of their rows."""
-    return _sharded(spark, sf_dir).where(F.col("shard").isin(_TENANT))
+    """A tenant's read opens only its shards' folders and returns all of their rows."""
+    return stored(_sharded(spark, sf_dir), "shards", by=("shard",)).where(F.col("shard").isin(_TENANT))
 
 
 @query(f"SELECT shard, count(*)::BIGINT AS n FROM {SHARDED} GROUP BY 1")
@@ -591,17 +639,32 @@ def list_entities_sharded(spark, sf_dir):
 _BUCKETS = ", ".join(f"sum((value / 500 <= {b})::INT)::BIGINT AS le_{str(b).replace('.', '_')}" for b in lifecycle.LATENCY_BOUNDS)
 
 
-@query(f"SELECT event_type, {_BUCKETS}, count(value)::BIGINT AS le_inf FROM events GROUP BY 1")
+@query(f"SELECT event_type, {_BUCKETS}, count(value)::BIGINT AS le_inf, sum(round(value / 500 * 1000000)::BIGINT)::BIGINT AS sum_us FROM events GROUP BY 1")
 def latency_histogram(spark, sf_dir):
     """Cumulative histogram by kind of event."""
     return lifecycle.latency_histogram(F.col("value") / 500, V.table(spark, sf_dir, "events"), ["event_type"])
 
 
-@query(f"SELECT pos, ts_us, actor_id, method FROM {E_LOGS} WHERE ts_us >= {FROM} AND actor_id = 5 AND method = 'CLICK' ORDER BY pos LIMIT 10")
+@query(f"SELECT event_type, {_BUCKETS}, count(value)::BIGINT AS le_inf, sum(round(value / 500 * 1000000)::BIGINT)::BIGINT AS sum_us FROM events GROUP BY 1")
+def metrics_merged(spark, sf_dir):
+    """The histograms of four shards as one."""
+    e = V.table(spark, sf_dir, "events").withColumn("shard", RING.route(F.col("user_id")))
+    return lifecycle.merged_histograms(lifecycle.latency_histogram(F.col("value") / 500, e, ["shard", "event_type"]), ["event_type"])
+
+
+_ASKED = [("ann", LogQuery(method="click")), ("bob", LogQuery(url_prefix="/users/1")), ("ann", LogQuery(FROM, TO))]
+_ASKED_SQL = ["method = 'CLICK'", "starts_with(url, '/users/1')", f"ts_us BETWEEN {FROM} AND {TO}"]
+
+
+@query(" UNION ALL ".join(f"SELECT {i}::BIGINT AS nth, '{who}' AS actor, 'count' AS operation, '{q.summary()}' AS params, count(*)::BIGINT AS result_count FROM {E_LOGS} WHERE {w}" for i, ((who, q), w) in enumerate(zip(_ASKED, _ASKED_SQL, strict=True)) if who == "ann"))
 def access_query(spark, sf_dir):
-    """Access records by time, actor and operation, oldest first."""
-    rows = _logs(spark, sf_dir).where((F.col("ts_us") >= FROM) & (F.col("actor_id") == 5) & (F.col("method") == "CLICK"))
-    return rows.select("pos", "ts_us", "actor_id", "method").orderBy("pos").limit(10)
+    """What one reader asked, from the access records that three audited reads left, oldest first; no probe is in them."""
+    data = Dataset(V.event_logs(spark, sf_dir), V.relations(spark, sf_dir), {})
+    reader = AuditedReader(spark, data, shared_path(spark, "access"), Policy(default=frozenset({"query"})))
+    for who, q in _ASKED:
+        reader.count(who, "reader", q)
+    every = positions(reader.records(), "nth", "ts_us", "id")
+    return every.where("actor = 'ann'").select("nth", "actor", "operation", "params", "result_count")
 
 
 @query("SELECT min(event_id) AS event_id, user_id || '-' || event_type AS idem FROM events GROUP BY 2")
@@ -629,9 +692,42 @@ def dlq_redrive(spark, sf_dir):
     return good.select("event_id", F.lit(None).cast("string").alias("error")).unionByName(bad.select("event_id", "error"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, json_extract_string(props, '$.zz') IS NULL AS known FROM events")
+INGEST = Catalog().define_type("user", (Field("state", indexed=True),)).define_type("item", (Field("kind", indexed=True),)).define_column(CustomColumn("k", "number"), now=0)
+
+
+def ingested(spark, sf_dir, path: str) -> Store:
+    """A new store with all events: users act on items, and every fiftieth value lacks a key."""
+    e = V.table(spark, sf_dir, "events").orderBy("event_id")
+    entity = lambda kind, i, field, value: F.struct(F.lit(kind).alias("entity_type"), i.cast("string").alias("entity_id"), F.create_map(F.lit(field), value).alias("fields"))
+    events = e.select(
+        F.when(F.col("event_id") % 50 != 0, F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("event_id"), X.micros(F.col("ts")).alias("occurred_at"),
+        entity("user", F.col("user_id"), "state", F.col("event_type")).alias("actor"), F.upper("event_type").alias("method"), F.concat(F.lit("/events/"), F.col("event_id").cast("string")).alias("url"), F.col("props").alias("content"),
+        F.array(entity("item", F.col("event_id") % 97, "kind", F.when(F.col("value") < 50, "low").otherwise("high"))).alias("targets"), F.create_map(F.lit("k"), F.get_json_object("props", "$.k")).alias("custom"),
+    )
+    store = Store(spark, path, INGEST)
+    store.apply(events, 0)
+    return store
+
+
+_ITEMS = "(SELECT event_id, CASE WHEN value < 50 THEN 'low' ELSE 'high' END AS kind, lag(CASE WHEN value < 50 THEN 'low' ELSE 'high' END) OVER (PARTITION BY event_id % 97 ORDER BY event_id) AS before FROM events)"
+
+
+@query(f"""SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, url, k, actor_version, item_version FROM
+ (SELECT event_id, '/events/' || event_id::VARCHAR AS url, sum((event_type IS DISTINCT FROM before)::INT) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS actor_version FROM {_STEPS})
+ JOIN (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events) USING (event_id)
+ JOIN (SELECT event_id, sum((kind IS DISTINCT FROM before)::INT) OVER (PARTITION BY event_id % 97 ORDER BY event_id) - 1 AS item_version FROM {_ITEMS}) USING (event_id)""")
 def ingest_events(spark, sf_dir):
-    """Tagged JSON read with a declared schema; keys that it does not know are found, not dropped."""
+    """All events through the store's write path; read back, each log with the versions that it pins."""
+    now = ingested(spark, sf_dir, shared_path(spark, "store")).snapshot()
+    versions = now.versions.select("uid", "version")
+    actors, items = versions.toDF("actor_uid", "actor_version"), versions.toDF("uid", "item_version")
+    pins = now.relations.join(items, "uid").select(F.col("log").alias("pos"), "item_version")
+    return now.logs.join(actors, "actor_uid").join(pins, "pos").select("pos", "url", F.col("custom")["k"].alias("k"), "actor_version", "item_version")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, json_extract_string(props, '$.zz') IS NULL AS known FROM events")
+def tagged_json(spark, sf_dir):
+    """JSON read with a declared schema; keys that it does not know are found, not dropped."""
     e = V.table(spark, sf_dir, "events")
     parsed = F.from_json("props", "k long")
     known = F.size(F.array_except(F.json_object_keys("props"), F.array(F.lit("k")))) == 0
@@ -665,10 +761,17 @@ def syslog_line(spark, sf_dir):
     return _logs(spark, sf_dir).select("pos", lifecycle.syslog_line("app", "host", X.rfc3339(F.col("ts_us")), summary).alias("line"))
 
 
-@query(f"SELECT pos, '{{\"pos\":' || pos::VARCHAR || ',\"ts_us\":' || ts_us::VARCHAR || ',\"method\":\"' || method || '\",\"url\":\"' || url || '\"}}' AS line FROM {E_LOGS}")
+_TARGETS = "(SELECT l_orderkey AS log, '[' || string_agg('{\"entity_type\":\"part\",\"uid\":\"p' || k || '\",\"entity_id\":' || k || ',\"version\":0,\"fields\":\"{\\\"name\\\":\\\"' || p_name || '\\\"}\",\"missing\":false}', ',' ORDER BY 'p' || k) || ']' AS t FROM (SELECT DISTINCT l_orderkey, l_partkey::VARCHAR AS k, p_name FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY 1)"
+
+
+@query(f"""SELECT pos, '{{"pos":' || pos::VARCHAR || ',"ts_us":' || ts_us::VARCHAR || ',"method":"' || method || '","url":"' || url || '","actor_uid":"c' || actor_id::VARCHAR || '","targets":' || coalesce(t, '[]') || '}}' AS line
+ FROM ({V.ORDER_LOGS}) LEFT JOIN {_TARGETS} ON log = pos WHERE method = 'PUT'""")
 def export_ndjson(spark, sf_dir):
-    """One JSON line per log."""
-    return _logs(spark, sf_dir).select("pos", F.to_json(F.struct("pos", "ts_us", "method", "url")).alias("line"))
+    """One JSON line per log that matches, whole, with its targets as recorded."""
+    logs = V.order_logs(spark, sf_dir).select("pos", "ts_us", "method", "url", F.concat(F.lit("c"), F.col("actor_id").cast("string")).alias("actor_uid"))
+    rel = V.relations(spark, sf_dir).where("entity_type = 'part'").select("log", F.concat(F.lit("p"), F.col("entity_id").cast("string")).alias("uid"), "entity_type")
+    parts = V.registry(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("entity_id").cast("string")).alias("uid"), "entity_id", F.lit(0).cast("long").alias("version"), F.lit(False).alias("deleted"), F.create_map(F.lit("name"), F.col("name")).alias("fields"))
+    return Dataset(logs, rel, {"part": parts}).exported(LogQuery(method="put"))
 
 
 @query(f"SELECT pos, {_STAMP} AS at FROM {E_LOGS}")
@@ -684,12 +787,12 @@ def uid_timestamp(spark, sf_dir):
     return made.withColumn("ms", X.uid_millis(F.col("uid")))
 
 
-@query("SELECT p_partkey AS entity_id, CASE WHEN p_size % 1 = 0 THEN p_size::BIGINT::VARCHAR END AS number, '{\"a\":' || p_size::VARCHAR || ',\"b\":\"' || p_brand || '\"}' AS json FROM part")
+@query("SELECT p_partkey AS entity_id, CASE WHEN p_size % 8 = 0 THEN (p_size // 8)::BIGINT::VARCHAR ELSE (p_size / 8.0)::DOUBLE::VARCHAR END AS number, '{\"a\":' || p_size::VARCHAR || ',\"b\":\"' || p_brand || '\"}' AS json FROM part")
 def canonical_text(spark, sf_dir):
     """Canonical numbers and JSON, the base of all digests."""
     parts = V.registry(spark, sf_dir, "part")
     raw = F.concat(F.lit('{ "b" : "'), "brand", F.lit('", "a":'), F.col("size").cast("string"), F.lit("}"))
-    return parts.select("entity_id", X.canonical_number(F.col("size").cast("double")).alias("number"), X.canonical_json(raw).alias("json"))
+    return parts.select("entity_id", X.canonical_number(F.col("size") / F.lit(8.0)).alias("number"), X.canonical_json(raw).alias("json"))
 
 
 @query(f"""SELECT p.pos, p.ts_us, p.url, c.c_name AS actor, string_agg(DISTINCT pt.p_name, '|' ORDER BY pt.p_name) AS parts FROM (SELECT * FROM ({V.ORDER_LOGS}) WHERE pos IN
@@ -699,7 +802,7 @@ def flagship(spark, sf_dir):
     """The newest 50 orders that touched a red part and one supplier, with customer and parts as recorded."""
     logs = V.order_logs(spark, sf_dir)
     logs = logs.join(_touched(spark, sf_dir, "part", "name", "red", "prefix"), "pos", "left_semi").join(_touched(spark, sf_dir, "supplier", "name", SUPPLIER), "pos", "left_semi")
-    page = logs.orderBy(F.desc("pos")).limit(50)
+    page = stored(logs.orderBy(F.desc("pos")).limit(50), "page")
     actor = V.registry(spark, sf_dir, "customer").select(F.col("entity_id").alias("actor_id"), F.col("name").alias("actor"))
     touched = V.relations(spark, sf_dir).where("entity_type = 'part'").join(F.broadcast(page.select(F.col("pos").alias("log"))), "log", "left_semi")
     names = touched.join(V.registry(spark, sf_dir, "part").select("entity_id", "name"), "entity_id").groupBy("log").agg(F.array_join(F.array_sort(F.collect_set("name")), "|").alias("parts"))

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.scalars import fingerprint, micros
+from auditlake.operators.versions import RANGE, versioned
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def at(us: int) -> Column:
+    """A time as the tables store it, so that a comparison with it reaches the scan."""
+    return F.timestamp_add("MICROSECOND", F.lit(us), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log per event: the position is the event's id, the actor its user, the custom column k from its properties."""
     return table(spark, sf_dir, "events").select(
@@ -30,18 +36,18 @@ EVENT_LOGS = """SELECT event_id AS pos, epoch_us(ts) AS ts_us, upper(event_type)
  user_id AS actor_id, json_extract_string(props, '$.k') AS k, value, ts FROM events"""
 
 
-def versions_of(changes: DataFrame, entity: str, order: str, fields: list[str]) -> DataFrame:
-    """Versions of entities from a change log: a row that repeats the latest field set is no version; numbered from 0."""
-    by = Window.partitionBy(entity).orderBy(order)
-    marked = changes.withColumn("fingerprint", fingerprint({f: F.col(f) for f in fields}))
-    marked = marked.withColumn("changed", ~F.col("fingerprint").eqNullSafe(F.lag("fingerprint").over(by)))
-    return marked.where("changed").withColumn("version", (F.row_number().over(by) - 1).cast("long")).drop("changed")
+def user_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as entities whose state is their last event's type: one touch per event, with the version it pins."""
+    touched = table(spark, sf_dir, "events").select(
+        F.lit("user").alias("entity_type"), F.col("user_id").alias("entity_id"), F.col("event_id").alias("pos"), F.lit(0).alias("ord"), F.col("event_type").alias("state"),
+        fingerprint({"state": F.col("event_type")}).alias("fingerprint"), F.shiftright("event_id", RANGE).alias("__part"),
+    )
+    return versioned(touched, spark.createDataFrame([], "entity_type string, entity_id long, old string, top long"))
 
 
 def user_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users as entities whose state is their last event's type."""
-    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("entity_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("state"))
-    return versions_of(events, "entity_id", "pos", ["state"])
+    """Their versions: a touch that repeats the latest fields makes none."""
+    return user_touches(spark, sf_dir).where("new")
 
 
 USER_VERSIONS = """SELECT entity_id, pos, state, sha256('state' || chr(0) || state || chr(0)) AS fingerprint, row_number() OVER (PARTITION BY entity_id ORDER BY pos) - 1 AS version
@@ -63,12 +69,13 @@ ORDER_LOGS = """SELECT o_orderkey AS pos, epoch_us(o_orderdate) AS ts_us, CASE o
  '/orders/' || o_orderkey::VARCHAR AS url, o_custkey AS actor_id FROM orders"""
 
 
-def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which parts and suppliers an order touched; line items repeat, so pairs are made distinct."""
+def relations(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
+    """Which parts and suppliers an order touched; line items repeat, so pairs are made distinct where their number counts."""
     lines = table(spark, sf_dir, "lineitem")
     part = lines.select(F.col("l_orderkey").alias("log"), F.lit("part").alias("entity_type"), F.col("l_partkey").alias("entity_id"))
     supplier = lines.select(F.col("l_orderkey").alias("log"), F.lit("supplier").alias("entity_type"), F.col("l_suppkey").alias("entity_id"))
-    return part.unionByName(supplier).distinct()
+    both = part.unionByName(supplier)
+    return both.distinct() if distinct else both
 
 
 RELATIONS = "SELECT DISTINCT l_orderkey AS log, 'part' AS entity_type, l_partkey AS entity_id FROM lineitem UNION SELECT l_orderkey, 'supplier', l_suppkey FROM lineitem"

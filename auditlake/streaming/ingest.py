@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.keys import Envelope, KeyRing, RsaRing, with_data_keys, with_pads
-from auditlake.functions.scalars import hmac_hex, leaf_hash, map_fingerprint, sha256_hex
+from auditlake.functions.scalars import hmac_hex, leaf_hash, map_fingerprint
 from auditlake.operators.integrity import HEIGHT, Tree, new_nodes
 from auditlake.operators.lifecycle import KEY_PATTERN, split_valid
+from auditlake.operators.versions import version_uid, versioned
 from auditlake.plans.catalog import Catalog
 from auditlake.plans.query import Dataset
 
@@ -63,33 +64,6 @@ def numbered(rows: DataFrame, part: str, order: list[str], name: str, base: int)
     return rows.withColumn("__nth", nth).join(F.broadcast(before), F.col(part) == F.col("__p")).withColumn(name, F.col("__before") + F.col("__nth") + F.lit(base)).drop("__p", "__before", "__nth")
 
 
-def versioned(touched: DataFrame, last: DataFrame) -> DataFrame:
-    """Touches of entities with `new`, whether the fields changed, and the `version` and `uid` they pin.
-
-    Changes are found inside each range of arrivals first; then one row per entity and range carries fields and version numbers
-    from range to range. So an entity that a third of all events touch is no single group.
-    """
-    entity = ["entity_type", "entity_id"]
-    by = Window.partitionBy(*entity, "__part").orderBy("pos", "ord")
-    rows = touched.withColumn("__first", F.row_number().over(by) == 1)
-    rows = rows.withColumn("__changed", ~F.col("__first") & ~F.col("fingerprint").eqNullSafe(F.lag("fingerprint").over(by)))
-    rows = rows.withColumn("__inside", F.sum(F.col("__changed").cast("long")).over(by))
-    at = F.struct("pos", "ord")
-    ranges = rows.groupBy(*entity, "__part").agg(F.min_by("fingerprint", at).alias("__from"), F.max_by("fingerprint", at).alias("__to"), F.sum(F.col("__changed").cast("long")).alias("__n"))
-    ranges = ranges.join(last, entity, "left")
-    order = Window.partitionBy(*entity).orderBy("__part")
-    ranges = ranges.withColumn("__new", ~F.col("__from").eqNullSafe(F.coalesce(F.lag("__to").over(order), "old")))
-    before = F.coalesce(F.sum(F.col("__new").cast("long") + F.col("__n")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = ranges.withColumn("__base", F.coalesce("top", F.lit(-1)) + before + F.col("__new").cast("long")).select(*entity, "__part", "__new", "__base")
-    rows = rows.join(ranges, [*entity, "__part"])
-    rows = rows.withColumn("new", F.when(F.col("__first"), F.col("__new")).otherwise(F.col("__changed"))).withColumn("version", F.col("__base") + F.col("__inside"))
-    return rows.withColumn("uid", version_uid()).drop("__first", "__changed", "__inside", "__new", "__base")
-
-
-def version_uid() -> Column:
-    return F.substring(sha256_hex(F.concat_ws("/", "entity_type", "entity_id", F.col("version").cast("string"))), 1, 32)
-
-
 @dataclass(frozen=True)
 class Snapshot:
     """The tables as of one commit; later commits do not show."""
