@@ -59,10 +59,15 @@ def deduplicated(events: DataFrame, key: str, order: str, valid: str = KEY_PATTE
     return named.where(F.col(key).isNull() | (F.col(order) == F.col("__first"))).select(*events.columns)
 
 
-def split_valid(events: DataFrame, rules: dict[str, Column | str], errors: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Events that meet all rules, and the others with the first rule they break as `error`; `errors` name broken rules themselves."""
+def judged(events: DataFrame, rules: dict[str, Column | str], errors: list[Column] | None = None) -> DataFrame:
+    """Events with the first rule they break as `error`, null if none; `errors` name broken rules themselves."""
     broken = [F.when(~F.coalesce(F.expr(ok) if isinstance(ok, str) else ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]
-    marked = events.withColumn("error", F.coalesce(*broken, *(errors or [])))
+    return events.withColumn("error", F.coalesce(*broken, *(errors or [])))
+
+
+def split_valid(events: DataFrame, rules: dict[str, Column | str]) -> tuple[DataFrame, DataFrame]:
+    """Events that meet all rules, and the others with the first rule they break as `error`."""
+    marked = judged(events, rules)
     return marked.where("error is null").drop("error"), marked.where("error is not null")
 
 

@@ -112,7 +112,7 @@ def purge(store: Store, cutoff: int | None = None, budget: int | None = None, at
     if not gone:
         return []
     before, numbers = store.last["gone"], [r.batch for r in gone]
-    store.commit(store.last | {"n": store.last["n"] + 1, "gone": numbers, "purged": store.last["purged"] + sum(r.rows or 0 for r in gone)})
+    store.commit(store.last | {"n": store.last["n"] + 1, "span": (None, None, 0), "gone": numbers, "purged": store.last["purged"] + sum(r.rows or 0 for r in gone)})
     for batch in [*before, *numbers]:  # those of the last purge again, should it have been cut short
         for name in ("logs", "relations"):
             _drop(store, f"{name}/batch={batch}")
@@ -160,7 +160,7 @@ def rekey(store: Store, ring: KeyRing, rsa: RsaRing, at: int) -> dict:
     made = signed({"created_at": at, "size": tree.size, "root": tree.root().hex(), "gen": gen}, rsa)
     _keep(store, "rekey", made)
     store.ring, store.rsa = ring, rsa
-    store.commit(store.last | {"n": n, "gen": gen})
+    store.commit(store.last | {"n": n, "gen": gen, "span": (None, None, 0)})
     return made
 
 

@@ -12,7 +12,7 @@ import base64
 import json
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from auditlake.functions.keys import Envelope, KeyRing, RsaRing, with_data_keys, with_pads
 from auditlake.functions.scalars import hmac_hex, leaf_hash, map_fingerprint
 from auditlake.operators.integrity import HEIGHT, Tree, new_nodes
-from auditlake.operators.lifecycle import KEY_PATTERN, split_valid
+from auditlake.operators.lifecycle import KEY_PATTERN, judged
 from auditlake.operators.versions import version_uid, versioned
 from auditlake.plans.catalog import Catalog
-from auditlake.plans.query import Dataset
+from auditlake.plans.query import Dataset, LogQuery, decode_cursor
 
 ENTITY = "struct<entity_type:string,entity_id:string,fields:map<string,string>>"
 EVENT = f"event_id string, occurred_at long, actor {ENTITY}, method string, url string, content string, targets array<{ENTITY}>, custom map<string,string>"
@@ -36,8 +36,10 @@ DEAD = f"{EVENT}, error string, failed_at long, batch long"
 SPINE = "idx long, hash binary, batch long"
 NODE = "height int, idx long, hash binary, batch long"
 KEY = "n long, key_version int, wrapped string"
-#: What is never partitioned away: one record per commit, as JSON.
-COMMIT = "n long, record string"
+#: One row per commit: the range of its logs' times, for pruning, and its record as JSON.
+COMMIT = "n long, min_ts long, max_ts long, added long, record string"
+#: Rows of a range of arrivals, as a power of two.
+PART = 13
 #: Commits between two tables of heads.
 HEADS_EVERY = 20
 #: Idempotency keys that are remembered at least (fixed value).
@@ -101,6 +103,30 @@ class Snapshot:
         kinds = {k: self.registry(k) for k in self.store.catalog.types}
         return Dataset(self.logs, self.relations, kinds, catalog=self.store.catalog, keys=self.store.ring.held() if search_keys else [], data_keys=self.store.data_keys() if search_keys else {})
 
+    def page(self, q: LogQuery) -> tuple[DataFrame, str | None, int]:
+        """A page, its cursor, and how many commits were opened for it.
+
+        Commits whose times lie outside the query's, or behind its cursor, stay shut. The nearest are opened first, twice as many each time,
+        until the page is full: a page of the newest logs opens the last commits alone.
+        """
+        spans = self.store.commits().where((F.col("n") <= self.record["n"]) & (F.col("added") > 0)).select("n", "min_ts", "max_ts", "added").orderBy("n").collect()  # a short row per commit
+        first, lots = 0, []
+        for r in spans:
+            lots.append((r, first, first + r.added))
+            first += r.added
+        (at,) = decode_cursor(q.cursor, q.order) if q.cursor else (None,)
+        behind = lambda low, high: at is None or (low < at if q.order == "desc" else high - 1 > at)
+        fit = [r.n for r, low, high in lots if r.n not in self.record["gone"] and behind(low, high) and (q.from_micros is None or r.max_ts >= q.from_micros) and (q.to_micros is None or r.min_ts <= q.to_micros)]
+        fit = fit[::-1] if q.order == "desc" else fit
+        whole, most = self.dataset(), 1 if q.limit is not None else len(fit)
+        while True:
+            some = fit[:most]
+            rows, cursor = replace(whole, logs=whole.logs.where(F.col("batch").isin(some) if some else F.lit(False))).page(q)
+            if cursor or most >= len(fit) or not q.limit:
+                break
+            most *= 4
+        return rows, cursor, len(some)
+
     def tree(self, name: str = "logs") -> Tree:
         """Roots and proofs of the tree of logs or versions."""
         return Tree(self.table(f"spine_{name}"), self.table(f"nodes_{name}"), self.record[f"{name}_size"])
@@ -136,7 +162,7 @@ class Store:
 
     def _newest(self) -> dict:
         row = self.read("commits", COMMIT).orderBy(F.desc("n")).first()
-        return json.loads(row.record) if row else {"n": -1, "gen": 0, "logs_size": 0, "versions_size": 0, "sources": {}, "heads": -1, "dead_from": 0, "purged": 0, "gone": [], "recent": {}}
+        return json.loads(row.record) if row else {"n": -1, "gen": 0, "logs_size": 0, "versions_size": 0, "sources": {}, "heads": -1, "dead_from": 0, "purged": 0, "gone": [], "recent": {}, "span": (None, None, 0)}
 
     def commits(self) -> DataFrame:
         """All commit records, as JSON."""
@@ -170,7 +196,7 @@ class Store:
 
     def commit(self, record: dict) -> None:
         """The record makes everything written under its number visible."""
-        row = self.spark.createDataFrame([(record["n"], json.dumps(record, sort_keys=True))], COMMIT).coalesce(1)
+        row = self.spark.createDataFrame([(record["n"], *record["span"], json.dumps(record, sort_keys=True))], COMMIT).coalesce(1)
         row.write.mode("overwrite").parquet(f"{self.path}/commits/c={record['n']}")
         self.last = record
 
@@ -264,8 +290,7 @@ class Store:
     def _apply(self, events: DataFrame, batch: int, source: str) -> dict:
         n, started = self.last["n"] + 1, time.time_ns() // 1000
         # what arrived, once, with its place and the first rule it breaks; all else is read from here
-        good, bad = split_valid(events.withColumn("__place", F.monotonically_increasing_id()), self.rules, list(self.broken.values()))
-        staged = good.withColumn("error", F.lit(None).cast("string")).unionByName(bad)
+        staged = judged(events.withColumn("__place", F.monotonically_increasing_id()), self.rules, list(self.broken.values()))
         staged.write.mode("overwrite").parquet(f"{self.path}/staging/{source}")
         staged = self.spark.read.schema(staged.schema).parquet(f"{self.path}/staging/{source}")
         self.write(staged.where("error is not null").drop("__place").withColumn("failed_at", F.lit(started)), "dead", n)
@@ -274,7 +299,7 @@ class Store:
         later = good.where("event_id is not null").groupBy("event_id").agg(F.min("__place").alias("__first"), F.count("*").alias("c")).where("c > 1").drop("c")
         good = good.join(later.withColumnRenamed("event_id", "__e"), F.col("event_id") == F.col("__e"), "left").where("__first is null or __place = __first").drop("__e", "__first")
         good = good.join(self._seen(), "event_id", "left_anti")
-        rows = numbered(good.withColumn("__part", F.shiftright("__place", 33)), "__part", ["__place"], "pos", self.last["logs_size"]).persist()
+        rows = numbered(good.withColumn("__part", F.shiftright("__place", PART)), "__part", ["__place"], "pos", self.last["logs_size"]).persist()
         seen = None
         try:
             actor = F.array(F.struct("actor.entity_type", "actor.entity_id", "actor.fields"))
@@ -292,21 +317,21 @@ class Store:
             out = out.withColumn("__leaf", log_leaf(F.col("__targets"))).persist()
             self.write(out.drop("__targets", "__leaf"), "logs", n)
             self.write(out.select(F.col("pos").alias("idx"), F.col("__leaf").alias("hash")), "spine_logs", n)
-            added = out.count()
+            span = tuple(out.agg(F.min("ts_us"), F.max("ts_us"), F.count("*")).first())
             out.unpersist()
         finally:
             rows.unpersist()
             if seen is not None:
                 seen.unpersist()
         more = {"sources": self.last["sources"] | {source: batch}} | ({"dead_from": n} if source == "redrive" else {})
-        return self.finish(n, self.last["logs_size"] + added, versions, more)
+        return self.finish(n, self.last["logs_size"] + span[2], versions, more | {"span": span})
 
     def finish(self, n: int, logs: int, versions: int, more: dict[str, Any] | None = None) -> dict:
         """Nodes, from time to time heads, and the commit's record."""
         for name, size in (("logs", logs), ("versions", versions)):
             self._grow(name, n, size)
         recent = {name: self._recent(name, n, size - self.last[f"{name}_size"]) for name, size in (("logs", logs), ("versions", versions))}
-        record = self.last | (more or {}) | {"n": n, "recent": recent, "logs_size": logs, "versions_size": versions, "committed_at": time.time_ns() // 1000}
+        record = self.last | {"span": (None, None, 0)} | (more or {}) | {"n": n, "recent": recent, "logs_size": logs, "versions_size": versions, "committed_at": time.time_ns() // 1000}
         self.commit(record)
         if n - record["heads"] > HEADS_EVERY:
             self.heads().write.mode("overwrite").parquet(f"{self.path}/heads/upto={n}")

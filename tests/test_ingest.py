@@ -235,3 +235,21 @@ def test_sinks_see_commits_and_break_nothing(spark, tmp_path):
     store.sink = lambda logs: 1 / 0
     store.apply(frame(spark, [event(3)]), 1)
     assert seen == [2] and store.snapshot().logs.count() == 3 and "division" in store.sink_error
+
+
+def test_pages_open_the_commits_they_need(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "t"), CATALOG)
+    for lot in range(6):
+        store.apply(frame(spark, [event(100 * lot + i) for i in range(20)]), lot)
+    now, seen, cursor = store.snapshot(), [], None
+    while True:
+        rows, cursor, opened = now.page(LogQuery(limit=7, cursor=cursor))
+        seen += [r.pos for r in rows.collect()]
+        assert opened <= 5
+        if cursor is None:
+            break
+    assert seen == list(range(120))[::-1]
+    rows, _, opened = now.page(LogQuery(from_micros=1305, to_micros=1309, limit=100))
+    assert sorted(r.ts_us for r in rows.collect()) == [1305, 1306, 1307, 1308, 1309] and opened == 1
+    assert now.page(LogQuery(limit=10))[2] == 1 and now.page(LogQuery(method="none", limit=5))[2] == 6
+    assert [r.pos for r in now.page(LogQuery(limit=3, order="asc"))[0].collect()] == [0, 1, 2]
