@@ -177,7 +177,7 @@ vocabulary = lru_cache(1)(Vocabulary)
 
 def chunk_table(path: str) -> WordTable:
     """What `encode` keeps from block to block."""
-    return WordTable(lambda: _Measure(vocabulary(path)))
+    return WordTable(lambda: _Measure(vocabulary(path)), 4 << 20)
 
 
 def encode(texts: list[bytes], table: WordTable) -> tuple[np.ndarray, np.ndarray, list[bytes]]:

@@ -201,7 +201,7 @@ def quality_rules(docs: DataFrame, path: str | None = None, text: str = "text",
         path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(lambda: _Measure(path))
+        table = WordTable(lambda: _Measure(path), 2 << 20)
         for part in blocks(batches, "__text"):
             made = measure_texts(encoded(part, "__text"), table, bands)
             kept = [part.column(c) for c in keep]
