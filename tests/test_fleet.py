@@ -1,3 +1,6 @@
+import json
+import time
+
 import pytest
 from pyspark.sql import functions as F
 from test_ingest import CATALOG, event, frame
@@ -7,7 +10,7 @@ from auditlake.operators.sharding import Ring
 from auditlake.plans.query import InvalidCursor, LogQuery, TargetFilter
 from auditlake.streaming.fleet import Fleet
 from auditlake.streaming.health import Housekeeping, Metrics, health
-from auditlake.streaming.ingest import Store
+from auditlake.streaming.ingest import EVENT, Store
 
 
 @pytest.fixture(scope="module")
