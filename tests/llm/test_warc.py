@@ -73,6 +73,24 @@ def test_reads_members_and_marks_broken_files(spark, tmp_path):
     assert all(r.complete for r in by["a"]) and not any(r.complete for r in by["b"])
 
 
+def test_ranges_of_one_file(spark, tmp_path):
+    """A file that many tasks read range by range, with magics inside payloads across ranges."""
+    path = str(tmp_path / "w")
+    many = [(i, "u", f"{FAKE * (i % 3)}{i} " * (1 + i % 40), "c") for i in range(150)]
+    warc.write_warc(spark.createDataFrame(many, SCHEMA).coalesce(1), path, compression="none")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert warc.pieces(spark, path).rdd.getNumPartitions() > 20
+        rows = warc.read_warc(spark, path).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(rows) == 150 and all(r.complete and r.intact for r in rows)
+    assert sorted((r.payload_bytes, r.payload_digest) for r in rows) == sorted((len(h), digest(h)) for _, _, h, _ in many)
+
+
 def test_pointer_jumping_equals_walking():
     r = np.random.default_rng(1)
     for _ in range(200):
