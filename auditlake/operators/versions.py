@@ -16,18 +16,22 @@ def version_uid() -> Column:
     return F.substring(sha256_hex(F.concat_ws("/", "entity_type", "entity_id", F.col("version").cast("string"))), 1, 32)
 
 
-def versioned(touched: DataFrame, last: DataFrame) -> DataFrame:
+def versioned(touched: DataFrame, last: DataFrame, kept: list[DataFrame] | None = None) -> DataFrame:
     """Touches of entities with `new`, whether the fields changed, and the `version` and `uid` they pin.
 
     `touched` has entity_type, entity_id, pos, ord, fingerprint and __part, the range of its position; `last` has the entities' `old`
     fingerprints and `top` versions. Changes are found inside each range first; then one row per entity and range carries fields and
-    version numbers from range to range. So an entity that a third of all events touch is no single group.
+    version numbers from range to range. So an entity that a third of all events touch is no single group. With `kept`, what both steps
+    read is cached and put there, for the caller to release.
     """
     entity = ["entity_type", "entity_id"]
     by = Window.partitionBy(*entity, "__part").orderBy("pos", "ord")
     rows = touched.withColumn("__first", F.row_number().over(by) == 1)
     rows = rows.withColumn("__changed", ~F.col("__first") & ~F.col("fingerprint").eqNullSafe(F.lag("fingerprint").over(by)))
     rows = rows.withColumn("__inside", F.sum(F.col("__changed").cast("long")).over(by))
+    if kept is not None:
+        rows = rows.persist()
+        kept.append(rows)
     at = F.struct("pos", "ord")
     ranges = rows.groupBy(*entity, "__part").agg(F.min_by("fingerprint", at).alias("__from"), F.max_by("fingerprint", at).alias("__to"), F.sum(F.col("__changed").cast("long")).alias("__n"))
     ranges = ranges.join(last, entity, "left")

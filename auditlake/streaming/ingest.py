@@ -300,13 +300,13 @@ class Store:
         good = good.join(later.withColumnRenamed("event_id", "__e"), F.col("event_id") == F.col("__e"), "left").where("__first is null or __place = __first").drop("__e", "__first")
         good = good.join(self._seen(), "event_id", "left_anti")
         rows = numbered(good.withColumn("__part", F.shiftright("__place", PART)), "__part", ["__place"], "pos", self.last["logs_size"]).persist()
-        seen = None
+        kept = [rows]
         try:
             actor = F.array(F.struct("actor.entity_type", "actor.entity_id", "actor.fields"))
             touched = rows.select("pos", "occurred_at", "__part", F.posexplode(F.concat(actor, F.coalesce("targets", F.array().cast(f"array<{ENTITY}>")))).alias("ord", "e"))
             touched = touched.select("pos", "occurred_at", "__part", "ord", "e.entity_type", "e.entity_id", self.catalog.canonical(F.col("e.entity_type"), F.coalesce("e.fields", F.create_map().cast("map<string,string>"))).alias("fields"))
             last = self.heads().select("entity_type", "entity_id", F.when(~F.col("deleted"), F.col("fingerprint")).alias("old"), F.col("version").alias("top"))
-            seen = versioned(self._fingerprint(touched), last).persist()
+            seen = versioned(self._fingerprint(touched), last, kept)
             fresh = seen.where("new").withColumn("deleted", F.lit(False)).withColumnRenamed("occurred_at", "recorded_at")
             # registries first, then relations, then the logs that refer to both
             versions = self._append(n, fresh)
@@ -315,14 +315,13 @@ class Store:
             uids = pins.groupBy("log").agg(F.array_sort(F.collect_list(F.struct("ord", "uid")))["uid"].alias("u"))
             out = rows.join(uids, F.col("pos") == F.col("log")).select("pos", F.col("occurred_at").alias("ts_us"), "event_id", F.col("u")[0].alias("actor_uid"), F.col("actor.entity_type").alias("actor_type"), "method", "url", "content", "custom", F.slice("u", 2, F.size("u")).alias("__targets"))
             out = out.withColumn("__leaf", log_leaf(F.col("__targets"))).persist()
+            kept.append(out)
             self.write(out.drop("__targets", "__leaf"), "logs", n)
             self.write(out.select(F.col("pos").alias("idx"), F.col("__leaf").alias("hash")), "spine_logs", n)
             span = tuple(out.agg(F.min("ts_us"), F.max("ts_us"), F.count("*")).first())
-            out.unpersist()
         finally:
-            rows.unpersist()
-            if seen is not None:
-                seen.unpersist()
+            for frame in kept:
+                frame.unpersist()
         more = {"sources": self.last["sources"] | {source: batch}} | ({"dead_from": n} if source == "redrive" else {})
         return self.finish(n, self.last["logs_size"] + span[2], versions, more | {"span": span})
 
