@@ -10,7 +10,7 @@ target by less than the size of one document, and its copies are fair.
 Randomness comes from hashes of source, level and bucket, so reruns agree. Null and empty texts have size 0; documents and sources
 of size 0 take nothing. Null sources form one source, ordered last. Repeated rows, repeated ids and null ids count one by one; ties in
 size go by id, then text. Long texts are counted whole. An empty table gives no rows. `mix` reads doc_id, source and the text alone, so other columns may have any name;
-`mixed` keeps them all, but for names that begin with two underscores.
+`mixed` keeps them all.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.text import blocks, encoded, settled, spread_join, stored
+from auditlake.llm.text import blocks, encoded, settled, spread_join, stored, unused
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
@@ -167,7 +167,7 @@ def mixed(docs: DataFrame, text: str = "text", weights: tuple[float, ...] = WEIG
     Copies join back by the rows' places, so ids may repeat or be missing.
     """
     docs = settled(docs)
-    names = docs.columns
-    taken = stored(mix(docs, text, weights, seed).where("copies > 0").select(F.col("place").alias("__place"), F.col("copies").cast("int").alias("__copies")), "taken")
-    joined = docs.withColumn("__place", F.monotonically_increasing_id()).join(taken, "__place")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
+    place, copies, copy = (unused(docs, name) for name in ("__place", "__copies", "__copy"))
+    taken = stored(mix(docs, text, weights, seed).where("copies > 0").select(F.col("place").alias(place), F.col("copies").cast("int").alias(copies)), "taken")
+    joined = docs.withColumn(place, F.monotonically_increasing_id()).join(taken, place)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(place, copies, copy)

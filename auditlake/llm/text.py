@@ -126,6 +126,13 @@ def settled(df: DataFrame) -> DataFrame:
     return stored(df, "settled") if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    while name.lower() in map(str.lower, df.columns):
+        name = f"_{name}"
+    return name
+
+
 def spread_join(rows: DataFrame, table: DataFrame, on: list[str], size: str, most: int = 50_000) -> DataFrame:
     """Left join with a table of one row per key, whose column `size` says how many of the rows have it.
 

@@ -1,7 +1,7 @@
 """From raw documents to token ids: rules, near duplicates, personal data, mixing, tokens.
 
 Each stage reads what its predecessor wrote as Parquet and works on all of it, in blocks inside its tasks, so very long texts are read whole.
-Repeated rows are judged one by one; an empty table gives an empty one. Extra columns stay, but for names that begin with two underscores.
+Repeated rows are judged one by one; an empty table gives an empty one. Extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from auditlake.llm.jaccard import jaccard_components
 from auditlake.llm.mixing import mixed
 from auditlake.llm.pii import redact
 from auditlake.llm.quality_rules import quality_rules
-from auditlake.llm.text import settled, spread_join, stored
+from auditlake.llm.text import settled, spread_join, stored, unused
 
 #: So many places of dropped rows, 8 bytes each, may be broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -34,7 +34,9 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows are told apart by their place in the scan, so rows that share an id, or have none, are judged by their texts alone. Rows
     without words stay.
     """
-    placed = settled(docs).withColumn("__place", F.monotonically_increasing_id())
+    place = unused(docs, "__place")
+    docs = settled(docs).withColumn(place, F.monotonically_increasing_id())
+    placed = docs.select("doc_id", "text", F.col(place).alias("__place"))
     found = stored(jaccard_components(placed, "__place").select("__place", "component_id"), "components")
     sizes = stored(found.groupBy("component_id").agg(F.count("*").alias("c"), F.lit(True).alias("again")).where("c > 1"), "sizes")
     several = stored(spread_join(found, sizes, ["component_id"], "c").where("again").select("__place", "component_id"), "several")
@@ -43,7 +45,7 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     lost = stored(several.join(firsts.select("o.__place"), "__place", "left_anti").select("__place"), "lost")
     if lost.count() <= BROADCAST_ROWS:  # else Spark joins them by place, which moves the texts
         lost = F.broadcast(lost)
-    return placed.join(lost, "__place", "left_anti").select(*docs.columns)
+    return docs.join(lost, docs[place] == lost["__place"], "left_anti").drop(place)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -77,3 +78,31 @@ def test_one_id_on_different_texts_loses_none(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     kept = sorted(r.lang for r in corpus_pipeline.keep_distinct(spark, docs, "").collect())
     assert kept == ["a", "b", "c", "f", "g", "h"]
+
+
+def test_clashing_columns(spark):
+    names = ["__place", "_place", "__copies", "__text", "__id", "__key", "size", "mark", "component_id", "kept", "n", "copies", "taken", "spans"]
+    row = spark.createDataFrame([(1, "first text of some words", "s"), (2, "first text of some words", "s"), (3, "another one with its own words", None)], "doc_id long, text string, source string")
+    docs = row.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        assert all([r[n] for n in names] == list(range(len(names))) for r in out.collect())
+    assert [r.doc_id for r in corpus_pipeline.keep_distinct(spark, docs, "").orderBy("doc_id").collect()] == [1, 3]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 3
+
+
+def test_every_operator_ignores_clashing_columns(spark):
+    """Operators read the columns they need, whatever else there is."""
+    from auditlake.llm import bpe, hnsw, jaccard, mixing, pii, quality_rules, subword_quality, toxicity
+
+    names = ["__text", "__id", "__label", "__aside", "__place", "score", "predicted", "held_out", "n_tokens", "kept", "x", "place", "mark", "rep", "c", "n"]
+    base = spark.createDataFrame([(i, f"some words of text {i} you idiot" if i % 3 else None, "s") for i in range(30)], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, i % 2, int(i % 3 > 0)) for i in range(30)], "doc_id long, quality int, toxic int")
+    extra = lambda df: df.select("*", *[F.lit("y").alias(n) for n in names])
+    for run in (lambda d: toxicity.toxicity(d, extra(labels)), lambda d: subword_quality.quality(d, extra(labels)), pii.find_pii, quality_rules.quality_rules, bpe.bpe, mixing.mix, jaccard.jaccard_components):
+        plain, odd = run(base), run(extra(base))
+        assert plain.columns == odd.columns
+        assert sorted(map(str, plain.drop("place").collect())) == sorted(map(str, odd.drop("place").collect()))
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(60)], "vec_id long, embedding array<double>")
+    assert sorted(hnsw.nearest_neighbours(vectors).collect()) == sorted(hnsw.nearest_neighbours(extra(vectors)).collect())
