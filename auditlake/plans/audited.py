@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,13 @@ class AuditedReader:
         self._record(actor, "count", q.summary(), n)
         return n
 
+    def run(self, actor: str, role: str, operation: str, work: Callable[[], Any], right: str = "administer") -> Any:
+        """An administrative act or another read: its record is written before its result is returned, and refusals and failures leave none."""
+        self.policy.require(role, right)
+        out = work()
+        self._record(actor, operation, "{}", out.count() if isinstance(out, DataFrame) else len(out) if isinstance(out, (list, dict)) else 1)
+        return out
+
     def records(self, actor: str | None = None, operation: str | None = None, from_micros: int | None = None, to_micros: int | None = None, limit: int | None = None) -> DataFrame:
         """Access records, oldest first; reading them leaves no record."""
         rows = self.spark.read.schema(ACCESS).parquet(self.path)

@@ -22,12 +22,15 @@ from auditlake.functions.keys import Envelope, KeyRing, RsaRing, with_data_keys,
 from auditlake.functions.scalars import hmac_hex, leaf_hash, map_fingerprint
 from auditlake.operators.integrity import HEIGHT, Tree, new_nodes
 from auditlake.operators.lifecycle import KEY_PATTERN, judged
+from auditlake.operators.search import latest
 from auditlake.operators.versions import version_uid, versioned
 from auditlake.plans.catalog import Catalog
 from auditlake.plans.query import Dataset, LogQuery, decode_cursor
 
 ENTITY = "struct<entity_type:string,entity_id:string,fields:map<string,string>>"
 EVENT = f"event_id string, occurred_at long, actor {ENTITY}, method string, url string, content string, targets array<{ENTITY}>, custom map<string,string>"
+PIN = "struct<entity_type:string,uid:string>"
+RESOLVED = f"event_id string, occurred_at long, actor {PIN}, method string, url string, content string, targets array<{PIN}>, custom map<string,string>"
 LOG = "pos long, ts_us long, event_id string, actor_uid string, actor_type string, method string, url string, content string, custom map<string,string>, batch long"
 RELATION = "log long, ord int, uid string, entity_type string, ts_us long, batch long"
 VERSION = "idx long, uid string, entity_type string, entity_id string, version long, deleted boolean, fields map<string,string>, tokens array<string>, fingerprint string, recorded_at long, sealed long, batch long"
@@ -98,6 +101,18 @@ class Snapshot:
     def registry(self, kind: str) -> DataFrame:
         return self.versions.where(F.col("entity_type") == kind)
 
+    def entities(self, kind: str, deleted: bool = False) -> DataFrame:
+        """The last version of every entity of a type by id; deleted ones only if asked for."""
+        last = latest(self.registry(kind))
+        return (last if deleted else last.where("not deleted")).orderBy("entity_id")
+
+    def history(self, kind: str, entity_id: str) -> DataFrame:
+        """All versions of an entity, oldest first; an unknown one is an error."""
+        rows = self.registry(kind).where(F.col("entity_id") == entity_id)
+        if not rows.limit(1).count():
+            raise KeyError(f"{kind}/{entity_id}")
+        return rows.orderBy("version")
+
     def dataset(self, search_keys: bool = True) -> Dataset:
         """What log queries run over, with the keys that the store holds."""
         kinds = {k: self.registry(k) for k in self.store.catalog.types}
@@ -311,20 +326,44 @@ class Store:
             # registries first, then relations, then the logs that refer to both
             versions = self._append(n, fresh)
             pins = seen.select(F.col("pos").alias("log"), (F.col("ord") - 1).alias("ord"), "uid", "entity_type", F.col("occurred_at").alias("ts_us"))
-            self.write(pins.where("ord >= 0"), "relations", n)
-            uids = pins.groupBy("log").agg(F.array_sort(F.collect_list(F.struct("ord", "uid")))["uid"].alias("u"))
-            out = rows.join(uids, F.col("pos") == F.col("log")).select("pos", F.col("occurred_at").alias("ts_us"), "event_id", F.col("u")[0].alias("actor_uid"), F.col("actor.entity_type").alias("actor_type"), "method", "url", "content", "custom", F.slice("u", 2, F.size("u")).alias("__targets"))
-            out = out.withColumn("__leaf", log_leaf(F.col("__targets"))).persist()
-            kept.append(out)
-            self.write(out.drop("__targets", "__leaf"), "logs", n)
-            self.write(out.select(F.col("pos").alias("idx"), F.col("__leaf").alias("hash")), "spine_logs", n)
-            span = tuple(out.agg(F.min("ts_us"), F.max("ts_us"), F.count("*")).first())
+            span = self._log(n, rows, pins, kept)
         finally:
             for frame in kept:
                 frame.unpersist()
         more = {"sources": self.last["sources"] | {source: batch}} | ({"dead_from": n} if source == "redrive" else {})
         return self.finish(n, self.last["logs_size"] + span[2], versions, more | {"span": span})
 
+    def _log(self, n: int, rows: DataFrame, pins: DataFrame, kept: list[DataFrame]) -> tuple:
+        """Writes relations and logs from numbered rows and the versions they pin (log, ord from -1, uid, entity_type, ts_us)."""
+        self.write(pins.where("ord >= 0"), "relations", n)
+        uids = pins.groupBy("log").agg(F.array_sort(F.collect_list(F.struct("ord", "uid")))["uid"].alias("u"))
+        out = rows.join(uids, F.col("pos") == F.col("log")).select("pos", F.col("occurred_at").alias("ts_us"), "event_id", F.col("u")[0].alias("actor_uid"), F.col("actor.entity_type").alias("actor_type"), "method", "url", "content", "custom", F.slice("u", 2, F.size("u")).alias("__targets"))
+        out = out.withColumn("__leaf", log_leaf(F.col("__targets"))).persist()
+        kept.append(out)
+        self.write(out.drop("__targets", "__leaf"), "logs", n)
+        self.write(out.select(F.col("pos").alias("idx"), F.col("__leaf").alias("hash")), "spine_logs", n)
+        return tuple(out.agg(F.min("ts_us"), F.max("ts_us"), F.count("*")).first())
+
+    def append_resolved(self, events: DataFrame, batch: int, source: str = "resolved") -> None:
+        """Logs whose versions the caller holds already: `RESOLVED` rows, none of which makes a version. An unknown uid refuses the batch."""
+        if self.last["sources"].get(source, -1) >= batch:
+            return
+        n = self.last["n"] + 1
+        events.withColumn("__place", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{self.path}/staging/{source}")
+        staged = self.spark.read.schema(f"{RESOLVED}, __place long").parquet(f"{self.path}/staging/{source}")
+        rows = numbered(staged.withColumn("__part", F.shiftright("__place", PART)), "__part", ["__place"], "pos", self.last["logs_size"]).persist()
+        kept = [rows]
+        try:
+            pins = rows.select(F.col("pos").alias("log"), F.col("occurred_at").alias("ts_us"), F.posexplode(F.concat(F.array("actor"), F.coalesce("targets", F.array().cast(f"array<{PIN}>")))).alias("ord", "e"))
+            pins = pins.select("log", (F.col("ord") - 1).alias("ord"), "e.uid", "e.entity_type", "ts_us")
+            if pins.join(self.snapshot().versions.select("uid"), "uid", "left_anti").limit(1).count():
+                raise KeyError("a uid that no version has")
+            span = self._log(n, rows, pins, kept)
+        finally:
+            for frame in kept:
+                frame.unpersist()
+        self.finish(n, self.last["logs_size"] + span[2], self.last["versions_size"], {"sources": self.last["sources"] | {source: batch}, "span": span})
+
     def finish(self, n: int, logs: int, versions: int, more: dict[str, Any] | None = None) -> dict:
         """Nodes, from time to time heads, and the commit's record."""
         for name, size in (("logs", logs), ("versions", versions)):

@@ -49,6 +49,11 @@ def test_reads_leave_records_without_probes(spark, tmp_path):
     records = reader.records(actor="ann").collect()
     assert [(r.operation, r.result_count) for r in records] == [("query_page", 1), ("count", 1)]
     assert all("301-22" not in r.params and "ssn" in r.params for r in records)
+    with pytest.raises(PermissionDenied):
+        reader.run("ann", "auditor", "verify", dict)
+    assert reader.run("ann", "auditor", "history", lambda: people, right="query").count() == 1
+    assert AuditedReader(spark, data, str(tmp_path / "access"), Policy({"chief": frozenset({"administer"})})).run("zoe", "chief", "purge", lambda: [3, 4]) == [3, 4]
+    assert [(r.operation, r.result_count) for r in reader.records(actor="zoe").collect()] == [("purge", 2)] and reader.records(operation="history").count() == 1
     assert reader.records(operation="count", limit=5).count() == 1 and reader.records(to_micros=0).count() == 0
 
 

@@ -8,8 +8,9 @@ from auditlake.functions.keys import Envelope, KeyRing, RsaRing
 from auditlake.operators.integrity import verify_consistency, verify_inclusion
 from auditlake.plans.catalog import Catalog, CustomColumn, Field, SchemaError
 from auditlake.plans.query import LogQuery, TargetFilter
+from auditlake.sources.tagged import tagged_events
 from auditlake.streaming import admin
-from auditlake.streaming.ingest import EVENT, Store
+from auditlake.streaming.ingest import EVENT, RESOLVED, Store
 
 NAMED = (Field("name", indexed=True), Field("role", indexed=True))
 CATALOG = Catalog().define_type("user", NAMED).define_type("doc", NAMED).define_column(CustomColumn("k"), now=0)
@@ -253,3 +254,36 @@ def test_pages_open_the_commits_they_need(spark, tmp_path):
     assert sorted(r.ts_us for r in rows.collect()) == [1305, 1306, 1307, 1308, 1309] and opened == 1
     assert now.page(LogQuery(limit=10))[2] == 1 and now.page(LogQuery(method="none", limit=5))[2] == 6
     assert [r.pos for r in now.page(LogQuery(limit=3, order="asc"))[0].collect()] == [0, 1, 2]
+
+
+def test_tagged_lines_go_through_the_store(spark, tmp_path):
+    entity = lambda kind, i, **f: {"entity_type": kind, "entity_id": i, "fields": f}
+    line = {"event_id": "t1", "occurred_at": 5, "actor": entity("user", "ann", name={"Text": "Ann"}), "method": "PUT", "url": "/x", "content": {"Json": {"b": 1, "a": [ ]}}, "targets": [entity("doc", "d", name={"Number": 7.0})], "custom": {"k": {"Number": 0.5}}}
+    lines = [line, line | {"event_id": "t2", "extra": 1}, line | {"event_id": "t3", "content": {"Text": "a", "Number": 1}}, line | {"event_id": "t4", "custom": {"k": {"Bool": True}}}, line | {"event_id": "t5", "targets": None, "content": None, "custom": None}]
+    rows = tagged_events(spark.createDataFrame([(json.dumps(x),) for x in lines] + [("no json",), ("[1]",), (None,)], "value string"))
+    got = rows.collect()
+    assert [r.error for r in got] == [None, "unknown key", "untagged value", "untagged value", None, "no JSON object", "no JSON object", "no JSON object"]
+    assert got[0].content == '{"a":[],"b":1}' and got[0].targets[0].fields == {"name": "7"} and got[0].custom == {"k": "0.5"} and got[4].targets is None
+    store = Store(spark, str(tmp_path / "t"), CATALOG)
+    store.apply(rows.where("error is null").drop("error"), 0)
+    assert sorted(r.event_id for r in store.snapshot().logs.collect()) == ["t1", "t5"]
+
+
+def test_entities_history_and_resolved_logs(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "t"), CATALOG)
+    store.apply(frame(spark, [event(1), event(2, targets=(("doc", "d1", "second"), ("doc", "d2", "x")))]), 0)
+    now = store.snapshot()
+    assert [(r.entity_id, r.version) for r in now.entities("doc").collect()] == [("d1", 1), ("d2", 0)]
+    assert [r.fields["name"] for r in now.history("doc", "d1").collect()] == ["first", "second"]
+    with pytest.raises(KeyError):
+        now.history("doc", "nobody")
+    store.delete("doc", spark.createDataFrame([("d2",)], "entity_id string"), at=3)
+    assert store.snapshot().entities("doc").count() == 1 and store.snapshot().entities("doc", deleted=True).count() == 2
+    who, what = now.history("user", "ann").first().uid, now.history("doc", "d1").first().uid
+    pins = lambda u: spark.createDataFrame([("r1", 9, ("user", who), "GET", "/r", None, [("doc", u)], None)], RESOLVED)
+    with pytest.raises(KeyError):
+        store.append_resolved(pins("lost"), 0)
+    store.append_resolved(pins(what), 0)
+    store.append_resolved(pins(what), 0)
+    found = store.snapshot().dataset().page(LogQuery(method="get", limit=5))[0].collect()
+    assert [(r.pos, r.actor_uid, r.targets[0].fields) for r in found] == [(2, who, '{"name":"first"}')] and admin.verify(store)["ok"]
