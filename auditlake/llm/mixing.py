@@ -31,6 +31,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
 BUCKET = 4096
 FAN = 64
+#: So many places and numbers of copies, 12 bytes each, may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def word_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -169,5 +171,7 @@ def mixed(docs: DataFrame, text: str = "text", weights: tuple[float, ...] = WEIG
     docs = settled(docs)
     place, copies, copy = (unused(docs, name) for name in ("__place", "__copies", "__copy"))
     taken = stored(mix(docs, text, weights, seed).where("copies > 0").select(F.col("place").alias(place), F.col("copies").cast("int").alias(copies)), "taken")
+    if taken.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # else Spark joins them by place, which moves the texts
+        taken = F.broadcast(taken)
     joined = docs.withColumn(place, F.monotonically_increasing_id()).join(taken, place)
     return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(place, copies, copy)
