@@ -108,6 +108,20 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel() | np.repeat(np.arange(first, first + n, dtype=np.uint64) << _U(48), counts)
 
 
+def _narrow(values: np.ndarray, below: int) -> bytes:
+    """Numbers below a bound in as many bits as it needs."""
+    bits = np.arange(max(1, (below - 1).bit_length()))
+    return np.packbits(((values[:, None] >> bits.astype(values.dtype)) & 1).astype(np.uint8)).tobytes()
+
+
+def _widened(raw: bytes, below: int, count: int) -> np.ndarray:
+    width, out = max(1, (below - 1).bit_length()), np.zeros(count, np.int64)
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8), count=count * width).reshape(count, width)
+    for i in range(width):
+        out |= bits[:, i].astype(np.int64) << i
+    return out
+
+
 _SENT = "fragment long, source string, grams binary, counts binary, ranks binary, body binary"
 _NAMES = [c.split()[0] for c in _SENT.split(", ")]
 _TYPES = [pa.int64(), pa.string(), *[pa.binary()] * 4]
@@ -181,8 +195,7 @@ def _send(fragments: int, block_bytes: int):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64())])) as w:
                 w.write_batch(pa.RecordBatch.from_arrays([ids], ["id"]))
-            width = "<u2" if len(n) <= 1 << 16 else "<u4"
-            rows.append((_place(source, fragments), source, doc[order].astype(width).tobytes(), size.astype("<u4").tobytes(), meta.tobytes(), sink.getvalue().to_pybytes()))
+            rows.append((_place(source, fragments), source, _narrow(doc[order], len(n)), size.astype("<u4").tobytes(), meta.tobytes(), sink.getvalue().to_pybytes()))
             yield from _lots(rows)
 
     return run
@@ -276,10 +289,10 @@ def _gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     ids = pa.ipc.open_stream(last["body"]).read_all().column("id").to_pylist()
     meta = np.frombuffer(last["ranks"], np.int64).reshape(-1, 3)
     n, size = meta[:, 0], np.frombuffer(last["counts"], "<u4").astype(np.int64)
-    docs = np.frombuffer(last["grams"], "<u2" if len(n) <= 1 << 16 else "<u4")
+    docs = _widened(last["grams"], len(n), int(size.sum()))
     ranks, grams = _replies(rows[~waiting])
     kept = size[ranks > 0]
-    doc = docs[gather(spans(size)[:-1][ranks > 0], kept)].astype(np.int64)
+    doc = docs[gather(spans(size)[:-1][ranks > 0], kept)]
     gram, rank = np.repeat(grams, kept), np.repeat(ranks[ranks > 0], kept)
     enough = (OF * np.bincount(doc, minlength=len(n)) >= SHARE * n) & (n > 0)
     chosen = enough[doc]

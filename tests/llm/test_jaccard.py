@@ -157,3 +157,7 @@ def test_hashes_pack_and_unpack():
     for grams in (rng.integers(0, 1 << 64, 5000, np.uint64), rng.integers(0, 1 << 20, 50, np.uint64), np.array([0, 2**64 - 1], np.uint64), np.zeros(0, np.uint64)):
         grams = np.unique(grams)
         assert (jaccard._unpacked(jaccard._packed(grams)) == grams).all()
+    for below in (1, 2, 3, 1000, 1024, 1025, 70_000):
+        docs = rng.integers(0, below, 3001, np.uint32)
+        assert (jaccard._widened(jaccard._narrow(docs, below), below, 3001) == docs).all()
+    assert not len(jaccard._widened(jaccard._narrow(np.zeros(0, np.uint32), 5), 5, 0))
