@@ -35,7 +35,7 @@ def test_merged_pages_cover_everything_once(fleet):
     for order in ("desc", "asc"):
         seen, cursor = [], None
         while True:
-            rows, cursor, failed = fleet.page(LogQuery(limit=7, order=order, cursor=cursor, targets=(TargetFilter("doc", "name", "first"),)))
+            rows, cursor, failed = fleet.page(LogQuery(limit=23, order=order, cursor=cursor, targets=(TargetFilter("doc", "name", "first"),)))
             got = rows.collect()
             assert not failed and all(len(r.targets) == 1 and not r.targets[0].missing for r in got)
             seen += [(r.ts_us, r.shard, r.pos) for r in got]

@@ -244,7 +244,7 @@ def test_pages_open_the_commits_they_need(spark, tmp_path):
         store.apply(frame(spark, [event(100 * lot + i) for i in range(20)]), lot)
     now, seen, cursor = store.snapshot(), [], None
     while True:
-        rows, cursor, opened = now.page(LogQuery(limit=7, cursor=cursor))
+        rows, cursor, opened = now.page(LogQuery(limit=45, cursor=cursor))
         seen += [r.pos for r in rows.collect()]
         assert opened <= 5
         if cursor is None:
