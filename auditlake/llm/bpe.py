@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from auditlake.llm.text import Runs, WordTable, blocks, encoded, gather, spans, sums
+from auditlake.llm.text import Runs, WordTable, blocks, encoded, gather, release, spans, sums
 
 NEVER = np.int64(1) << 40
 #: How the vocabulary file splits normalised text; what no alternative matches is white space, and dropped.
@@ -177,7 +177,7 @@ vocabulary = lru_cache(1)(Vocabulary)
 
 def chunk_table(path: str) -> WordTable:
     """What `encode` keeps from block to block."""
-    return WordTable(lambda: _Measure(vocabulary(path)), 4 << 20)
+    return WordTable(lambda: _Measure(vocabulary(path)), 2 << 20)
 
 
 def encode(texts: list[bytes], table: WordTable) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -224,6 +224,8 @@ def bpe(docs: DataFrame, path: str | None = None, text: str = "text", keep: tupl
             if full:
                 arrays += [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), pa.array([d.decode() for d in decoded])]
             yield pa.RecordBatch.from_arrays(arrays, [*keep, *columns])
+        del table
+        release()
 
     chosen = docs.select(*keep, docs[text].alias("__text"))
     schema = [f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} {t}" for c, (t, _) in columns.items()]

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.components import components
-from auditlake.llm.text import WordTable, blocks, encoded, gather, spans, spread_join, stored
+from auditlake.llm.text import WordTable, blocks, encoded, gather, release, spans, spread_join, stored
 
 WORDS = 5
 SHARE, OF = 3, 4  # 75 %
@@ -197,6 +197,8 @@ def _send(fragments: int, block_bytes: int):
                 w.write_batch(pa.RecordBatch.from_arrays([ids], ["id"]))
             rows.append((_place(source, fragments), source, _narrow(doc[order], len(n)), size.astype("<u4").tobytes(), meta.tobytes(), sink.getvalue().to_pybytes()))
             yield from _lots(rows)
+        del table
+        release()
 
     return run
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from auditlake.llm.text import Runs, WordTable, blocks, encoded, gather, spans, sums
+from auditlake.llm.text import Runs, WordTable, blocks, encoded, gather, release, spans, sums
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -201,12 +201,14 @@ def quality_rules(docs: DataFrame, path: str | None = None, text: str = "text",
         path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(lambda: _Measure(path), 2 << 20)
+        table = WordTable(lambda: _Measure(path))
         for part in blocks(batches, "__text"):
             made = measure_texts(encoded(part, "__text"), table, bands)
             kept = [part.column(c) for c in keep]
             made = [pa.array(v, f.type) for v, f in zip(made, _ARROW, strict=True)]
             yield pa.RecordBatch.from_arrays(kept + made, [*keep, *_ARROW.names])
+        del table
+        release()
 
     chosen = docs.select(*keep, docs[text].alias("__text"))
     schema = ", ".join(f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep)

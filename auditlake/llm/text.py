@@ -6,6 +6,8 @@ text at exactly these, so other Unicode spaces stay inside words.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one step inside a task holds at a time; a longer single text is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -87,6 +89,14 @@ class WordTable(dict):
         return found
 
 
+def release() -> None:
+    """At the end of a task: gives freed memory back to the system, as the worker lives on beside others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 class Runs:
     """An array of variable-length runs that grows at its end: what a WordTable keeps for words with many values."""
 
