@@ -18,3 +18,8 @@ def stored(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, rows: int, most: int, *by: str) -> DataFrame:
+    """`rows` rows dealt to partitions of about `most`, so that a task's work and memory do not grow with the table; Spark keeps such a number."""
+    return df.repartition(max(1, -(-rows // most)), *by)

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.scalars import fingerprint, micros
 from auditlake.operators.versions import RANGE, versioned
+from auditlake.sources.scratch import spread
+
+#: Line items of a partition in which pairs are made distinct.
+LINES = 1 << 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,12 +74,19 @@ ORDER_LOGS = """SELECT o_orderkey AS pos, epoch_us(o_orderdate) AS ts_us, CASE o
 
 
 def relations(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
-    """Which parts and suppliers an order touched; line items repeat, so pairs are made distinct where their number counts."""
+    """Which parts and suppliers an order touched; line items repeat, so pairs are made distinct where their number counts.
+
+    That is done among the lines of one order, in partitions by order whose number goes by the table's.
+    """
     lines = table(spark, sf_dir, "lineitem")
-    part = lines.select(F.col("l_orderkey").alias("log"), F.lit("part").alias("entity_type"), F.col("l_partkey").alias("entity_id"))
-    supplier = lines.select(F.col("l_orderkey").alias("log"), F.lit("supplier").alias("entity_type"), F.col("l_suppkey").alias("entity_id"))
-    both = part.unionByName(supplier)
-    return both.distinct() if distinct else both
+    size = lines.count() if distinct else 0
+
+    def pairs(kind: str, key: str) -> DataFrame:
+        rows = lines.select(F.col("l_orderkey").alias("log"), F.col(key).alias("entity_id"))
+        rows = spread(rows, size, LINES, "log").distinct() if distinct else rows
+        return rows.select("log", F.lit(kind).alias("entity_type"), "entity_id")
+
+    return pairs("part", "l_partkey").unionByName(pairs("supplier", "l_suppkey"))
 
 
 RELATIONS = "SELECT DISTINCT l_orderkey AS log, 'part' AS entity_type, l_partkey AS entity_id FROM lineitem UNION SELECT l_orderkey, 'supplier', l_suppkey FROM lineitem"
