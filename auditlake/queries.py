@@ -17,7 +17,7 @@ from auditlake.plans.audited import AuditedReader
 from auditlake.plans.catalog import Catalog, CustomColumn, Field, Policy
 from auditlake.plans.query import Dataset, LogQuery, TargetFilter, conditions
 from auditlake.sources import views as V
-from auditlake.sources.scratch import shared_path, stored
+from auditlake.sources.scratch import shared_path, spread, stored
 from auditlake.streaming.ingest import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,8 @@ FROM, TO = 1_704_067_200_000_000 + 9 * DAY, 1_704_067_200_000_000 + 12 * DAY
 LOG = ["pos", "ts_us", "method", "url", "actor_id", "k"]
 LOGS = ", ".join(LOG)
 E_LOGS = f"(WITH e AS ({V.EVENT_LOGS}) SELECT {LOGS} FROM e)"
+#: Entities that one task protects or digests the tokens of: much work for few bytes, so splits of files would be too large.
+ENTITIES = 1 << 13
 KEYS = {1: b"first key", 2: b"second key, longer than a block of sixty-four bytes so that it is hashed once"}
 
 
@@ -49,6 +51,12 @@ def _logs(spark, sf_dir):
     return V.event_logs(spark, sf_dir).select(*LOG)
 
 
+def _dealt(spark, sf_dir, kind):
+    """A registry dealt to tasks of ENTITIES rows."""
+    rows = V.registry(spark, sf_dir, kind)
+    return spread(rows, rows.count(), ENTITIES, "entity_id")
+
+
 def _where(q: LogQuery):
     def run(spark, sf_dir):
         logs = V.event_logs(spark, sf_dir)
@@ -327,7 +335,7 @@ def tok_digests(spark, sf_dir):
 
 def _indexed(spark, sf_dir, tokens, key=None):
     """Parts with the digests of their tokens, as the write path stores them."""
-    parts = V.registry(spark, sf_dir, "part").withColumn("version", F.lit(0).cast("long"))
+    parts = _dealt(spark, sf_dir, "part").withColumn("version", F.lit(0).cast("long"))
     if key is None:
         return parts.withColumn("digests", X.token_digests("name", tokens))
     return with_pads(parts, {"__k": key}).withColumn("digests", X.token_digests("name", tokens, F.col("__k"))).drop("__k")
@@ -417,7 +425,7 @@ def match_contains_rsa(spark, sf_dir):
     """Encrypted values: candidates by n-grams, their data key unwrapped by the private key, decrypted in the JVM and verified."""
     rsa, fresh = RsaRing({1: Envelope(spark)}), Envelope.new_data_key()
     version, wrapped = rsa.wrap(fresh)
-    rows = with_pads(V.registry(spark, sf_dir, "customer"), {"__pads": KEYS[1]}).withColumn("sealed", F.lit(0).cast("long"))
+    rows = with_pads(_dealt(spark, sf_dir, "customer"), {"__pads": KEYS[1]}).withColumn("sealed", F.lit(0).cast("long"))
     rows = with_data_keys(rows, {0: fresh}, "sealed")
     rows = rows.select("entity_id", "sealed", X.token_digests("name", X.ngram_tokens(F.col("name"), 3), F.col("__pads")).alias("digests"), encrypted(F.col("name"), F.col("__key")).alias("stored"))
     rows = with_data_keys(stored(rows, "sealed"), {0: rsa.unwrap(version, wrapped)}, "sealed")
@@ -432,7 +440,7 @@ def _people(spark, sf_dir) -> Dataset:
     """Customers as protected entities, written once, and orders as the logs that touched them."""
     rsa, fresh = RsaRing({1: Envelope(spark)}), Envelope.new_data_key()
     version, wrapped = rsa.wrap(fresh)
-    rows = V.registry(spark, sf_dir, "customer").select(F.lit("person").alias("entity_type"), "entity_id", F.create_map(*[x for f, c in (("name", "name"), ("mail", "name"), ("note", "name"), ("segment", "segment")) for x in (F.lit(f), F.col(c))]).alias("plain"), F.lit(0).cast("long").alias("sealed"))
+    rows = _dealt(spark, sf_dir, "customer").select(F.lit("person").alias("entity_type"), "entity_id", F.create_map(*[x for f, c in (("name", "name"), ("mail", "name"), ("note", "name"), ("segment", "segment")) for x in (F.lit(f), F.col(c))]).alias("plain"), F.lit(0).cast("long").alias("sealed"))
     rows = with_data_keys(with_pads(rows, {"__pads": KEYS[2]}), {0: fresh}, "sealed")
     fields = PROTECTED.protected(F.col("entity_type"), F.col("plain"), F.col("__pads"), F.col("__key"))
     rows = rows.select(F.concat(F.lit("c"), F.col("entity_id").cast("string")).alias("uid"), "entity_id", F.lit(0).cast("long").alias("version"), F.lit(False).alias("deleted"), fields.alias("fields"), PROTECTED.tokens(F.col("entity_type"), F.col("plain"), F.col("__pads")).alias("tokens"), "sealed")

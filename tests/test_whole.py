@@ -58,6 +58,13 @@ def test_roots_by_shard(spark, sizes):
     assert got == {s: (len(x), fold(x).hex()) for s, x in made.items() if x}
 
 
+def test_entities_are_protected_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(queries, "ENTITIES", 100)
+    people = queries._people(spark, SF).registries["person"]
+    assert people.count() == 1500 and len(people.inputFiles()) == 15
+    assert queries._indexed(spark, SF, queries.X.exact_tokens(queries.F.col("name"))).rdd.getNumPartitions() == 20
+
+
 def test_export_renders_once_in_lots(spark, monkeypatch):
     from auditlake.sources import views
 
