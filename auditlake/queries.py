@@ -727,8 +727,7 @@ _ITEMS = "(SELECT event_id, CASE WHEN value < 50 THEN 'low' ELSE 'high' END AS k
 def ingest_events(spark, sf_dir):
     """All events through the store's write path; read back, each log with the versions that it pins."""
     now = ingested(spark, sf_dir, shared_path(spark, "store")).snapshot()
-    versions = now.versions.select("uid", "version")
-    actors, items = versions.toDF("actor_uid", "actor_version"), versions.toDF("uid", "item_version")
+    actors, items = now.registry("user").select(F.col("uid").alias("actor_uid"), F.col("version").alias("actor_version")), now.registry("item").select("uid", F.col("version").alias("item_version"))
     pins = now.relations.join(items, "uid").select(F.col("log").alias("pos"), "item_version")
     return now.logs.join(actors, "actor_uid").join(pins, "pos").select("pos", "url", F.col("custom")["k"].alias("k"), "actor_version", "item_version")
 

@@ -209,6 +209,12 @@ class Store:
     def write(self, rows: DataFrame, name: str, n: int) -> None:
         rows.drop("batch").write.mode("overwrite").parquet(f"{self.path}/{name}/batch={n}")
 
+    def staged(self, rows: DataFrame, name: str, source: str) -> DataFrame:
+        """Rows of a batch that several steps read, written once below the folder of its source."""
+        path = f"{self.path}/staging/{name}/{source}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def commit(self, record: dict) -> None:
         """The record makes everything written under its number visible."""
         row = self.spark.createDataFrame([(record["n"], *record["span"], json.dumps(record, sort_keys=True))], COMMIT).coalesce(1)
@@ -306,41 +312,37 @@ class Store:
         n, started = self.last["n"] + 1, time.time_ns() // 1000
         # what arrived, once, with its place and the first rule it breaks; all else is read from here
         staged = judged(events.withColumn("__place", F.monotonically_increasing_id()), self.rules, list(self.broken.values()))
-        staged.write.mode("overwrite").parquet(f"{self.path}/staging/{source}")
-        staged = self.spark.read.schema(staged.schema).parquet(f"{self.path}/staging/{source}")
+        staged = self.staged(staged, "events", source)
         self.write(staged.where("error is not null").drop("__place").withColumn("failed_at", F.lit(started)), "dead", n)
         good = staged.where("error is null").drop("error")
         # of several events with one key the first to arrive counts, and none that was committed lately
         later = good.where("event_id is not null").groupBy("event_id").agg(F.min("__place").alias("__first"), F.count("*").alias("c")).where("c > 1").drop("c")
+        # repeated keys are few, as a rule, and then a table small enough for Spark to broadcast, so that whole events are not shuffled by key
+        later = self.staged(later, "repeated", source)
         good = good.join(later.withColumnRenamed("event_id", "__e"), F.col("event_id") == F.col("__e"), "left").where("__first is null or __place = __first").drop("__e", "__first")
         good = good.join(self._seen(), "event_id", "left_anti")
-        rows = numbered(good.withColumn("__part", F.shiftright("__place", PART)), "__part", ["__place"], "pos", self.last["logs_size"]).persist()
-        kept = [rows]
-        try:
-            actor = F.array(F.struct("actor.entity_type", "actor.entity_id", "actor.fields"))
-            touched = rows.select("pos", "occurred_at", "__part", F.posexplode(F.concat(actor, F.coalesce("targets", F.array().cast(f"array<{ENTITY}>")))).alias("ord", "e"))
-            touched = touched.select("pos", "occurred_at", "__part", "ord", "e.entity_type", "e.entity_id", self.catalog.canonical(F.col("e.entity_type"), F.coalesce("e.fields", F.create_map().cast("map<string,string>"))).alias("fields"))
-            last = self.heads().select("entity_type", "entity_id", F.when(~F.col("deleted"), F.col("fingerprint")).alias("old"), F.col("version").alias("top"))
-            seen = versioned(self._fingerprint(touched), last, kept)
-            fresh = seen.where("new").withColumn("deleted", F.lit(False)).withColumnRenamed("occurred_at", "recorded_at")
-            # registries first, then relations, then the logs that refer to both
-            versions = self._append(n, fresh)
-            pins = seen.select(F.col("pos").alias("log"), (F.col("ord") - 1).alias("ord"), "uid", "entity_type", F.col("occurred_at").alias("ts_us"))
-            span = self._log(n, rows, pins, kept)
-        finally:
-            for frame in kept:
-                frame.unpersist()
+        rows = self.staged(numbered(good.withColumn("__part", F.shiftright("__place", PART)), "__part", ["__place"], "pos", self.last["logs_size"]), "numbered", source)
+        actor = F.array(F.struct("actor.entity_type", "actor.entity_id", "actor.fields"))
+        touched = rows.select("pos", "occurred_at", "__part", F.posexplode(F.concat(actor, F.coalesce("targets", F.array().cast(f"array<{ENTITY}>")))).alias("ord", "e"))
+        touched = touched.select("pos", "occurred_at", "__part", "ord", "e.entity_type", "e.entity_id", self.catalog.canonical(F.col("e.entity_type"), F.coalesce("e.fields", F.create_map().cast("map<string,string>"))).alias("fields"))
+        last = self.heads().select("entity_type", "entity_id", F.when(~F.col("deleted"), F.col("fingerprint")).alias("old"), F.col("version").alias("top"))
+        seen = versioned(self._fingerprint(touched), last, lambda rows: self.staged(rows, "touched", source))
+        seen = self.staged(seen, "pinned", source)
+        fresh = seen.where("new").withColumn("deleted", F.lit(False)).withColumnRenamed("occurred_at", "recorded_at")
+        # registries first, then relations, then the logs that refer to both
+        versions = self._append(n, fresh)
+        pins = seen.select(F.col("pos").alias("log"), (F.col("ord") - 1).alias("ord"), "uid", "entity_type", F.col("occurred_at").alias("ts_us"))
+        span = self._log(n, rows, pins, source)
         more = {"sources": self.last["sources"] | {source: batch}} | ({"dead_from": n} if source == "redrive" else {})
         return self.finish(n, self.last["logs_size"] + span[2], versions, more | {"span": span})
 
-    def _log(self, n: int, rows: DataFrame, pins: DataFrame, kept: list[DataFrame]) -> tuple:
+    def _log(self, n: int, rows: DataFrame, pins: DataFrame, source: str) -> tuple:
         """Writes relations and logs from numbered rows and the versions they pin (log, ord from -1, uid, entity_type, ts_us)."""
         self.write(pins.where("ord >= 0"), "relations", n)
         uids = pins.groupBy("log").agg(F.array_sort(F.collect_list(F.struct("ord", "uid")))["uid"].alias("u"))
         out = rows.join(uids, F.col("pos") == F.col("log")).select("pos", F.col("occurred_at").alias("ts_us"), "event_id", F.col("u")[0].alias("actor_uid"), F.col("actor.entity_type").alias("actor_type"), "method", "url", "content", "custom", F.slice("u", 2, F.size("u")).alias("__targets"))
-        out = out.withColumn("__leaf", log_leaf(F.col("__targets"))).persist()
-        kept.append(out)
-        self.write(out.drop("__targets", "__leaf"), "logs", n)
+        out = self.staged(out.withColumn("__leaf", log_leaf(F.col("__targets"))).drop("__targets"), "logs", source)
+        self.write(out.drop("__leaf"), "logs", n)
         self.write(out.select(F.col("pos").alias("idx"), F.col("__leaf").alias("hash")), "spine_logs", n)
         return tuple(out.agg(F.min("ts_us"), F.max("ts_us"), F.count("*")).first())
 
@@ -349,19 +351,13 @@ class Store:
         if self.last["sources"].get(source, -1) >= batch:
             return
         n = self.last["n"] + 1
-        events.withColumn("__place", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{self.path}/staging/{source}")
-        staged = self.spark.read.schema(f"{RESOLVED}, __place long").parquet(f"{self.path}/staging/{source}")
-        rows = numbered(staged.withColumn("__part", F.shiftright("__place", PART)), "__part", ["__place"], "pos", self.last["logs_size"]).persist()
-        kept = [rows]
-        try:
-            pins = rows.select(F.col("pos").alias("log"), F.col("occurred_at").alias("ts_us"), F.posexplode(F.concat(F.array("actor"), F.coalesce("targets", F.array().cast(f"array<{PIN}>")))).alias("ord", "e"))
-            pins = pins.select("log", (F.col("ord") - 1).alias("ord"), "e.uid", "e.entity_type", "ts_us")
-            if pins.join(self.snapshot().versions.select("uid"), "uid", "left_anti").limit(1).count():
-                raise KeyError("a uid that no version has")
-            span = self._log(n, rows, pins, kept)
-        finally:
-            for frame in kept:
-                frame.unpersist()
+        staged = self.staged(events.withColumn("__place", F.monotonically_increasing_id()), "events", source)
+        rows = self.staged(numbered(staged.withColumn("__part", F.shiftright("__place", PART)), "__part", ["__place"], "pos", self.last["logs_size"]), "numbered", source)
+        pins = rows.select(F.col("pos").alias("log"), F.col("occurred_at").alias("ts_us"), F.posexplode(F.concat(F.array("actor"), F.coalesce("targets", F.array().cast(f"array<{PIN}>")))).alias("ord", "e"))
+        pins = pins.select("log", (F.col("ord") - 1).alias("ord"), "e.uid", "e.entity_type", "ts_us")
+        if pins.join(self.snapshot().versions.select("uid"), "uid", "left_anti").limit(1).count():
+            raise KeyError("a uid that no version has")
+        span = self._log(n, rows, pins, source)
         self.finish(n, self.last["logs_size"] + span[2], self.last["versions_size"], {"sources": self.last["sources"] | {source: batch}, "span": span})
 
     def finish(self, n: int, logs: int, versions: int, more: dict[str, Any] | None = None) -> dict:

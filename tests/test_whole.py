@@ -73,3 +73,10 @@ def test_export_renders_once_in_lots(spark, monkeypatch):
     lines = queries.QUERIES["export_ndjson"](spark, SF)
     assert "Join" not in lines._jdf.queryExecution().optimizedPlan().toString()  # what is ordered is read twice
     assert lines.count() == 4933
+
+
+def test_ranges_of_touches_need_no_sorting_aggregate(spark):
+    from auditlake.sources import views
+
+    plan = views.user_touches(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in plan and "Aggregate" not in plan
