@@ -71,7 +71,7 @@ def ngram_tokens(c: Column, n: int) -> Column:
     """Windows of n characters, lower-cased, distinct and sorted; a shorter text is one token, an empty one none."""
     low = F.lower(c)
     windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i: F.substring(low, i, F.lit(n)))
-    return F.when(F.length(low) > 0, F.array_sort(F.array_distinct(windows))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(low) > 0, F.sort_array(F.array_distinct(windows))).otherwise(F.array().cast("array<string>"))
 
 
 def probe_ngrams(text: str, n: int) -> list[str] | None:

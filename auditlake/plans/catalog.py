@@ -176,7 +176,8 @@ class Catalog:
         out = F.array().cast("array<string>")
         for name, known in self.types.items():
             made = [f.tokens(fields[f.name], pads) for f in known if f.search != "none"]
-            out = F.when(type_name == name, F.array_sort(F.concat(*made))).otherwise(out) if made else out
+            # sort_array, as array_sort calls an interpreted comparator for every pair; no digest is null
+            out = F.when(type_name == name, F.sort_array(F.concat(*made))).otherwise(out) if made else out
         return out
 
     def entity_rules(self, entity: Column) -> Column:

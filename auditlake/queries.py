@@ -302,26 +302,26 @@ PREFIXES = "list_transform(range(1, least(4, len(s)) + 1), lambda i: substr(s, 1
 NAMES = "(SELECT p_partkey AS entity_id, lower(p_name) AS s, p_name FROM part)"
 
 
-def _tokens(spark, sf_dir, tokens):
-    return V.registry(spark, sf_dir, "part").select("entity_id", F.array_join(tokens, "|").alias("tokens"))
+def _tokens(parts, tokens):
+    return parts.select("entity_id", F.array_join(tokens, "|").alias("tokens"))
 
 
 @query(f"SELECT entity_id, s AS tokens FROM {NAMES}")
 def tok_exact(spark, sf_dir):
     """One token: the whole value, lower-cased."""
-    return _tokens(spark, sf_dir, X.exact_tokens(F.col("name")))
+    return _tokens(V.registry(spark, sf_dir, "part"), X.exact_tokens(F.col("name")))
 
 
 @query(f"SELECT entity_id, array_to_string({PREFIXES}, '|') AS tokens FROM {NAMES}")
 def tok_prefix(spark, sf_dir):
     """Prefixes of up to four characters."""
-    return _tokens(spark, sf_dir, X.prefix_tokens(F.col("name"), 4))
+    return _tokens(V.registry(spark, sf_dir, "part"), X.prefix_tokens(F.col("name"), 4))
 
 
 @query(f"SELECT entity_id, array_to_string({NGRAMS}, '|') AS tokens FROM {NAMES}")
 def tok_ngram(spark, sf_dir):
     """Windows of three characters."""
-    return _tokens(spark, sf_dir, X.ngram_tokens(F.col("name"), 3))
+    return _tokens(V.registry(spark, sf_dir, "part"), X.ngram_tokens(F.col("name"), 3))
 
 
 _SHA = "sha256('idx:name' || chr(0) || {})"
@@ -330,7 +330,7 @@ _SHA = "sha256('idx:name' || chr(0) || {})"
 @query(f"SELECT entity_id, array_to_string(list_transform({NGRAMS}, lambda t: {_SHA.format('t')}), '|') AS tokens FROM {NAMES}")
 def tok_digests(spark, sf_dir):
     """What a blind index stores instead of tokens."""
-    return _tokens(spark, sf_dir, X.token_digests("name", X.ngram_tokens(F.col("name"), 3)))
+    return _tokens(_dealt(spark, sf_dir, "part"), X.token_digests("name", X.ngram_tokens(F.col("name"), 3)))
 
 
 def _indexed(spark, sf_dir, tokens, key=None):

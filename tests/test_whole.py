@@ -65,6 +65,20 @@ def test_entities_are_protected_by_many_tasks(spark, monkeypatch):
     assert queries._indexed(spark, SF, queries.X.exact_tokens(queries.F.col("name"))).rdd.getNumPartitions() == 20
 
 
+def test_token_digests_are_dealt_too(spark, monkeypatch):
+    monkeypatch.setattr(queries, "ENTITIES", 100)
+    assert queries.QUERIES["tok_digests"](spark, SF).rdd.getNumPartitions() == 20
+
+
+def test_tokens_are_sorted_without_a_comparator(spark):
+    F, pads = queries.F, queries.with_pads
+    rows = pads(spark.createDataFrame([("person", {"name": "Customer#1", "mail": "Customer#1", "note": "Customer#1", "segment": "MACHINERY"}), ("person", {"segment": ""}), ("other", {})], "kind string, plain map<string,string>"), {"k": b"key"})
+    made = rows.select("kind", queries.PROTECTED.tokens(F.col("kind"), F.col("plain"), F.col("k")).alias("t"))
+    assert "array_sort(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = [r.t for r in made.collect()]
+    assert [len(t) for t in got] == [8 + 1 + 8 + 4, 0, 0] and got[0] == sorted(set(got[0]))
+
+
 def test_export_renders_once_in_lots(spark, monkeypatch):
     from auditlake.sources import views
 
